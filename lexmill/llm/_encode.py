@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,11 +48,22 @@ def expand(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(total)
 
 
+def pieces_of(batch: pa.RecordBatch, column: str, size: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``size`` bytes of a text column, so that what is made of a slice stays small."""
+    text = batch.column(column)
+    ends = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
+    at = 0
+    while at < len(batch):
+        take = max(1, int(np.searchsorted(ends, int(ends[at]) + size)) - at)
+        yield batch.slice(at, take)
+        at += take
+
+
 class Encoder:
     """joined: the tokenizer puts a single space with the word after it (byte-level BPE); else it composes (NFC) and
     lower-cases text and drops white space."""
 
-    def __init__(self, path: str, joined: bool, special_as_text: bool = False, limit: int = 800_000):
+    def __init__(self, path: str, joined: bool, special_as_text: bool = False, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
