@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import parts, scratch, text_bytes
-from ._encode import encoder, expand
+from ._encode import encoder, expand, pieces_of
 
 SCHEMA = "part int, doc_id bigint, local_start bigint, n_tokens bigint, ids array<int>"
 #: Row groups of 32 MB, pages of 128 kB, dictionaries for ids only, delta for the rest.
@@ -38,7 +38,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sp
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, part, at = encoder(tokenizer, False, special_as_text), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces_of(b, "text")):
             n, ids, _ = made.encode(batch.column("text"))
             out = np.full(len(ids) + len(n), end_id, np.int32)
             first = np.cumsum(n) - n

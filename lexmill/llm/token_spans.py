@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._encode import encoder
+from ._encode import encoder, pieces_of
 
 SCHEMA = "doc_id bigint, section int, field string, char_start int, char_end int, n_tokens int, n_crossing int"
 RULES = ("most", "first", "last")
@@ -60,7 +60,7 @@ def section_counts(docs: DataFrame, tokenizer: str, fields: Sequence[str] = ("la
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(tokenizer, True)
-        for batch in batches:
+        for batch in (x for b in batches for x in pieces_of(b, "whole")):
             n, spans, chars = made.encode(batch.column("whole"), spans=True)
             base = np.concatenate(([0], np.cumsum(chars + 1)))  # a free character between texts
             feeds, owners = _line_starts(batch.column("whole"), base)
