@@ -169,7 +169,9 @@ def escape_xml(c: Column) -> Column:
 
 def escape_latex(c: Column) -> Column:
     """Characters that LaTeX reads as commands."""
-    c = F.regexp_replace(c, r"\\", "\u0000")
-    c = F.regexp_replace(c, r"([&%$#_{}])", r"\\\\$1")
-    c = F.regexp_replace(F.regexp_replace(c, "~", r"\\\\textasciitilde{}"), r"\^", r"\\\\textasciicircum{}")
-    return F.regexp_replace(c, "\u0000", r"\\\\textbackslash{}")
+    c = F.replace(c, F.lit("\\"), F.lit("\u0000"))
+    for raw in "&%$#_{}":
+        c = F.replace(c, F.lit(raw), F.lit(f"\\{raw}"))
+    for raw, safe in (("~", "\\textasciitilde{}"), ("^", "\\textasciicircum{}"), ("\u0000", "\\textbackslash{}")):
+        c = F.replace(c, F.lit(raw), F.lit(safe))
+    return c
