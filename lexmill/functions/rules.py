@@ -33,6 +33,13 @@ BRACKETS = (
     ("1276925.99", "307910.81", "0.3200"), ("1702567.98", "444057.91", "0.3400"), ("5107703.93", "1605679.59", "0.3500"),
 )
 DEGRADED_MS = 10_000
+#: Treaty kinds in order; patterns are over folded text.
+TREATIES = {
+    "bilateral": ("bilateral", "acuerdo entre", "convenio entre", "tratado entre", "protocolo entre"),
+    "multilateral": ("multilateral", "convencion", "protocolo de", "carta de", "pacto", "estatuto de"),
+}
+#: Subjects of judicial records; others are "comun".
+SUBJECTS = {"civil": "civil", "penal": "penal", "administrativa": "administrativa", "administrativo": "administrativa", "laboral": "laboral", "constitucional": "constitucional"}
 
 
 def safe_pct(have: Column, of: Column) -> Column:
@@ -163,3 +170,28 @@ def gap_after(tier: Column, status: Column, actions: Column) -> Column:
         a == "permanent", F.struct(g.tier.alias("tier"), F.lit("permanent").alias("status"))).when(
         (a == "escalate") & (g.tier >= 4), F.struct(g.tier.alias("tier"), F.lit("blocked").alias("status"))).when(
         a == "escalate", F.struct((g.tier + 1).alias("tier"), F.lit("in_progress").alias("status"))).otherwise(g))
+
+
+def treaty_kind(title: Column) -> Column:
+    """P29."""
+    return by_keywords(fold(title), TREATIES, "unknown")
+
+
+def agency(standard: Column, agencies: Mapping[str, str]) -> Column:
+    """The agency of a standard's number (NOM-001-SSA1-2010) by its third part: exact, else the first in order that begins
+    it or that it begins."""
+    part = F.upper(F.get(F.split(standard, "-"), F.lit(2)))
+    known = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in agencies.items()])
+    exact = F.get(F.filter(known, lambda a: a.k == part), F.lit(0)).v
+    near = F.get(F.filter(known, lambda a: F.startswith(part, a.k) | F.startswith(a.k, part)), F.lit(0)).v
+    return F.coalesce(exact, near, F.lit(""))
+
+
+def subject(raw: Column) -> Column:
+    """P31."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SUBJECTS.items() for x in kv]), fold(F.trim(raw))), F.lit("comun"))
+
+
+def thesis_kind(raw: Column) -> Column:
+    """P31."""
+    return F.when(F.contains(F.lower(raw), F.lit("jurisprudencia")), "jurisprudencia").otherwise("tesis_aislada")

@@ -175,3 +175,13 @@ def escape_latex(c: Column) -> Column:
     for raw, safe in (("~", "\\textasciitilde{}"), ("^", "\\textasciicircum{}"), ("\u0000", "\\textbackslash{}")):
         c = F.replace(c, F.lit(raw), F.lit(safe))
     return c
+
+
+def municipality(title: Column) -> Column:
+    """The capitalised name after "municipio de"; null where there is none."""
+    return F.nullif(F.regexp_extract(title, r"(?U)(?:[Mm]unicipio\s+de)\s+(\p{Lu}\p{Ll}+(?:\s+\p{Lu}\p{Ll}+)*)", 1), F.lit(""))
+
+
+def fiscal_year(title: Column) -> Column:
+    """P32."""
+    return F.regexp_extract(title, r"\b(20\d{2})\b", 1).try_cast("int")

@@ -191,3 +191,9 @@ def coverage(have: DataFrame, universe: DataFrame, key: str) -> DataFrame:
 
     joined = universe.join(have, key, "left").withColumn("have", F.coalesce("have", F.lit(0)))
     return joined.withColumn("pct", safe_pct(F.col("have"), F.col("universe")))
+
+
+def allowed(requests: DataFrame, tiers: DataFrame, key: str, features: str, feature: str) -> DataFrame:
+    """Requests with whether their tier has the feature; tiers are a few rows: (key, array of features). An unknown tier has none."""
+    table = F.broadcast(tiers.select(key, F.col(features).alias("has")))
+    return requests.join(table, key, "left").withColumn("allowed", F.coalesce(F.array_contains("has", F.col(feature)), F.lit(False))).drop("has")

@@ -729,6 +729,36 @@ def _(s, d):
     return rows.select("user_id", rules.gap_after(F.lit(0), F.lit("open"), F.col("x")).alias("g")).select("user_id", "g.tier", "g.status")
 
 
+@query("P29_treaty_kind", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'bilateral' WHEN o_orderstatus = 'F' THEN 'multilateral' ELSE 'unknown' END AS kind FROM orders")
+def _(s, d):
+    title = F.when(F.col("o_orderstatus") == "O", "Convenio entre México y Perú").when(F.col("o_orderstatus") == "F", "Convención de Viena").otherwise("Otro")
+    return table(s, d, "orders").select("o_orderkey", rules.treaty_kind(title).alias("kind"))
+
+
+@query("P30_agency", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'Salud' WHEN p_size < 20 THEN 'Ambiente' ELSE '' END AS agency FROM part")
+def _(s, d):
+    number = F.when(F.col("p_size") < 10, "NOM-001-SSA1-2010").when(F.col("p_size") < 20, "NOM-059-SEMARNAT-2010").otherwise("NOM-1")
+    return table(s, d, "part").select("p_partkey", rules.agency(number, {"SSA": "Salud", "SEMARNAT": "Ambiente"}).alias("agency"))
+
+
+@query("P31_subject", "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'administrativa' WHEN p_size < 20 THEN 'comun' ELSE 'penal' END AS subject, CASE WHEN p_size < 10 THEN 'jurisprudencia' ELSE 'tesis_aislada' END AS kind FROM part")
+def _(s, d):
+    raw = F.when(F.col("p_size") < 10, " Administrativo").when(F.col("p_size") < 20, "Común").otherwise("PENAL")
+    return table(s, d, "part").select("p_partkey", rules.subject(raw).alias("subject"), rules.thesis_kind(F.when(F.col("p_size") < 10, "Jurisprudencia por reiteración").otherwise("Tesis")).alias("kind"))
+
+
+@query("P32_municipality", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'San Pedro' END AS m, 2000 + n_nationkey AS y FROM nation")
+def _(s, d):
+    title = F.concat(F.when(F.col("n_nationkey") % 2 == 0, "Ley de Ingresos del Municipio de San Pedro para ").otherwise("Ley de Ingresos "), (F.col("n_nationkey") + 2000).cast("string"))
+    return table(s, d, "nation").select("n_nationkey", text.municipality(title).alias("m"), text.fiscal_year(title).alias("y"))
+
+
+@query("J19_allowed", "SELECT event_id, user_id % 3 = 1 AND event_type = 'click' OR user_id % 3 = 2 AND event_type IN ('click', 'view') AS allowed FROM events")
+def _(s, d):
+    tiers = s.createDataFrame([(1, ["click"]), (2, ["click", "view"])], "tier long, features array<string>")
+    return catalog.allowed(table(s, d, "events").withColumn("tier", F.col("user_id") % 3), tiers, "tier", "features", "event_type").select("event_id", "allowed")
+
+
 # Sources and sinks
 
 @query("S10_links", "SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS href FROM pages")
