@@ -12,6 +12,7 @@ The shared folder must be one that pyarrow.fs can open (file, hdfs, s3, gs).
 
 from __future__ import annotations
 
+import ctypes
 import posixpath
 from collections.abc import Callable, Iterator, Sequence
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from ._common import parts, scratch
 
-CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 8 << 20
+CHUNK_BYTES, BUCKET_BYTES = 3 << 20, 8 << 20
 #: Fixed odd multipliers for mixing.
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 Arrays = dict[str, np.ndarray]
@@ -85,10 +86,20 @@ def chunked(docs: DataFrame, label: str, chunk_bytes: int = CHUNK_BYTES) -> Data
     return docs.sparkSession.read.schema("chunk bigint, blob binary").parquet(path)
 
 
+def release() -> None:
+    """Give freed memory back, so that a worker doesn't keep the peak of what it has done."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def open_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
     for batch in batches:
         for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
             yield chunk, pa.ipc.open_stream(blob.as_buffer()).read_all().combine_chunks()
+            release()
 
 
 def answers(path: str, chunk: int) -> Arrays:
@@ -149,6 +160,8 @@ def exchange(
         chunk, bucket = table.column("chunk").to_pylist(), table.column("bucket").to_pylist()
         if figures is not None:
             rows, chunk, bucket = [*rows, pack(figures)], [*chunk, -1], [*bucket, bucket[0]]
+        del each, values, out
+        release()
         return pa.Table.from_arrays([pa.array(bucket, pa.int32()), pa.array(chunk, pa.int64()), pa.array(rows, pa.binary())], schema=schema)
 
     path = scratch(chunks.sparkSession, label)
@@ -160,6 +173,12 @@ def exchange(
     return path
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Ascending distinct values, by sorting."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def sums(keys: np.ndarray, values: Sequence[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """(index of each key among the bucket's distinct keys, totals per distinct key)."""
     _, at = np.unique(keys, return_inverse=True)
