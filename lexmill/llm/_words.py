@@ -5,7 +5,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
+
+from ._exchange import M1, M2, mix
+
+#: Bytes of a block of texts that is hashed at once, so that its arrays stay in the cache.
+BLOCK = 256 << 10
+_space = np.zeros(256, bool)
+_space[[0x20, *range(0x09, 0x0E)]] = True
+_lower = np.arange(256, dtype=np.uint64)
+_lower[0x41:0x5B] += 0x20
+_lower = _lower * M1 + np.uint64(1)
 
 
 def plain(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -17,24 +26,28 @@ def plain(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pc.fill_null(column.cast(pa.string()), "")
 
 
-def words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """(words of all texts, lower-cased A-Z and parted by ASCII white space; words per text)."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
-    offsets = offsets - offsets[0]
-    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-    count = np.concatenate(([0], np.cumsum(full)))
-    if len(flat) and not full.all():
-        flat = flat.filter(pa.array(full))
-    return flat.dictionary_encode(), np.diff(count[offsets])
-
-
-def hashes(names: pa.Array) -> np.ndarray:
-    """64-bit hashes of distinct words."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in names.to_pylist()), np.uint64, len(names))
+def block_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A word's hash is the mixed sum of a value for each of its bytes and places."""
+    full = ~_space[data]
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets] = True
+    start = np.flatnonzero(full & (np.concatenate(([True], ~full[:-1])) | first[:-1]))
+    n = np.diff(np.searchsorted(start, offsets))
+    if not len(start):
+        return np.zeros(0, np.uint64), n
+    place = np.arange(start[0], len(data), dtype=np.uint64) - np.repeat(start, np.diff(np.append(start, len(data)))).astype(np.uint64)
+    each = mix(_lower[data[start[0] :]] + place * M2)
+    each[~full[start[0] :]] = 0
+    return mix(np.add.reduceat(each, start - start[0])), n
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word of all texts, words per text)."""
-    coded, n = words(texts)
-    return hashes(coded.dictionary)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.uint64), n
+    """(64-bit hash of each word of all texts, words per text); words are parted by ASCII white space, A-Z lower-cased."""
+    raw = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    found, at = [], 0
+    while at < len(texts):
+        end = min(max(at + 1, int(np.searchsorted(raw, raw[at] + BLOCK))), len(texts))
+        found.append(block_hashes(data[raw[at] : raw[end]], raw[at : end + 1] - raw[at]))
+        at = end
+    return tuple(np.concatenate([x[i] for x in found]) if found else np.zeros(0, (np.uint64, np.int64)[i]) for i in (0, 1))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from ._common import bounded, saved, text_bytes
-from ._exchange import M2, Arrays, answers, buckets_for, chunked, exchange, mix, open_chunks, sums
+from ._exchange import M2, Arrays, answers, buckets_for, chunked, distinct, exchange, mix, open_chunks, sums
 from ._words import plain, word_hashes
 from .components import components
 from .suffix_dedup import distinct_texts
@@ -57,7 +57,7 @@ def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     sets = []
     for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
         if b - a >= n:
-            sets.append(np.unique(full[a : b - n + 1]))
+            sets.append(distinct(full[a : b - n + 1]))
         elif b > a:
             sets.append(mix(np.array([(h[a:b] * _places[: b - a]).sum(dtype=np.uint64) + np.uint64(b - a)], np.uint64)))
         else:
@@ -76,19 +76,20 @@ def candidates(texts: DataFrame, total: int) -> DataFrame:
     chunks = chunked(texts, "jaccard")
 
     def send(_: int, table: pa.Table) -> tuple[np.ndarray, Arrays]:
-        keys, count = np.unique(shingle_sets(plain(table.column("text")))[0], return_counts=True)
-        return keys, {"n": np.minimum(count, 65535).astype(np.uint16)}
+        flat = np.sort(shingle_sets(plain(table.column("text")))[0])
+        first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.zeros(0, np.int64)
+        return flat[first], {"n": np.minimum(np.diff(np.append(first, len(flat))), 255).astype(np.uint8)}
 
     def settle(keys: np.ndarray, values: Arrays, owner: np.ndarray) -> tuple[Arrays, None]:
         at, (n,) = sums(keys, [values["n"]])
-        return {"df": np.minimum(n[at], 65535).astype(np.uint16)}, None
+        return {"df": np.minimum(n, 255).astype(np.uint8)[at]}, None
 
     path = exchange(chunks, "jaccard-df", send, settle, buckets_for(total))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, table in open_chunks(batches):
             flat, n = shingle_sets(plain(table.column("text")))
-            df = answers(path, chunk).get("df", np.zeros(0, np.uint16))[np.searchsorted(np.unique(flat), flat)] if len(flat) else np.zeros(0, np.uint16)
+            df = answers(path, chunk).get("df", np.zeros(0, np.uint8))[np.searchsorted(distinct(flat), flat)] if len(flat) else np.zeros(0, np.uint8)
             shared = np.concatenate(([0], np.cumsum(df > 1)))
             ends = np.cumsum(n)
             fps, pivots = [], []
