@@ -120,13 +120,12 @@ def mixed_rows(docs: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int =
     """The mix itself, in order: the documents' own columns, a row for each time that one is taken. The document on
     which the budget ends is kept whole."""
     names = docs.columns
-    carry = [F.struct(*names).alias("row")]
-    queued = queue(docs.select("doc_id", "source", "text", *carry), weights, repeats, seed, ["row"])
-    mix = schedule(queued, repeats).where("take > 0")
-    return (
-        mix.repartitionByRange("finish", F.col("source"), F.col("served")).sortWithinPartitions("finish", F.col("source").asc_nulls_last(), "served", "round")
-        .select("row.*")
-    )
+    row = F.md5(F.to_json(F.struct(*names)))  # the schedule is made of narrow rows; documents join it once, by this
+    queued = queue(docs.select("doc_id", "source", "text", row.alias("row")), weights, repeats, seed, ["row"])
+    mix = saved(schedule(queued, repeats).where("take > 0").select("row", "finish", "source", "served", "round"), "mix-schedule")
+    each = docs.select(F.struct(*names).alias("doc"), row.alias("row")).dropDuplicates(["row"])  # rows of one digest are the same
+    order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("served"), F.col("round")]
+    return each.join(mix, "row").repartitionByRange(*order).sortWithinPartitions(*order).select("doc.*")
 
 
 #: DuckDB SQL for ``mixed`` over documents.
