@@ -8,11 +8,13 @@ else at 1, so its nearest pivots are its own shingles; ties go to the rarest. If
 that is the window into which a document is replicated. A document with fewer than 0.8 |x| shared shingles has no partner at
 all and leaves here; shingles that no other document has need no region.
 
-Regions then join recursively. Each region takes one of its documents as pivot and measures its members' distances to it
-(each pair once, whatever the number of regions). Members within r of the pivot fall to its class; what classes have merged
+Regions then join recursively. Each region takes one of its documents as pivot, first the one with the least share of
+shingles that no other document has (in a group of near copies the original, not a copy of many changes), and measures its
+members' distances to it (each pair once, whatever the number of regions). Members within r of the pivot fall to its class; what classes have merged
 is one region less. Regions that still hold several classes go on with another pivot, and after ``LEVELS`` levels their
-members are compared with those of other classes whose sizes and distances to the region's pivots differ by no more than
-the triangle inequality allows. Every pair left out is in one class already or proven farther than r, so classes
+members are compared with those of other classes whose sizes and distances to the region's first pivot allow a link: a cut
+is at most the lesser of their cuts with the pivot and, outside of it, the lesser of their remaining shared shingles. That
+is the triangle inequality on the parts inside and outside of the pivot, and stricter than on the distances alone. Every pair left out is in one class already or proven farther than r, so classes
 are exact; groups of copies and near copies cost a comparison per member and level, not one per pair.
 
 Equal texts are one member. Sets are compared on 64-bit shingle hashes; only shingles that two documents share count for an
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -117,21 +119,21 @@ def shared_count(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def measure(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b, dist, link) of the pairs (a, b)."""
+    """(a, b, i, link) of the pairs (a, b); i is the size of their cut."""
     left = members.select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("fps").alias("fa"))
     right = members.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("fps").alias("fb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("t"), shared_count("fa", "fb").alias("i"))
     union = F.col("t") - F.col("i")
-    return both.select("a", "b", (1 - F.col("i") / union).alias("dist"), (WHOLE * F.col("i") >= PART * union).alias("link"))
+    return both.select("a", "b", "i", (WHOLE * F.col("i") >= PART * union).alias("link"))
 
 
 def classes(members: DataFrame, levels: int = LEVELS) -> DataFrame:
     """(digest, class) of the members (digest, n, fps, pivots) that have a partner; class is the least digest in it."""
     spark = members.sparkSession
-    spread = saved(members.select("digest", "n", F.explode("pivots").alias("pivot")), "jaccard-regions")
+    spread = saved(members.select("digest", "n", (F.octet_length("fps") / 8).cast("long").alias("c"), F.explode("pivots").alias("pivot")), "jaccard-regions")
     crowd = spread.groupBy("pivot").agg(F.count("*").alias("k")).where("k > 1").select("pivot")
     spread = saved(spread.join(crowd, "pivot"), "jaccard-regions")
-    known = spark.createDataFrame([], "a string, b string, dist double, link boolean")
+    known = spark.createDataFrame([], "a string, b string, i bigint, link boolean")
     label = spark.createDataFrame([], "digest string, class string")
     close = (WHOLE * F.least("n", "m") >= PART * F.greatest("n", "m"))
 
@@ -141,20 +143,28 @@ def classes(members: DataFrame, levels: int = LEVELS) -> DataFrame:
         several = rows.groupBy("pivot").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("pivot")
         return rows.join(several, "pivot")
 
+    def order(level: int) -> Column:
+        """The least of a region is its pivot at this level."""
+        own = (F.col("n") - F.col("c")) / F.col("n") if level == 0 else F.lit(0.0)
+        return F.struct(own, F.xxhash64("digest", F.lit(level)), "digest", "n", "class")
+
     for level in range(levels + 1):
         rows = saved(open_regions(), "jaccard-open")
         if level < levels:  # a pivot for each region, another at each level
-            order = F.struct(F.xxhash64("digest", F.lit(level)), "digest", "n", "class")
-            pivot = rows.groupBy("pivot").agg(F.min(order).alias("p")).select("pivot", F.col("p.digest").alias("p"), F.col("p.n").alias("m"), F.col("p.class").alias("pc"))
+            pivot = rows.groupBy("pivot").agg(F.min(order(level)).alias("p")).select("pivot", F.col("p.digest").alias("p"), F.col("p.n").alias("m"), F.col("p.class").alias("pc"))
             found = rows.join(pivot, "pivot").where((F.col("class") != F.col("pc")) & close)
             pairs = found.select(F.least("digest", "p").alias("a"), F.greatest("digest", "p").alias("b")).distinct()
         else:
-            hub = rows.groupBy("pivot").agg(F.min(F.struct(F.xxhash64("digest", F.lit(0)), "digest")).alias("p")).select("pivot", F.col("p.digest").alias("hub"))
-            to = known.select(F.col("a").alias("digest"), F.col("b").alias("hub"), "dist").unionByName(known.select(F.col("b").alias("digest"), F.col("a").alias("hub"), "dist"))
-            rows = saved(rows.join(hub, "pivot").join(to, ["digest", "hub"], "left").select("pivot", "digest", "n", "class", "dist"), "jaccard-open")
-            other = rows.select("pivot", F.col("digest").alias("b"), F.col("n").alias("m"), F.col("class").alias("bc"), F.col("dist").alias("bd"))
-            apart = F.coalesce(F.abs(F.col("dist") - F.col("bd")) > 1 - PART / WHOLE + 1e-9, F.lit(False))
-            pairs = rows.join(other, "pivot").where((F.col("digest") < F.col("b")) & (F.col("class") != F.col("bc")) & close & ~apart).select(F.col("digest").alias("a"), "b").distinct()
+            hub = rows.groupBy("pivot").agg(F.min(order(0)).alias("p")).select("pivot", F.col("p.digest").alias("hub"))
+            to = known.select(F.col("a").alias("digest"), F.col("b").alias("hub"), "i").unionByName(known.select(F.col("b").alias("digest"), F.col("a").alias("hub"), "i"))
+            rows = rows.join(hub, "pivot").join(to, ["digest", "hub"], "left")
+            inside = F.when(F.col("digest") == F.col("hub"), F.col("c")).otherwise(F.col("i"))
+            rows = saved(rows.select("pivot", "digest", "n", "c", "class", inside.alias("i")), "jaccard-open")
+            other = rows.select("pivot", F.col("digest").alias("b"), F.col("n").alias("m"), F.col("c").alias("bs"), F.col("class").alias("bc"), F.col("i").alias("bi"))
+            part = F.least("i", "bi") + F.least(F.col("c") - F.col("i"), F.col("bs") - F.col("bi"))
+            most = F.when(F.col("i").isNotNull() & F.col("bi").isNotNull(), part).otherwise(F.least("c", "bs"))
+            able = (PART + WHOLE) * most >= PART * (F.col("n") + F.col("m"))
+            pairs = rows.join(other, "pivot").where((F.col("digest") < F.col("b")) & (F.col("class") != F.col("bc")) & close & able).select(F.col("digest").alias("a"), "b").distinct()
         fresh = saved(measure(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), members), "jaccard-pairs")
         known = known.unionByName(fresh)
         if fresh.where("link").take(1):
