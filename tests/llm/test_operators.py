@@ -84,6 +84,18 @@ def test_near_duplicates_chain_and_crowd(spark):
     assert collect(jaccard_join.near_duplicates(frame(spark, rows))) == near_duplicates(rows)
 
 
+def test_near_duplicates_around_an_original(spark):
+    rng = random.Random(8)
+    base = text(rng, 150).split()
+    rows = [(300, " ".join(base))]
+    for i in range(90):  # from links with the original to links with other copies only, or none
+        w = list((rows[rng.randrange(len(rows))][1] if i % 3 == 0 else rows[0][1]).split())
+        for k in rng.sample(range(150), 1 + i % 9):
+            w[k] = rng.choice(("left", "right", f"own{i}"))
+        rows.append((301 + i, " ".join(w)))
+    assert collect(jaccard_join.near_duplicates(frame(spark, rows))) == near_duplicates(rows)
+
+
 def test_one_of_each(spark):
     rows = corpus(3)
     kept = {r[0] for r in collect(jaccard_join.one_of_each(frame(spark, rows)), "doc_id")}
