@@ -8,9 +8,8 @@ left-out likelihood prefers; the root is the add-one distribution of words. A te
 end of log10 P(word | longest retained suffix of what precedes it).
 
 The counts are of the whole training corpus and stay distributed: chunks of documents exchange n-gram fingerprints
-(64 bits) level by level. Words are counted; then pairs behind words of ``LEAST`` occurrences and a share ``P_MIN`` of all
-places (the algorithm's least probability of a state, which keeps the states' share of the text alike at every size), then
-triples behind such pairs; the divergence of a context is the sum over chunks of what their own followers of it gain. No table of the model is
+(64 bits) level by level. Words are counted; then pairs behind words of ``LEAST`` occurrences, then triples behind such pairs;
+the divergence of a context is the sum over chunks of what their own followers of it gain. No table of the model is
 collected or broadcast, and a frequent context is spread over buckets by its followers.
 
 Defined cases: a null, empty or wordless text is its end alone; a null doc_id counts as the empty id for the split;
@@ -30,8 +29,8 @@ from ._common import text_bytes
 from ._exchange import M1, M2, M3, Arrays, answers, buckets_for, chunked, exchange, mix, open_chunks, sums
 from ._words import plain, word_hashes
 
-#: A context must occur LEAST times, and in a share of P_MIN of all places.
-DEPTH, LEAST, P_MIN, GAIN = 2, 32, 1.5e-6, 4.0
+#: A context must occur LEAST times, however large the corpus.
+DEPTH, LEAST, GAIN = 2, 32, 4.0
 STRENGTHS = (0.25, 2.0, 16.0, 128.0)
 END = np.uint64(0x2545F4914F6CDD1D)
 OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_deep bigint"
@@ -104,7 +103,7 @@ class Model:
         for k in range(upto + 1):
             at, h = c.grams(k)
             if k:  # behind a context that is frequent enough
-                ok = out[k - 1].counts(len(c.words))[at - 1] >= max(LEAST, P_MIN * self.n_all)
+                ok = out[k - 1].counts(len(c.words))[at - 1] >= LEAST
                 at, h = at[ok], h[ok]
             level = Level(at, h, c.weight)
             if k < len(self.count_paths):

@@ -134,6 +134,14 @@ def test_suffix_tree_scores(spark):
     assert sum(g[6] for g in got if g[1]) > 0.6 * sum(g[5] for g in got if g[1])
 
 
+def test_contexts_count_at_every_size(monkeypatch):
+    """A context of LEAST occurrences has counted followers, also in a corpus of 5 billion words."""
+    c = tree.Chunk(pa.table({"text": ["red car red car"], "held_out": [False]}))
+    monkeypatch.setattr(tree, "answers", lambda path, chunk: {"n": np.full(3, tree.LEAST, np.uint32)})
+    for n_all in (1e3, 5e9):
+        assert tree.Model(["words"], [], n_all).levels(0, c, 1)[1].at.tolist() == [1, 2, 3, 4]
+
+
 def test_probabilities_sum_to_one(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(rng.choice(("a b", "a c", "b b")) for _ in range(40))) for i in range(30)]
