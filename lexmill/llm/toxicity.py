@@ -4,7 +4,9 @@ A writer's word goes through a channel that swaps letters for look-alikes, stret
 between them. A token that shows such traces (look-alikes among letters, a letter three times in a row, single letters
 parted by marks, runs of single-letter words) is decoded: a lattice holds the letters that each character may stand for,
 and Viterbi's algorithm finds the word that a character trigram model and the channel's costs make likeliest. Other tokens
-are their own likeliest word. A text's score is that of its most telling word, as read and as restored.
+are their own likeliest word. Tokens and runs are decoded whole, whatever their length. Where marks or spaces part letters,
+borders of words can't be told from them, so a word may begin at each letter after one. A text's score is that of its most
+telling word, as read and as restored.
 
 The character model is counted over all texts. The classifier, a decision list, is fitted on at most ``SAMPLE`` labelled
 rows outside the held-out part, taken in an order fixed by a hash of doc_id. Its features are words and word beginnings of 3 to 7 letters, which catch
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -88,12 +90,16 @@ class Decoder:
 
     def __init__(self, logs: np.ndarray, limit: int = 200_000):
         self.logs, self.limit = logs, limit
-        self.cache: dict[str, str] = {}
+        self.cache: dict[str, tuple[str, list[int]]] = {}
 
     def __call__(self, token: str) -> str:
+        return self.parts(token)[0]
+
+    def parts(self, token: str) -> tuple[str, list[int]]:
+        """(the word, places of its letters that follow a mark)."""
         if (got := self.cache.get(token)) is None:
             got = self._decode(token)
-            if len(self.cache) < self.limit:
+            if len(self.cache) < self.limit and len(token) <= 64:  # longer ones seldom come again
                 self.cache[token] = got
         return got
 
@@ -105,25 +111,33 @@ class Decoder:
             a, b = b, c
         return gain, (a, b)
 
-    def _decode(self, token: str) -> str:
-        best: dict[tuple, tuple[float, str]] = {((0, 0), ""): (0.0, "")}
-        for seen in token[:64]:
+    def _decode(self, token: str) -> tuple[str, list[int]]:
+        """A path is a chain (path before, letter written, whether a mark precedes it), so a step costs the same at any length."""
+        best: dict[tuple, tuple[float, tuple | None]] = {((0, 0), ""): (0.0, None)}
+        marked = False
+        for seen in token:
             options = [(x, SWAP) for x in LOOKS.get(seen, "")] + ([(seen, 0.0)] if seen.isalpha() else [])
-            new: dict[tuple, tuple[float, str]] = {}
-            for (state, last), (score, word) in best.items():
-                paths = []
+            new: dict[tuple, tuple[float, tuple | None]] = {}
+            for (state, last), (score, path) in best.items():
+                ways = []
                 if seen in MARKS or not options:
-                    paths.append((score + MARK, (state, last), word))
+                    ways.append((score + MARK, (state, last), path))
                 for letter, cost in options:
                     if letter == last:
-                        paths.append((score + cost + STRETCH, (state, last), word))
+                        ways.append((score + cost + STRETCH, (state, last), path))
                     gain, after = self._step(state, letter)
-                    paths.append((score + cost + gain, (after, letter), word + letter))
-                for path in paths:
-                    if path[1] not in new or path[0] > new[path[1]][0]:
-                        new[path[1]] = (path[0], path[2])
-            best = new
-        return max(((s + float(self.logs[k[0][0], k[0][1], 0]), w) for k, (s, w) in best.items()), default=(0.0, ""))[1]
+                    ways.append((score + cost + gain, (after, letter), (path, letter, marked)))
+                for way in ways:
+                    if way[1] not in new or way[0] > new[way[1]][0]:
+                        new[way[1]] = (way[0], way[2])
+            best, marked = new, seen in MARKS or not options
+        _, path = max(((s + float(self.logs[k[0][0], k[0][1], 0]), p) for k, (s, p) in best.items()), key=lambda x: x[0], default=(0.0, None))
+        letters, after = [], []
+        while path is not None:
+            path, letter, follows = path
+            letters.append(letter)
+            after.append(follows)
+        return "".join(reversed(letters)), [i for i, x in enumerate(reversed(after)) if x and i]
 
 
 def features(word: str) -> list[str]:
@@ -131,6 +145,24 @@ def features(word: str) -> list[str]:
     return [f"={word}", *(word[:k] for k in PREFIXES if len(word) >= k)]
 
 
+def inner(word: str, starts: Iterable[int], wanted: Mapping[str, object] | frozenset[str] | None, lengths: Sequence[int]) -> Iterator[tuple[str, str]]:
+    """(feature, letters) of the words and word beginnings that may begin at ``starts`` of decoded letters; ``lengths`` are those of the
+    features in ``wanted``. A whole word is looked for only where it is wanted, as its end isn't known."""
+    if wanted is None:
+        yield from ((word[i : i + k], word[i : i + k]) for i in starts for k in PREFIXES if i + k <= len(word))
+        return
+    for i in starts:
+        for k in lengths:
+            if i + k > len(word):
+                break
+            part = word[i : i + k]
+            yield from ((f, part) for f in (part, f"={part}") if f in wanted)
+
+
+def lengths_of(wanted: Iterable[str] | None) -> list[int]:
+    return sorted({len(f.removeprefix("=")) for f in wanted or ()} - {0})
+
+
 class Reader:
     """Distinct words of texts, as written and as restored."""
 
@@ -145,6 +177,11 @@ class Reader:
             return (core, self.decode(core))
         return (core,) if core else ()
 
+    def parted(self, token: str) -> tuple[str, Sequence[int]]:
+        """(decoded letters, places at which words may begin beside the first) of a token with marks."""
+        core = token.strip(EDGE)
+        return self.decode.parts(core) if not core.isalpha() and TRACE.search(core) else ("", ())
+
     def texts(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, list[tuple[int, str]]]:
         """(distinct tokens, token of each place, tokens per text, (text, letters) of runs of single-letter words)."""
         lists = pc.ascii_split_whitespace(pc.utf8_lower(texts))
@@ -160,7 +197,7 @@ class Reader:
             for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
                 if b - a >= 4:
                     owner = int(np.searchsorted(offsets - offsets[0], a, "right") - 1)
-                    runs.append((owner, "".join(names[c] for c in codes[a:b])[:64]))
+                    runs.append((owner, "".join(names[c] for c in codes[a:b])))
         return names, codes, n, runs
 
 
@@ -194,27 +231,33 @@ def fit(docs: DataFrame, labels: DataFrame, logs: np.ndarray, sample: tuple[int,
     prior = known.get(1, 0) / max(1, known.get(0, 0) + known.get(1, 0))
     weight = (known.get(0, 0) / max(1, n.get(0, 0))) / (known.get(1, 0) / n[1])
 
-    def holders(part: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
-        """(feature, number of texts with it, and for toxic ones their list)."""
+    def holders(part: DataFrame, wanted: frozenset[str] | None, lists: bool = False) -> DataFrame:
+        """(feature, number of texts with it, and their list if asked for)."""
+        lengths = lengths_of(wanted)
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             reader, total = Reader(logs), {}
             for batch in (x for b in batches for x in pieces_of(b, "text")):
                 names, codes, n, runs = reader.texts(plain(batch.column("text")))
-                made = [[f for w in reader.forms(x) for f in features(w) if wanted is None or f in wanted] for x in names]
+                made = [[f for w in reader.forms(x) for f in features(w) if wanted is None or f in wanted] + [f for f, _ in inner(*reader.parted(x), wanted, lengths)] for x in names]
+                spaced: dict[int, set[str]] = {}
+                for o, letters in runs:
+                    for w in {letters, reader.decode(letters)}:
+                        spaced.setdefault(o, set()).update([f for f in features(w) if wanted is None or f in wanted], (f for f, _ in inner(w, range(len(w)), wanted, lengths)))
                 ends, digests = np.cumsum(n), batch.column("digest").to_pylist()
                 for i, (a, b) in enumerate(zip((ends - n).tolist(), ends.tolist(), strict=True)):
                     here = {f for c in np.unique(codes[a:b]).tolist() for f in made[c]}
-                    here.update(f for o, w in runs if o == i for f in features(reader.decode(w)) if wanted is None or f in wanted)
+                    here |= spaced.get(i, set())
                     for f in here:
                         total.setdefault(f, []).append(digests[i])
-            lists = [x if wanted is None else [] for x in total.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([len(x) for x in total.values()], pa.int64()), pa.array(lists, pa.list_(pa.string()))], ["feature", "n", "texts"])
+            texts = [x if lists else [] for x in total.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([len(x) for x in total.values()], pa.int64()), pa.array(texts, pa.list_(pa.string()))], ["feature", "n", "texts"])
 
         return part.select("digest", "text").mapInArrow(find, "feature string, n bigint, texts array<string>").groupBy("feature").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("texts")).alias("texts"))
 
     number: dict[str, int] = {}
-    bad = {r["feature"]: [number.setdefault(t, len(number)) for t in r["texts"]] for r in holders(rows.where("toxic = 1"), None).where(F.col("n") >= LEAST).toLocalIterator()}
+    some = frozenset(r["feature"] for r in holders(rows.where("toxic = 1"), None).where(F.col("n") >= LEAST).select("feature").toLocalIterator())
+    bad = {r["feature"]: [number.setdefault(t, len(number)) for t in r["texts"]] for r in holders(rows.where("toxic = 1"), some, True).toLocalIterator()}
     good = {r["feature"]: r["n"] for r in holders(rows.where("toxic = 0"), frozenset(bad)).select("feature", "n").collect()}
 
     def share(f: str, k: int) -> float:
@@ -244,14 +287,15 @@ def score(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         share, low, logs = model.value
-        reader = Reader(logs)
+        reader, lengths = Reader(logs), lengths_of(share)
 
-        def best(words: Sequence[str]) -> tuple[float, str]:
-            return max(((share.get(f, low), w) for w in words for f in features(w)), default=(low, ""))
+        def best(words: Sequence[str], letters: str = "", starts: Iterable[int] = ()) -> tuple[float, str]:
+            found = [(share.get(f, low), w) for w in words for f in features(w)]
+            return max([*found, *((share[f], w) for f, w in inner(letters, starts, share, lengths))], default=(low, ""))
 
         for batch in (x for b in batches for x in pieces_of(b, "text")):
             names, codes, n, runs = reader.texts(plain(batch.column("text")))
-            told = [best(reader.forms(x)) for x in names]
+            told = [best(reader.forms(x), *reader.parted(x)) for x in names]
             p = np.fromiter((x[0] for x in told), float, len(told))
             out, word = np.full(len(n), low), [""] * len(n)
             full = np.flatnonzero(n)
@@ -262,7 +306,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
                     a = int(n[:i].sum())
                     word[i] = told[codes[a + int(np.argmax(p[codes[a : a + n[i]]]))]][1]
             for i, letters in runs:
-                got = best((reader.decode(letters),))
+                got = max(best((w,), w, range(len(w))) for w in (letters, reader.decode(letters)))
                 if got[0] > out[i]:
                     out[i], word[i] = got
             yield pa.RecordBatch.from_arrays(

@@ -269,6 +269,41 @@ def test_toxicity(spark):
     assert sum(p == y for p, y in held) >= 0.97 * len(held) and not any(p and not y for p, y in held)
 
 
+def spaced_case():
+    """Labelled texts around the word blarp, and probes from 1000 on, all of which are outside the labels."""
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(400):
+        w = text(rng, 30).split()
+        if i % 4 == 0:
+            w.insert(rng.randrange(len(w)), "blarp")
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(i % 4 == 0)))
+    return rows, labels
+
+
+def scores(spark, rows, labels):
+    got = toxicity.score(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    return {r["doc_id"]: (r["predicted"], r["score"], r["word"]) for r in got}
+
+
+def test_toxicity_reads_spaced_text_whole(spark):
+    rows, labels = spaced_case()
+    rest = text(random.Random(13), 60).replace(" ", "")
+    probes = [
+        (1000, "mire sola a b l a r p"), (1001, " ".join("tamireso" * 9 + "blarp")), (1002, " ".join(rest + "blarp" + rest)),
+        (1004, ".".join("resola" * 12 + "bl4rp")), (1005, " ".join(rest)), (1006, ".".join("resola" * 20)),
+    ]
+    got = scores(spark, rows + [x for p in probes for x in (p, (p[0] + 1000, "mire sola"))], labels)
+    assert [got[d][0] for d in (1000, 1001, 1002, 1004, 1005, 1006)] == [1, 1, 1, 1, 0, 0]
+
+
+def test_decoder_reads_long_tokens_whole(logs):
+    decode = toxicity.Decoder(logs)
+    assert decode("i" * 100 + "diot") == "idiot" and decode(".".join("the" * 30 + "1d10t")).endswith("idiot")
+    assert decode.parts("the.1d10t") == ("theidiot", [3])
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in toxicity.score(odd(spark), none).collect()} == {0.0}
