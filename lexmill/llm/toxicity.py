@@ -192,9 +192,12 @@ class Reader:
         single = np.fromiter((len(x) == 1 and (x.isalnum() or x in LOOKS) for x in names), bool, len(names))
         runs = []
         if single.any():
-            on = single[codes].astype(np.int8)
-            edge = np.diff(np.concatenate(([0], on, [0])))
-            for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
+            on = np.concatenate(([False], single[codes], [False]))
+            border = np.zeros(len(codes) + 1, bool)  # before the place: another text, where a run ends
+            border[offsets - offsets[0]] = True
+            first = on[1:-1] & (~on[:-2] | border[:-1])
+            last = on[1:-1] & (~on[2:] | border[1:])
+            for a, b in zip(np.flatnonzero(first), np.flatnonzero(last) + 1, strict=True):
                 if b - a >= 4:
                     owner = int(np.searchsorted(offsets - offsets[0], a, "right") - 1)
                     runs.append((owner, "".join(names[c] for c in codes[a:b])))

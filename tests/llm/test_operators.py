@@ -298,6 +298,20 @@ def test_toxicity_reads_spaced_text_whole(spark):
     assert [got[d][0] for d in (1000, 1001, 1002, 1004, 1005, 1006)] == [1, 1, 1, 1, 0, 0]
 
 
+def test_runs_end_with_their_text(logs):
+    reader = toxicity.Reader(logs)
+    texts = ["mire t a m i", "b l a r p sola", "", "r e s o", "s o l a", "m i r e sola t a m i"]
+    want = [(0, "tami"), (1, "blarp"), (3, "reso"), (4, "sola"), (5, "mire"), (5, "tami")]
+    assert reader.texts(pa.array(texts))[3] == want
+    assert [r for t in texts for r in reader.texts(pa.array([t]))[3]] == [(0, w) for _, w in want]
+
+
+def test_toxicity_of_neighbours(spark):
+    rows, labels = spaced_case()
+    got = scores(spark, rows + [(1000, "mire t a m i"), (1001, "b l a r p sola")], labels)
+    assert (got[1000][0], got[1001][0]) == (0, 1)
+
+
 def test_decoder_reads_long_tokens_whole(logs):
     decode = toxicity.Decoder(logs)
     assert decode("i" * 100 + "diot") == "idiot" and decode(".".join("the" * 30 + "1d10t")).endswith("idiot")
