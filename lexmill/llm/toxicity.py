@@ -204,10 +204,15 @@ class Reader:
         return names, codes, n, runs
 
 
+def learnable(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the labels outside the held-out part; nothing is learned from others."""
+    return labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic").withColumn("held", held_out()).where("not held").drop("held")
+
+
 def labelled(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> DataFrame:
     """(digest, text, toxic) of labelled rows outside the held-out part, at most as many clean and toxic ones as ``sample``
     says, each text once."""
-    known = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic").withColumn("held", held_out()).where("not held")
+    known = learnable(labels)
     some = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in enumerate(sample)]
     ids = some[0].unionByName(some[1]).select(F.col("doc_id").alias("labelled_id"), "toxic")
     rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("labelled_id")).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
@@ -230,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, logs: np.ndarray, sample: tuple[int,
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(1):
         return {}, 0.0
-    known = {r["toxic"]: r["n"] for r in labels.where("doc_id is not null").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    known = {r["toxic"]: r["n"] for r in learnable(labels).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     prior = known.get(1, 0) / max(1, known.get(0, 0) + known.get(1, 0))
     weight = (known.get(0, 0) / max(1, n.get(0, 0))) / (known.get(1, 0) / n[1])
 

@@ -298,6 +298,12 @@ def test_toxicity_reads_spaced_text_whole(spark):
     assert [got[d][0] for d in (1000, 1001, 1002, 1004, 1005, 1006)] == [1, 1, 1, 1, 0, 0]
 
 
+def test_toxicity_learns_nothing_from_held_out_labels(spark):
+    rows, labels = spaced_case()
+    other = [(d, q, 1 - t if zlib.crc32(str(d).encode()) % 4 == 2 and d % 3 else t) for d, q, t in labels]
+    assert other != labels and scores(spark, rows, other) == scores(spark, rows, labels)
+
+
 def test_runs_end_with_their_text(logs):
     reader = toxicity.Reader(logs)
     texts = ["mire t a m i", "b l a r p sola", "", "r e s o", "s o l a", "m i r e sola t a m i"]
