@@ -94,6 +94,27 @@ def nested_failures(states: DataFrame) -> DataFrame:
     return states.select("state", F.size(bad).alias("permanent"), (F.size("failed_laws") - F.size(bad)).alias("transient"))
 
 
+def failure_counts(failures: DataFrame, key: str, error: str) -> DataFrame:
+    """A25 over a failure a row: counts with partial aggregation, so a key's rows are never gathered."""
+    permanent = F.count_if(F.lower(error).rlike("404|not found"))
+    return failures.groupBy(key).agg(permanent.cast("int").alias("permanent"), (F.count("*") - permanent).cast("int").alias("transient"))
+
+
+def gap_states(events: DataFrame, key: str, order: str, action: str) -> DataFrame:
+    """N13 over an action a row: what ``rules.gap_after`` gives for a key's actions in order, from tier 0 and open, by partial
+    aggregates: the first action that ends a gap, and the escalations before it."""
+    at = F.struct(F.col(order).alias("o"), F.col(action).alias("a"))
+    rows = events.select(key, at.alias("at"))
+    ends = F.when(F.col("at.a").isin("resolve", "permanent"), F.col("at"))
+    each = rows.groupBy(key).agg(F.min(ends).alias("end"), F.count_if(F.col("at.a") == "escalate").alias("all"))
+    ended = each.where(F.col("end").isNotNull()).select(F.col(key).alias("ended_key"), F.col("end").alias("first_end"))
+    early = rows.where("at.a = 'escalate'").join(ended, F.col(key).eqNullSafe(F.col("ended_key"))).where(F.col("at") < F.col("first_end"))
+    before = early.groupBy(F.col("ended_key")).agg(F.count("*").alias("before"))
+    n = F.when(F.col("end").isNull(), F.col("all")).otherwise(F.coalesce("before", F.lit(0)))
+    status = F.when(F.col("end.a") == "resolve", "resolved").when(F.col("end.a") == "permanent", "permanent").when(n == 0, "open").when(n <= 4, "in_progress").otherwise("blocked")
+    return each.join(before, F.col(key).eqNullSafe(F.col("ended_key")), "left").select(key, F.least(n, F.lit(4)).cast("int").alias("tier"), status.alias("status"))
+
+
 def acquisition(log: DataFrame) -> DataFrame:
     """A26."""
     return log.withColumn("success_rate", F.coalesce(F.bround(F.try_divide(F.col("downloaded") * 100, F.col("found")), 1), F.lit(0.0))).withColumn(

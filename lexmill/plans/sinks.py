@@ -66,7 +66,8 @@ def law_json(laws: DataFrame, articles: DataFrame, key: str, order: str) -> Data
 
 
 def law_text(laws: DataFrame, articles: DataFrame, key: str, name: str, order: str, text: str) -> DataFrame:
-    """K8: one plain text per law."""
+    """K8: one plain text per law. A law's articles are gathered in a row, as its text is one value: it is bounded by the size of a
+    document, and one beyond Spark's limit of a row (2 GB) has no such text."""
     body = articles.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n\n").alias("body"))
     return laws.join(body, key, "left").select(key, F.concat_ws("\n\n", name, "body").alias("document"))
 

@@ -400,8 +400,7 @@ def _(s, d):
 @query("A25_nested", "SELECT user_id::VARCHAR AS state, count(*) FILTER (event_type = 'click')::INT AS permanent, count(*) FILTER (event_type <> 'click')::INT AS transient FROM events GROUP BY user_id")
 def _(s, d):
     e = F.when(F.col("event_type") == "click", "HTTP 404").otherwise("timeout")
-    rows = table(s, d, "events").groupBy(F.col("user_id").cast("string").alias("state")).agg(F.collect_list(F.struct(e.alias("error"))).alias("failed_laws"))
-    return dashboards.nested_failures(rows)
+    return dashboards.failure_counts(table(s, d, "events").select(F.col("user_id").cast("string").alias("state"), e.alias("error")), "state", "error")
 
 
 @query("A26_acquisition", "SELECT l_orderkey, l_linenumber, coalesce(round_even(CASE WHEN l_quantity <> 0 THEN l_linenumber * 100 / l_quantity END, 1), 0) AS success_rate FROM lineitem")
@@ -725,8 +724,7 @@ def _(s, d):
 @query("N13_gap_states", "WITH a AS (SELECT user_id, list(CASE WHEN event_type IN ('click', 'view') THEN 'escalate' ELSE 'wait' END) AS x FROM events GROUP BY 1), n AS (SELECT user_id, len(list_filter(x, lambda y: y = 'escalate')) AS n FROM a) SELECT user_id, least(n, 4)::INT AS tier, CASE WHEN n = 0 THEN 'open' WHEN n <= 4 THEN 'in_progress' ELSE 'blocked' END AS status FROM n")
 def _(s, d):
     action = F.when(F.col("event_type").isin("click", "view"), "escalate").otherwise("wait")
-    rows = table(s, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", action.alias("a")))), lambda x: x.a).alias("x"))
-    return rows.select("user_id", rules.gap_after(F.lit(0), F.lit("open"), F.col("x")).alias("g")).select("user_id", "g.tier", "g.status")
+    return dashboards.gap_states(table(s, d, "events").select("user_id", "event_id", action.alias("a")), "user_id", "event_id", "a")
 
 
 @query("P29_treaty_kind", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'bilateral' WHEN o_orderstatus = 'F' THEN 'multilateral' ELSE 'unknown' END AS kind FROM orders")

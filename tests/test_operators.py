@@ -160,3 +160,31 @@ def test_dashboards(spark):
     assert dashboards.phase_status(rows).first()["status"] == "partial"
     found, expected = spark.createDataFrame([("a", 60), ("b", 95)], "k string, found int"), spark.createDataFrame([(k, 100) for k in "abc"], "k string, expected int")
     assert {(r["k"], r["verdict"]) for r in dashboards.deviation(found, expected, "k").collect()} == {("a", "WARN"), ("b", "OK"), ("c", "FAIL")}
+
+
+def test_gap_states_fold_as_gap_after(spark):
+    import random
+
+    from lexmill.functions import rules
+
+    rng = random.Random(3)
+    rows = [(k, i, rng.choice(("escalate", "escalate", "escalate", "wait", None) + ("resolve", "permanent") * (k % 3 > 0))) for k in range(60) for i in range(rng.randint(1, 12))]
+    rows += [(None, 1, "escalate"), (None, 2, "resolve"), (None, 3, "escalate")]
+    events = spark.createDataFrame(rows, "k long, i long, a string").repartition(3)
+    lists = events.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "a"))), lambda x: x.a).alias("x"))
+    want = lists.select("k", rules.gap_after(F.lit(0), F.lit("open"), F.col("x")).alias("g")).select("k", "g.*").collect()
+    got = dashboards.gap_states(events, "k", "i", "a").collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in want} and len(got) == 61
+
+
+@pytest.mark.parametrize("name", ["N13_gap_states", "A25_nested"])
+def test_no_key_is_gathered_in_a_row(spark, name):
+    from lexmill import queries as reference
+
+    plan = reference.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+
+
+def test_failure_counts(spark):
+    rows = spark.createDataFrame([("a", "HTTP 404"), ("a", "Not Found"), ("a", None), ("b", "timeout")], "s string, e string")
+    assert {tuple(r) for r in dashboards.failure_counts(rows, "s", "e").collect()} == {("a", 2, 1), ("b", 0, 1)}
