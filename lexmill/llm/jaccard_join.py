@@ -173,7 +173,8 @@ def classes(members: DataFrame, levels: int = LEVELS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles and component_id (smallest doc_id that links reach)."""
+    """Per document: doc_id, n_shingles and component_id (smallest doc_id that links reach). Classes, not links: pairs inside a class
+    that has already merged aren't compared, so neither linked pairs nor a document's number of links are given."""
     first, groups = distinct_texts(docs)
     found = saved(candidates(first.select("digest", "text"), text_bytes(docs)).dropDuplicates(["digest"]), "jaccard-candidates")
     label = classes(saved(found.where("pivots is not null"), "jaccard-members"))
