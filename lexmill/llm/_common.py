@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import posixpath
 import tempfile
 import uuid
 
@@ -17,9 +18,12 @@ BROADCAST_BYTES = 64 << 20
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; a folder of our own only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the shared folder of spark.checkpoint.dir or of the context's checkpoint directory; in local mode, a folder of our
+    own where neither is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='lexmill-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -32,6 +36,15 @@ def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete saved tables that nothing reads any more: whatever came of them must be saved itself."""
+    for df in tables:
+        jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+        for folder in {posixpath.dirname(f) for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
+
+
 def bounded(df: DataFrame, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Mark a narrow, already saved table for broadcast if its counted size is under the limit; else leave it to a shuffled join."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
@@ -54,3 +67,24 @@ def text_bytes(docs: DataFrame, column: str = "text") -> int:
 
 def parts(total: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(total / each))
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """(digest, rep, text) of each distinct text once, null as empty; rep is its smallest doc_id, null only if it has no other."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.md5("text"))
+    rows = keyed.groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("least")
+    groups = rows.groupBy("digest").agg(least, F.sum("n").alias("copies")).where("copies > 1")
+    more = saved(groups.select(F.col("digest").alias("d"), F.col("least.doc_id").alias("rep"), (F.col("least.n") > 1).alias("again")), "texts")
+    one = keyed.join(bounded(more, 80), F.col("digest") == F.col("d"), "left").where("d is null or doc_id <=> rep").select("digest", F.col("doc_id").alias("rep"), "text", "again")
+    if not more.where("again").take(1):
+        return one.select("digest", "rep", "text")
+    again = one.where("again").groupBy("digest").agg(F.first("rep").alias("rep"), F.first("text").alias("text"))  # rows with one doc_id and text
+    return one.where("again is null or not again").select("digest", "rep", "text").unionByName(again)
+
+
+def kept_rows(docs: DataFrame, ids: DataFrame, there: bool = True) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose doc_id is among the distinct ``ids`` (doc_id; null is one too), or isn't."""
+    name = f"id_{uuid.uuid4().hex}"  # no column of docs has it
+    some = bounded(saved(ids.select(F.col("doc_id").alias(name)), "ids"), 16)
+    return docs.join(some, docs["doc_id"].eqNullSafe(some[name]), "left_semi" if there else "left_anti")

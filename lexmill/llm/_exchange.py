@@ -22,23 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ._common import parts, scratch
+from ._words import M1, M2, M3, distinct, mix  # noqa: F401
 
 CHUNK_BYTES, BUCKET_BYTES = 3 << 20, 8 << 20
-#: Fixed odd multipliers for mixing.
-M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 Arrays = dict[str, np.ndarray]
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser; changes its argument."""
-    x ^= x >> np.uint64(32)
-    x *= M2
-    x ^= x >> np.uint64(29)
-    x *= M3
-    x ^= x >> np.uint64(32)
-    return x
-
-
 def pack(arrays: Arrays) -> bytes:
     batch = pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)) for a in arrays.values()], list(arrays))
     sink = pa.BufferOutputStream()
@@ -173,12 +162,6 @@ def exchange(
     return path
 
 
-def distinct(x: np.ndarray) -> np.ndarray:
-    """Ascending distinct values, by sorting."""
-    x = np.sort(x)
-    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
-
-
 def sums(keys: np.ndarray, values: Sequence[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """(index of each key among the bucket's distinct keys, totals per distinct key)."""
     _, at = np.unique(keys, return_inverse=True)

@@ -6,10 +6,26 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from ._exchange import M1, M2, mix
-
+#: Fixed odd multipliers for mixing.
+M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Bytes of a block of texts that is hashed at once, so that its arrays stay in the cache.
 BLOCK = 256 << 10
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser; changes its argument."""
+    x ^= x >> np.uint64(32)
+    x *= M2
+    x ^= x >> np.uint64(29)
+    x *= M3
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Ascending distinct values, by sorting."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
 _lower = np.arange(256, dtype=np.uint64)

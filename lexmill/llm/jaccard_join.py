@@ -1,24 +1,26 @@
 """Exact join of documents at Jaccard distance of at most r = 0.2 on word 5-gram sets, in the metric space of sets.
 
-Pivots that are documents don't part text: nearly every document is at distance 1 from nearly every other, so a document
-is as near to one pivot as to the next and Voronoi regions are arbitrary. The pivots here are first the points {s}
-of the space, one for each shingle s that two documents share. A set x is at distance 1 - 1/|x| from {s} if s is in x,
-else at 1, so its nearest pivots are its own shingles; ties go to the rarest. If d(x, y) <= r then |x - y| <= |x| - ceil(0.8 |x|)
-(the triangle inequality through the cut x & y), so y holds one of the first |x| - ceil(0.8 |x|) + 1 pivots of x:
-that is the window into which a document is replicated. A document with fewer than 0.8 |x| shared shingles has no partner at
-all and leaves here; shingles that no other document has need no region.
-
-Regions then join recursively. Each region takes one of its documents as pivot, first the one with the least share of
-shingles that no other document has (in a group of near copies the original, not a copy of many changes), and measures its
-members' distances to it (each pair once, whatever the number of regions). Members within r of the pivot fall to its class; what classes have merged
-is one region less. Regions that still hold several classes go on with another pivot, and after ``LEVELS`` levels their
-members are compared with those of other classes whose sizes and distances to the region's first pivot allow a link: a cut
-is at most the lesser of their cuts with the pivot and, outside of it, the lesser of their remaining shared shingles. That
-is the triangle inequality on the parts inside and outside of the pivot, and stricter than on the distances alone. Every pair left out is in one class already or proven farther than r, so classes
-are exact; groups of copies and near copies cost a comparison per member and level, not one per pair.
-
-Equal texts are one member. Sets are compared on 64-bit shingle hashes; only shingles that two documents share count for an
-intersection, so only those are moved.
+Pivots are documents; a document's region is that of a pivot, and ``d`` its distance to it.
+
+1. Nearly all distances between documents are 1, so pivots drawn blindly would part nothing. A document at distance of at
+   most r from x shares one of the first |x| - ceil(0.8 |x|) + 1 shingles of x in an order that holds for all documents; these
+   are its window, and documents meet where windows share a shingle. The order puts frequent shingles last. Among those that meet, the one whose
+   window is the least its own (the original rather than a much changed copy) is the pivot, and each other one is in its
+   Voronoi region: a document is measured once against each pivot that it meets, and against no other.
+2. Within r of the pivot a document is linked with it, and so with all others of that inner part: nothing between them is left
+   to find. By the triangle inequality a document at d > r (the outer part) finds partners only at distances of d - r to d + r
+   from the pivot: that is the ring of inner documents that are replicated into the join of the outer part.
+3. The region's outer part and ring join recursively. The order is now: shingles outside of the pivot first. A pair
+   that may link shares u = ceil(4/9 (|x| + |y|)) shingles, so one of the first |x| - u + 1 in it (with the region's least size
+   for |y|); that is the new window, and pivots are chosen where these meet. A document whose cut with the pivot leaves
+   no room for u has no window and is out. Regions that hold one class are closed.
+
+A sub-region is without its pivot, so the recursion ends, and there is no step that compares all pairs of a region. Every pair left out is in
+one class or proven farther than r: classes are exact. Equal texts are one member. Sets are compared on 64-bit shingle
+hashes, and 64-bit names of sub-regions only bring documents together that are then measured.
+
+It gives classes, not linked pairs or their number: pairs of one class aren't measured, which is what keeps a group of
+copies linear.
 
 Defined cases: null, empty and wordless texts have an empty set and link with nothing; texts of fewer than n words have
 their whole sequence as the one shingle; component_id is the smallest doc_id of the class, null only if all of its ids
@@ -30,21 +32,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
-from ._common import bounded, saved, text_bytes
-from ._exchange import M2, Arrays, answers, buckets_for, chunked, distinct, exchange, mix, open_chunks, sums
-from ._words import plain, word_hashes
+from ._common import bounded, distinct_texts, kept_rows, saved
+from ._encode import pieces_of
+from ._words import M1, M2, distinct, mix, plain, word_hashes
 from .components import components
-from .suffix_dedup import distinct_texts
 
-SHINGLE, LEVELS = 5, 3
+SHINGLE = 5
 #: Similarity of at least PART / WHOLE.
 PART, WHOLE = 4, 5
+R = 1 - PART / WHOLE
+#: Shingles whose frequency is known to the order, at most; the order holds for any table, so that bounds a broadcast and no result.
+FREQUENT = 1 << 18
+#: A shingle is a candidate for that table with so many documents of a slice.
+OFTEN = 4
+NO_ID = (1 << 63) - 1
 _places = mix(np.arange(1, 65, dtype=np.uint64) * M2) | np.uint64(1)
 
 
@@ -72,121 +77,149 @@ def needed(n: int) -> int:
     return -(-PART * n // WHOLE)
 
 
-def candidates(texts: DataFrame, total: int) -> DataFrame:
-    """Per row of ``texts`` (digest, text): digest, n; and where a partner is possible, ``fps`` (its shared shingles, eight
-    bytes each, ascending) and ``pivots`` (those of its window)."""
-    chunks = chunked(texts, "jaccard")
+def cut_of(n: int, m: int) -> int:
+    """Shingles that linked sets of n and m share at least: ceil(4/9 (n + m))."""
+    return -(-PART * (n + m) // (PART + WHOLE))
 
-    def send(_: int, table: pa.Table) -> tuple[np.ndarray, Arrays]:
-        flat = np.sort(shingle_sets(plain(table.column("text")))[0])
-        first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.zeros(0, np.int64)
-        return flat[first], {"n": np.minimum(np.diff(np.append(first, len(flat))), 255).astype(np.uint8)}
 
-    def settle(keys: np.ndarray, values: Arrays, owner: np.ndarray) -> tuple[Arrays, None]:
-        at, (n,) = sums(keys, [values["n"]])
-        return {"df": np.minimum(n, 255).astype(np.uint8)[at]}, None
+def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ascending; classes of frequency) of the most frequent shingles, by counts over all texts of those that are
+    frequent within slices."""
 
-    path = exchange(chunks, "jaccard-df", send, settle, buckets_for(total))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for b in batches for x in pieces_of(b, "text")):
+            flat = np.sort(shingle_sets(plain(batch.column("text")))[0])
+            first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.zeros(0, np.int64)
+            n = np.diff(np.append(first, len(flat)))
+            yield pa.RecordBatch.from_arrays([pa.array(flat[first][n >= OFTEN].view(np.int64)), pa.array(n[n >= OFTEN])], ["h", "n"])
+
+    rows = texts.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    top = rows.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    by = np.argsort(h)
+    return h[by], (np.log2(n[by]).astype(np.uint8) if len(n) else np.zeros(0, np.uint8))
+
+
+def windows(texts: DataFrame) -> DataFrame:
+    """Per row of ``texts`` (digest, rep, text): digest, rep, n and the window, saved; ``t`` numbers the rows."""
+    often = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))  # at most FREQUENT entries
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, table in open_chunks(batches):
-            flat, n = shingle_sets(plain(table.column("text")))
-            df = answers(path, chunk).get("df", np.zeros(0, np.uint8))[np.searchsorted(distinct(flat), flat)] if len(flat) else np.zeros(0, np.uint8)
-            shared = np.concatenate(([0], np.cumsum(df > 1)))
-            ends = np.cumsum(n)
-            fps, pivots = [], []
-            for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True):
-                size, common = b - a, int(shared[b] - shared[a])
-                if size and common >= needed(size):
-                    x, d = flat[a:b], df[a:b]
-                    x, d = x[d > 1], d[d > 1]
-                    window = size - needed(size) + 1 - (size - common)
-                    fps.append(x.tobytes())
-                    pivots.append(x[np.lexsort((x, d))[:window]].astype(np.int64))
-                else:
-                    fps.append(None)
-                    pivots.append(None)
+        names, level = often.value
+        for batch in (x for b in batches for x in pieces_of(b, "text")):
+            flat, n = shingle_sets(plain(batch.column("text")))
+            at = np.minimum(np.searchsorted(names, flat), max(len(names) - 1, 0))
+            rank = np.where(names[at] == flat, level[at], 0) if len(names) else np.zeros(len(flat), np.uint8)
+            found = []
+            for a, b in zip((np.cumsum(n) - n).tolist(), np.cumsum(n).tolist(), strict=True):
+                x = flat[a:b]
+                if rank[a:b].any():
+                    x = x[np.argsort(rank[a:b], kind="stable")]
+                found.append(x[: b - a - needed(b - a) + 1] if b > a else x)
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in found])))
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("rep"), pa.array(n), lists], ["digest", "rep", "n", "window"])
+
+    rows = texts.select("digest", "rep", "text").mapInArrow(choose, "digest string, rep bigint, n bigint, window array<bigint>")
+    return saved(rows.select(F.monotonically_increasing_id().alias("t"), "*"), "jaccard-windows")
+
+
+def met(windows_: DataFrame) -> DataFrame:
+    """(key, t, n, own) of the windows' shingles that several documents have; ``own`` is the share of a window that no other has."""
+    spread = windows_.select(F.explode("window").alias("key"), "t")
+    crowd = spread.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    rows = saved(spread.join(crowd, "key"), "jaccard-met")
+    members = windows_.select("t", "n", F.size("window").alias("w")).join(rows.groupBy("t").agg(F.count("*").alias("k")), "t").select("t", "n", (1 - F.col("k") / F.col("w")).alias("own"))
+    return saved(rows.join(bounded(saved(members, "jaccard-members"), 24), "t"), "jaccard-met")
+
+
+def sets_of(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """(t, rep, n, fps) of the members (t, digest, rep): whole sets, eight bytes a shingle, ascending; saved."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (x for b in batches for x in pieces_of(b, "text")):
+            flat, n = shingle_sets(plain(batch.column("text")))
+            raw, ends = flat.tobytes(), np.cumsum(n) * 8
+            fps = [raw[a:b] for a, b in zip((ends - n * 8).tolist(), ends.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("t"), batch.column("rep"), pa.array(n), pa.array(fps, pa.binary())], ["t", "rep", "n", "fps"])
+
+    rows = texts.select("digest", "text").join(bounded(members.select("t", "digest", "rep"), 80), "digest").select("t", "rep", "text")
+    return saved(rows.mapInArrow(read, "t bigint, rep bigint, n bigint, fps binary"), "jaccard-sets")
+
+
+def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (t, p, least: the region's least size) with n, m (size of the pivot), both reps, i (size of the cut) and the
+    keys of the window around the pivot."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, keys = [], []
+            columns = (batch.column(c).to_pylist() for c in ("p", "n", "m", "least"))
+            for p, n, m, least, fx, fp in zip(*columns, batch.column("fx"), batch.column("fp"), strict=True):
+                x, y = np.frombuffer(fx.as_buffer(), np.uint64), np.frombuffer(fp.as_buffer(), np.uint64)
+                inside = y[np.minimum(np.searchsorted(y, x), m - 1)] == x
+                i = int(inside.sum())
+                take = max(0, n - cut_of(n, max(least, needed(n))) + 1)
+                if n >= m and WHOLE * i >= PART * (n + m - i):  # an inner document at least as large as the pivot meets partners outside of the pivot
+                    take = min(take, n - i)
+                order = np.concatenate((x[~inside], x[inside]))[:take]
+                sizes.append(i)
+                keys.append(mix(order ^ mix(np.array([p], np.int64).view(np.uint64) * M1 + M2)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [plain(table.column("digest")), pa.array(n), pa.array(fps, pa.binary()), pa.array(pivots, pa.list_(pa.int64()))], ["digest", "n", "fps", "pivots"]
+                [*(batch.column(c) for c in ("t", "p", "n", "m", "rep", "prep")), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                ["t", "p", "n", "m", "rep", "prep", "i", "keys"],
             )
 
-    return chunks.mapInArrow(choose, "digest string, n bigint, fps binary, pivots array<bigint>")
-
-
-@F.pandas_udf(LongType())
-def shared_count(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
-
-
-def measure(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b, i, link) of the pairs (a, b); i is the size of their cut."""
-    left = members.select(F.col("digest").alias("a"), F.col("n").alias("na"), F.col("fps").alias("fa"))
-    right = members.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("fps").alias("fb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("t"), shared_count("fa", "fb").alias("i"))
-    union = F.col("t") - F.col("i")
-    return both.select("a", "b", "i", (WHOLE * F.col("i") >= PART * union).alias("link"))
-
-
-def classes(members: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """(digest, class) of the members (digest, n, fps, pivots) that have a partner; class is the least digest in it."""
-    spark = members.sparkSession
-    spread = saved(members.select("digest", "n", (F.octet_length("fps") / 8).cast("long").alias("c"), F.explode("pivots").alias("pivot")), "jaccard-regions")
-    crowd = spread.groupBy("pivot").agg(F.count("*").alias("k")).where("k > 1").select("pivot")
-    spread = saved(spread.join(crowd, "pivot"), "jaccard-regions")
-    known = spark.createDataFrame([], "a string, b string, i bigint, link boolean")
-    label = spark.createDataFrame([], "digest string, class string")
-    close = (WHOLE * F.least("n", "m") >= PART * F.greatest("n", "m"))
-
-    def open_regions() -> DataFrame:
-        """Members of regions that hold several classes."""
-        rows = spread.join(label, "digest", "left").withColumn("class", F.coalesce("class", "digest"))
-        several = rows.groupBy("pivot").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("pivot")
-        return rows.join(several, "pivot")
-
-    def order(level: int) -> Column:
-        """The least of a region is its pivot at this level."""
-        own = (F.col("n") - F.col("c")) / F.col("n") if level == 0 else F.lit(0.0)
-        return F.struct(own, F.xxhash64("digest", F.lit(level)), "digest", "n", "class")
-
-    for level in range(levels + 1):
-        rows = saved(open_regions(), "jaccard-open")
-        if level < levels:  # a pivot for each region, another at each level
-            pivot = rows.groupBy("pivot").agg(F.min(order(level)).alias("p")).select("pivot", F.col("p.digest").alias("p"), F.col("p.n").alias("m"), F.col("p.class").alias("pc"))
-            found = rows.join(pivot, "pivot").where((F.col("class") != F.col("pc")) & close)
-            pairs = found.select(F.least("digest", "p").alias("a"), F.greatest("digest", "p").alias("b")).distinct()
-        else:
-            hub = rows.groupBy("pivot").agg(F.min(order(0)).alias("p")).select("pivot", F.col("p.digest").alias("hub"))
-            to = known.select(F.col("a").alias("digest"), F.col("b").alias("hub"), "i").unionByName(known.select(F.col("b").alias("digest"), F.col("a").alias("hub"), "i"))
-            rows = rows.join(hub, "pivot").join(to, ["digest", "hub"], "left")
-            inside = F.when(F.col("digest") == F.col("hub"), F.col("c")).otherwise(F.col("i"))
-            rows = saved(rows.select("pivot", "digest", "n", "c", "class", inside.alias("i")), "jaccard-open")
-            other = rows.select("pivot", F.col("digest").alias("b"), F.col("n").alias("m"), F.col("c").alias("bs"), F.col("class").alias("bc"), F.col("i").alias("bi"))
-            part = F.least("i", "bi") + F.least(F.col("c") - F.col("i"), F.col("bs") - F.col("bi"))
-            most = F.when(F.col("i").isNotNull() & F.col("bi").isNotNull(), part).otherwise(F.least("c", "bs"))
-            able = (PART + WHOLE) * most >= PART * (F.col("n") + F.col("m"))
-            pairs = rows.join(other, "pivot").where((F.col("digest") < F.col("b")) & (F.col("class") != F.col("bc")) & close & able).select(F.col("digest").alias("a"), "b").distinct()
-        fresh = saved(measure(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), members), "jaccard-pairs")
-        known = known.unionByName(fresh)
-        if fresh.where("link").take(1):
-            label = saved(components(known.where("link").select("a", "b")).withColumnsRenamed({"node": "digest", "component": "class"}), "jaccard-classes")
-    return label
+    left = sets.select("t", "n", "rep", F.col("fps").alias("fx"))
+    right = sets.select(F.col("t").alias("p"), F.col("n").alias("m"), F.col("rep").alias("prep"), F.col("fps").alias("fp"))
+    both = pairs.join(left, "t").join(right, "p").select("t", "p", "n", "m", "rep", "prep", "least", "fx", "fp")
+    return both.mapInArrow(cut, "t bigint, p bigint, n bigint, m bigint, rep bigint, prep bigint, i bigint, keys array<bigint>")
+
+
+def node(rep: str, t: str) -> Column:
+    """Of the graph of links; the least of a class has its smallest doc_id."""
+    return F.struct(F.coalesce(F.col(rep), F.lit(NO_ID)).alias("rep"), F.col(t).alias("t"))
+
+
+def classes(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(t, low: the smallest doc_id of its class) of the documents that have a partner; ``rows`` (key, t, n, own) say where they meet."""
+    rows, links, label = rows.withColumn("outer", F.lit(True)), None, None
+    while True:
+        held = rows.join(bounded(label.select("t", "class"), 40), "t", "left").withColumn("class", F.coalesce("class", "t")) if label is not None else rows.withColumn("class", F.col("t"))
+        first = F.min(F.struct("own", F.xxhash64("t"), "t")).alias("first")
+        regions = held.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("outer").alias("open"), first).where("lo <> hi and open").select("key", F.col("first.t").alias("p"))
+        pairs = saved(held.join(regions, "key").where("t <> p").groupBy("t", "p").agg(F.first("n").alias("n"), F.first("own").alias("own")), "jaccard-pairs")
+        if not pairs.take(1):
+            return label.select("t", "low") if label is not None else rows.sparkSession.createDataFrame([], "t bigint, low bigint")
+        least = saved(pairs.groupBy("p").agg(F.min("n").alias("least")), "jaccard-least")
+        union = F.col("n") + F.col("m") - F.col("i")
+        found = measure(pairs.join(bounded(least, 16), "p").select("t", "p", "least"), sets).withColumns({"outer": WHOLE * F.col("i") < PART * union, "d": 1 - F.col("i") / union})
+        found = saved(found, "jaccard-measured")
+        new = found.where("not outer").select(node("rep", "t").alias("a"), node("prep", "p").alias("b"))
+        links = new if links is None else links.unionByName(new)
+        if new.take(1):
+            label = saved(components(links).select(F.col("node.t").alias("t"), F.col("component.t").alias("class"), F.col("component.rep").alias("low")), "jaccard-classes")
+        ring = saved(found.where("outer").groupBy("p").agg((F.min("d") - R - 1e-9).alias("from")), "jaccard-rings")
+        stay = found.join(bounded(ring, 16), "p").where(F.col("outer") | (F.col("d") >= F.col("from")))
+        own = pairs.select("t", "p", "own")
+        rows = saved(stay.select("t", "p", "n", "outer", "keys").join(own, ["t", "p"]).select(F.explode("keys").alias("key"), "t", "n", "own", "outer"), "jaccard-met")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles and component_id (smallest doc_id that links reach). Classes, not links: pairs inside a class
-    that has already merged aren't compared, so neither linked pairs nor a document's number of links are given."""
-    first, groups = distinct_texts(docs)
-    found = saved(candidates(first.select("digest", "text"), text_bytes(docs)).dropDuplicates(["digest"]), "jaccard-candidates")
-    label = classes(saved(found.where("pivots is not null"), "jaccard-members"))
-    ids = saved(found.select("digest", "n").join(groups.select("digest", "rep"), "digest").join(label, "digest", "left"), "jaccard-ids")
-    low = ids.where("class is not null").groupBy("class").agg(F.min("rep").alias("low"))
-    ids = saved(ids.join(low, "class", "left").select("digest", "n", "rep", "low"), "jaccard-low")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
-    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("low", "rep"))
-    return rows.join(bounded(ids, 100), "digest").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    """Per document: doc_id, n_shingles and component_id (smallest doc_id that links reach)."""
+    texts = distinct_texts(docs)
+    named = windows(texts)
+    rows = met(named)
+    members = saved(named.join(rows.select("t").distinct(), "t", "left_semi").select("t", "digest", "rep"), "jaccard-members")
+    label = classes(rows, sets_of(texts, members))
+    low = F.nullif(F.coalesce("low", F.col("rep")), F.lit(NO_ID))
+    ids = saved(named.select("t", "digest", "n", "rep").join(bounded(label, 24), "t", "left").select("digest", "n", low.alias("low")), "jaccard-ids")
+    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("low"))
+    return each.join(bounded(ids, 100), "digest").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents with one of each class: the one of the smallest doc_id. Documents without words stay, all of them."""
-    ids = near_duplicates(docs).where("component_id <=> doc_id").select(F.col("doc_id").alias("keep")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("keep")), "left_semi").select(*docs.columns)
+    ids = near_duplicates(docs).where("component_id <=> doc_id").select("doc_id").distinct()
+    return kept_rows(docs, ids)
