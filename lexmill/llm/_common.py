@@ -15,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A table is broadcast only up to this many bytes, as measured before the join.
 BROADCAST_BYTES = 64 << 20
+#: Spark's setting that deletes an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -30,9 +32,14 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Cut lineage: write to the shared folder and read back."""
+    """Cut lineage: write to the shared folder and read back. The shuffle files of the write go when it has ended."""
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
-    df.write.options(**{"compression": "zstd"} | options).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**{"compression": "zstd"} | options).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
     return spark.read.parquet(path)
 
 

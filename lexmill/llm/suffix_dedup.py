@@ -1,18 +1,25 @@
 """Repeated byte strings by bucket-pointer refinement over q-gram buckets.
 
-A position's bucket identifier is a 64-bit value of its q-gram. Starting at q = 13, a bucket is refined by the identifier
-at a later offset of the same text: (13-gram at i, 13-gram at i + 13) gives 26-gram buckets and (26-gram at i, 26-gram
-at i + 24) 50-gram buckets. Sorting all suffixes isn't needed: a bucket with one member is final, so only members of
-buckets that other documents share go to the next refinement, in two exchanges between chunks of documents:
-
-1. Of each 25 consecutive 26-grams the least is the anchor of the 50-byte string that they fill, so equal 50-byte
-   strings have equal anchors at equal offsets. Consecutive strings with one anchor are a run. Runs are bucketed by
-   anchor and refined by the 50-gram identifiers at the run's first and last string, which fix all its bytes. A run that
-   an earlier document also has is repeated whole; a run whose anchor has no other context is not repeated.
-2. Runs whose anchor occurs in other contexts too (ends of passages) are refined string by string, on 50-gram
-   identifiers; what round 1 settled is reused and not sorted again.
-
-Exact copies of a text are settled by digest before; each distinct text takes part once, under its smallest doc_id.
+A position's bucket is named by a 64-bit value of its q-gram. A bucket is refined by the name of the bucket at a later offset
+of the same text: 13-grams at i and i + 13 name the 26-gram at i; 26-grams at i and i + 24 name the 50-byte string at
+i. A bucket whose members are all of one document is final: nothing in it is repeated. Only members of other ones go to the
+next refinement, which reuses the names that the one before has given.
+
+Rows for all suffixes would be many times the corpus. Of each 25 consecutive 26-grams the least is the anchor of the 50-byte
+string that they fill, so equal strings have equal anchors at equal offsets, and only anchors are bucketed; consecutive
+strings with one anchor are a run.
+
+1. Initial buckets: the 26-grams of anchors, with the least and the largest doc_id of each. Buckets of several documents
+   are open; their members are joined back to the texts.
+2. Runs of open buckets are refined by the names at their first and last string, which fix all their bytes (128 bits with the
+   bucket's). A run that an earlier document also has is repeated whole. If its bucket has other refinements too (ends of passages),
+   the first document's strings stay open.
+3. Open strings are refined one by one, by the names of the buckets at i and i + 24 (128 bits). A string that an earlier document has is
+   repeated.
+
+Each step is a partial aggregation and a join on bucket names, so a frequent passage is counted before it is shuffled, and its
+rows can be split. Exact copies of a text are settled by digest before; each distinct text takes part once, under its
+smallest doc_id.
 
 Defined cases: null and empty texts have 0 bytes and nothing removed; texts under 50 bytes are never changed; a
 document repeats only what starts in one with a smaller doc_id, so rows with one doc_id don't remove from each other,
@@ -23,29 +30,33 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded, saved, text_bytes
-from ._exchange import M1, M2, M3, Arrays, answers, buckets_for, chunked, exchange, mix, open_chunks
+from ._common import bounded, distinct_texts, forget, saved
+from ._encode import expand, pieces_of
+from ._words import M1, M2, M3, distinct, mix
 
 LENGTH, Q, STEP = 50, 26, 25  # STEP: q-grams in a string of LENGTH
 BLOCK = 256 << 10
 LAST = np.iinfo(np.int64).max
 _bytes = mix(np.arange(1, 257, dtype=np.uint64) * M1)
+RUNS = "bucket bigint, context bigint, rep bigint, t bigint, lo int, size int"
+STRINGS = "bucket bigint, later bigint, rep bigint, t bigint, lo int"
+RESULT = "t bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
-def refine(ids: np.ndarray, offset: int) -> np.ndarray:
-    """Bucket identifiers of the strings that a bucket and the bucket ``offset`` later fill."""
-    return mix(ids[:-offset] * M1 + ids[offset:])
+def refine(names: np.ndarray, offset: int) -> np.ndarray:
+    """Names of the strings that a bucket and the bucket ``offset`` later fill."""
+    return mix(names[:-offset] * M1 + names[offset:])
 
 
-def identifiers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of the 26-grams and the 50-grams at each byte."""
+def gram_names(data: np.ndarray) -> np.ndarray:
+    """Of the 26-gram at each byte."""
     h1 = _bytes[data]
 
     def longer(a: np.ndarray, b: np.ndarray, la: int, lb: int) -> np.ndarray:
@@ -55,8 +66,7 @@ def identifiers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     h2 = longer(h1, h1, 1, 1)
     h4 = longer(h2, h2, 2, 2)
     h13 = mix(longer(longer(longer(h4, h4, 4, 4), h4, 8, 4), h1, 12, 1))
-    h26 = refine(h13, 13)
-    return h26, refine(h26, LENGTH - Q)
+    return refine(h13, 13)
 
 
 def least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -68,177 +78,198 @@ def least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(got[: len(keys) - width + 1], got[width - done :]) if done < width else got
 
 
-def block_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(anchor identifier, context identifier, first string, last string, document) of each run, and 50-gram identifiers."""
-    n = len(data) - LENGTH + 1
+def runs_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(26-gram names, anchor, first string, last string, text) of the runs in the texts that ``offsets`` part."""
+    n, none = len(data) - LENGTH + 1, np.zeros(0, np.int64)
     if n <= 0:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none.astype(np.uint64), none, none, none, none.astype(np.uint64)
-    h26, h50 = identifiers(data)
+        return none.astype(np.uint64), none, none, none, none
+    names = gram_names(data)
     low = np.uint64((1 << max(24, int(len(data)).bit_length())) - 1)
-    anchor = (least((h26 & ~low) | np.arange(len(h26), dtype=np.uint64), STEP) & low).astype(np.int64)
+    anchor = (least((names & ~low) | np.arange(len(names), dtype=np.uint64), STEP) & low).astype(np.int64)
     inside = np.repeat(offsets[1:], np.diff(offsets))[:n] - np.arange(n) >= LENGTH
     at = np.flatnonzero(inside)
     if not len(at):
-        return h50[:0], h50[:0], at, at, at, h50
+        return names, none, none, none, none
     new = np.concatenate(([True], (anchor[at[1:]] != anchor[at[:-1]]) | (at[1:] != at[:-1] + 1)))
     lo, hi = at[new], at[np.append(np.flatnonzero(new)[1:], len(at)) - 1]
-    p = anchor[lo]
-    context = mix(h50[lo] * M1 + h50[hi] * M2 + (p - lo).astype(np.uint64) * M3 + (hi - lo).astype(np.uint64))
-    return h26[p], context, lo, hi, np.searchsorted(offsets, lo, "right") - 1, h50
-
+    return names, anchor[lo], lo, hi, np.searchsorted(offsets, lo, "right") - 1
 
-class Chunk:
-    """Runs of a chunk, their classes (anchor and context) in ascending order, and the least document of each class."""
 
-    def __init__(self, table: pa.Table):
-        text = table.column("text")
-        text = text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text
-        text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, their bytes, offsets of texts) in blocks that stay in the cache; a text is never cut."""
+    for batch in (x for b in batches for x in pieces_of(b, "text", BLOCK)):
+        text = batch.column("text")
         raw = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
-        self.data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[raw[0] : raw[-1]]
-        self.offsets = raw - raw[0]
-        self.docs = table.column("doc_id").fill_null(LAST).to_numpy()
-        found, self.blocks, at = [], [], 0
-        while at < len(text):
-            end = max(at + 1, int(np.searchsorted(self.offsets, self.offsets[at] + BLOCK)))
-            end = min(end, len(text))
-            a, b = self.offsets[at], self.offsets[end]
-            *runs, h50 = block_runs(self.data[a:b], self.offsets[at : end + 1] - a)
-            runs[2], runs[3], runs[4] = runs[2] + a, runs[3] + a, runs[4] + at
-            found.append(runs)
-            self.blocks.append((a, h50))
-            at = end
-        anchor, context, self.lo, self.hi, self.doc = (np.concatenate([x[k] for x in found]) for k in range(5)) if found else (np.zeros(0, np.int64),) * 5
-        key = (anchor.astype(np.uint64) & np.uint64(0xFFFFFFFFFF000000)) | (context.astype(np.uint64) >> np.uint64(40))
-        more = ((context.astype(np.uint64) >> np.uint64(8)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        self.run_doc = self.docs[self.doc] if len(self.doc) else np.zeros(0, np.int64)
-        order = np.lexsort((self.run_doc, more, key))
-        k, m = key[order], more[order]
-        new = np.concatenate(([True], (k[1:] != k[:-1]) | (m[1:] != m[:-1]))) if len(k) else np.zeros(0, bool)
-        self.key, self.more, self.least = k[new], m[new], self.run_doc[order][new]
-        self.of = np.empty(len(k), np.int64)
-        self.of[order] = np.cumsum(new) - 1
-
-    def open_strings(self, status: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, 50-gram identifier, document) of the strings that round 1 left open."""
-        open_ = np.flatnonzero((status[self.of] == 2) & (self.run_doc == self.least[self.of]))
-        n = self.hi[open_] - self.lo[open_] + 1
-        place = np.repeat(self.lo[open_] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        ids = np.empty(len(place), np.uint64)
-        starts = np.array([a for a, _ in self.blocks], np.int64)
-        which = np.searchsorted(starts, place, "right") - 1
-        edges = np.searchsorted(which, np.arange(len(starts) + 1))
-        for b, (a, h50) in enumerate(self.blocks):
-            s = slice(edges[b], edges[b + 1])
-            ids[s] = h50[place[s] - a]
-        return place, ids, np.repeat(self.run_doc[open_], n)
-
-
-def first_of(ids: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct ids, least document of each, index of each id)."""
-    names, of = np.unique(ids, return_inverse=True)
-    low = np.full(len(names), LAST)
-    np.minimum.at(low, of, docs)
-    return names, low, of
-
-
-def narrow(docs: np.ndarray) -> np.ndarray:
-    """Document numbers in four bytes if they fit."""
-    return docs.astype(np.uint32) if len(docs) and docs.min() >= 0 and docs.max() < 1 << 32 else docs
-
-
-def settle_runs(keys: np.ndarray, values: Arrays, owner: np.ndarray) -> tuple[Arrays, None]:
-    """0: no other document has it; 1: an earlier one has it; 2: its anchor has other contexts."""
-    doc, more = values["doc"], values["more"]
-    order = np.lexsort((doc, more, keys))
-    k, m, d = keys[order], more[order], doc[order]
-    new = np.concatenate(([True], (k[1:] != k[:-1]) | (m[1:] != m[:-1])))
-    low = d[np.flatnonzero(new)][np.cumsum(new) - 1]
-    anchor = k >> np.uint64(24)
-    group = np.cumsum(np.concatenate(([True], anchor[1:] != anchor[:-1]))) - 1
-    several = np.bincount(group, weights=new)[group] > 1
-    status = np.empty(len(k), np.uint8)
-    status[order] = np.where(d > low, 1, np.where(several, 2, 0))
-    return {"status": status}, None
-
-
-def settle_strings(keys: np.ndarray, values: Arrays, owner: np.ndarray) -> tuple[Arrays, None]:
-    _, low, of = first_of(keys, values["doc"])
-    return {"earlier": (values["doc"] > low[of]).astype(np.uint8)}, None
-
-
-def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(digest, doc_id, text) of each distinct text under its smallest doc_id; and (digest, rep) for all texts, saved."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.md5("text"))
-    groups = saved(keyed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "texts")
-    more = bounded(groups.where("copies > 1").select(F.col("digest").alias("d"), "rep"), 80)
-    first = keyed.join(more, F.col("digest") == F.col("d"), "left").where("d is null or doc_id <=> rep").select("digest", "doc_id", "text")
-    return first, groups
-
-
-def distinct_results(texts: DataFrame, total: int, keep: bool = False) -> DataFrame:
-    """Per row of ``texts`` (digest, doc_id, text): digest, n_bytes, n_removed, n_spans, kept_sha256, and with ``keep`` the kept bytes."""
-    chunks, buckets = chunked(texts, "suffix"), buckets_for(total)
-
-    def send_runs(_: int, table: pa.Table) -> tuple[np.ndarray, Arrays]:
-        c = Chunk(table)
-        return c.key, {"more": c.more, "doc": narrow(c.least)}
-
-    status = exchange(chunks, "suffix-runs", send_runs, settle_runs, buckets)
-
-    def send_strings(chunk: int, table: pa.Table) -> tuple[np.ndarray, Arrays]:
-        c = Chunk(table)
-        _, ids, docs = c.open_strings(answers(status, chunk).get("status", np.zeros(0, np.uint8)))
-        names, low, _ = first_of(ids, docs)
-        return names, {"doc": narrow(low)}
-
-    earlier = exchange(chunks, "suffix-strings", send_strings, settle_strings, buckets)
+        yield batch, np.frombuffer(text.buffers()[2] or b"", np.uint8)[raw[0] : raw[-1]], raw - raw[0]
+
+
+def gathered(rows: Iterator[tuple[np.ndarray, ...]], make: Callable[..., pa.RecordBatch], size: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """``make`` of the columns of several blocks, so that few batches go to Spark."""
+    held, n = [], 0
+    for x in rows:
+        held.append(x)
+        n += len(x[0])
+        if n >= size:
+            yield make(*map(np.concatenate, zip(*held, strict=True)))
+            held, n = [], 0
+    if held:
+        yield make(*map(np.concatenate, zip(*held, strict=True)))
+
+
+def ids(column: pa.Array) -> np.ndarray:
+    """doc_ids; null is the last."""
+    return column.fill_null(LAST).to_numpy()
+
+
+def signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def open_buckets(texts: DataFrame) -> DataFrame:
+    """(bucket) of anchors that several documents share."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts() -> Iterator[tuple[np.ndarray, ...]]:
+            for batch, data, offsets in blocks(batches):
+                names, anchor, _, _, text = runs_of(data, offsets)
+                yield names[anchor], ids(batch.column("rep"))[text]
+
+        def make(bucket: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
+            order = np.lexsort((rep, bucket))
+            b, r = bucket[order], rep[order]
+            first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, np.int64)
+            last = np.append(first[1:], len(b)) - 1 if len(b) else first
+            return pa.RecordBatch.from_arrays([signed(b[first]), pa.array(r[first]), pa.array(r[last])], ["bucket", "lo", "hi"])
+
+        yield from gathered(parts(), make, 2_000_000)
+
+    rows = texts.mapInArrow(send, "bucket bigint, lo bigint, hi bigint").groupBy("bucket").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return saved(rows.where("lo < hi").select("bucket"), "suffix-buckets")
+
+
+def open_members(texts: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(t, buckets): the open ones of each text, no more than it has anchors."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts() -> Iterator[tuple[np.ndarray, ...]]:
+            for batch, data, offsets in blocks(batches):
+                names, anchor, _, _, text = runs_of(data, offsets)
+                yield names[anchor], batch.column("t").to_numpy()[text]
+
+        yield from gathered(parts(), lambda b, t: pa.RecordBatch.from_arrays([signed(b), pa.array(t)], ["bucket", "t"]))
+
+    rows = saved(texts.mapInArrow(send, "bucket bigint, t bigint").join(buckets, "bucket"), "suffix-members")
+    out = saved(rows.groupBy("t").agg(F.collect_set("bucket").alias("buckets")), "suffix-members")
+    forget(rows, buckets)
+    return out
+
+
+def open_runs(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """(t, lo, size, whole): the runs of open buckets that are repeated whole, or (not whole) whose strings stay open."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts() -> Iterator[tuple[np.ndarray, ...]]:
+            for batch, data, offsets in blocks(batches):
+                names, p, lo, hi, text = runs_of(data, offsets)
+                bucket, wanted = names[p], batch.column("buckets")
+                known = wanted.offsets.to_numpy()
+                per = wanted.values.to_numpy().view(np.uint64)
+                on = np.zeros(len(bucket), bool)
+                edges = np.searchsorted(text, np.arange(len(offsets)))
+                for i in np.flatnonzero(np.diff(edges)).tolist():
+                    own = slice(edges[i], edges[i + 1])
+                    on[own] = np.isin(bucket[own], per[known[i] : known[i + 1]])
+                p, lo, hi, text, bucket = p[on], lo[on], hi[on], text[on], bucket[on]
+                string = refine(names, LENGTH - Q)
+                context = mix(string[lo] * M1 + string[hi] * M2 + (p - lo).astype(np.uint64) * M3 + (hi - lo).astype(np.uint64))
+                yield bucket, context, ids(batch.column("rep"))[text], batch.column("t").to_numpy()[text], lo - offsets[text], hi - lo
+
+        def make(bucket: np.ndarray, context: np.ndarray, rep: np.ndarray, t: np.ndarray, lo: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([signed(bucket), signed(context), pa.array(rep), pa.array(t), pa.array(lo.astype(np.int32)), pa.array(size.astype(np.int32))], ["bucket", "context", "rep", "t", "lo", "size"])
+
+        yield from gathered(parts(), make)
+
+    rows = saved(texts.join(members, "t").select("t", "rep", "text", "buckets").mapInArrow(send, RUNS), "suffix-runs")
+    refined = rows.groupBy("bucket", "context").agg(F.min("rep").alias("first"))
+    refined = saved(refined, "suffix-refined")
+    several = refined.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket", F.lit(True).alias("several"))
+    refined = saved(refined.join(several, "bucket", "left"), "suffix-refined")
+    out = rows.join(refined, ["bucket", "context"]).where("rep > first or several").select("t", "lo", "size", (F.col("rep") > F.col("first")).alias("whole"))
+    out = saved(out, "suffix-open")
+    forget(rows)
+    return out
+
+
+def repeated_strings(texts: DataFrame, runs: DataFrame) -> DataFrame:
+    """(t, lo) of the open strings that an earlier document has."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts() -> Iterator[tuple[np.ndarray, ...]]:
+            for batch, data, offsets in blocks(batches):
+                names, runs = gram_names(data), batch.column("runs")
+                n = np.diff(runs.offsets.to_numpy())
+                text = np.repeat(np.arange(len(batch)), n)
+                lo = runs.values.field("lo").to_numpy().astype(np.int64)[runs.offsets[0].as_py() :][: len(text)]
+                size = runs.values.field("size").to_numpy().astype(np.int64)[runs.offsets[0].as_py() :][: len(text)] + 1
+                at, text = expand(offsets[text] + lo, size), np.repeat(text, size)
+                yield names[at], names[at + LENGTH - Q], ids(batch.column("rep"))[text], batch.column("t").to_numpy()[text], at - offsets[text]
+
+        def make(bucket: np.ndarray, later: np.ndarray, rep: np.ndarray, t: np.ndarray, lo: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([signed(bucket), signed(later), pa.array(rep), pa.array(t), pa.array(lo.astype(np.int32))], ["bucket", "later", "rep", "t", "lo"])
+
+        yield from gathered(parts(), make)
+
+    each = runs.where("not whole").groupBy("t").agg(F.collect_list(F.struct("lo", "size")).alias("runs"))  # a text's own
+    rows = texts.join(each, "t").select("t", "rep", "text", "runs").mapInArrow(send, STRINGS)
+    first = saved(rows.groupBy("bucket", "later").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("bucket", "later", "first"), "suffix-strings")
+    out = saved(rows.join(first, ["bucket", "later"]).where("rep > first").select("t", "lo"), "suffix-strings")
+    forget(first)
+    return out
+
+
+def distinct_results(texts: DataFrame, keep: bool = False) -> DataFrame:
+    """Per row of ``texts`` (t, rep, text): t, n_bytes, n_removed, n_spans, kept_sha256, and with ``keep`` the kept bytes."""
+    runs = open_runs(texts, open_members(texts, open_buckets(texts)))
+    spans = runs.where("whole").select("t", "lo", (F.col("lo") + F.col("size") + LENGTH).alias("end")).unionByName(repeated_strings(texts, runs).select("t", "lo", (F.col("lo") + LENGTH).alias("end")))
+    spans = saved(spans.groupBy("t").agg(F.collect_list(F.struct("lo", "end")).alias("spans")), "suffix-spans")  # a text's own
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, table in open_chunks(batches):
-            c = Chunk(table)
-            known = answers(status, chunk).get("status", np.zeros(0, np.uint8))
-            gone = (known[c.of] == 1) | (c.run_doc > c.least[c.of])
-            place, ids, docs = c.open_strings(known)
-            _, low, of = first_of(ids, docs)
-            flag = answers(earlier, chunk).get("earlier", np.zeros(0, np.uint8))
-            place = place[(flag[of] == 1) | (docs > low[of])]
-            size = len(c.data)
-            edge = np.bincount(np.concatenate((c.lo[gone], place)), minlength=size + 1) - np.bincount(np.concatenate((c.hi[gone], place)) + LENGTH, minlength=size + 1)
-            cover = np.cumsum(edge[:size]) > 0
+        for batch, data, offsets in blocks(batches):
+            gone = batch.column("spans")
+            n = np.where(gone.is_valid().to_numpy(zero_copy_only=False), np.diff(gone.offsets.to_numpy()), 0)
+            flat = gone.flatten()
+            text = np.repeat(np.arange(len(batch)), n)
+            lo, end = (offsets[text] + flat.field(k).to_numpy().astype(np.int64) for k in ("lo", "end"))
+            edge = np.bincount(lo, minlength=len(data) + 1) - np.bincount(end, minlength=len(data) + 1)
+            cover = np.cumsum(edge[: len(data)]) > 0
             count = np.concatenate(([0], np.cumsum(cover)))
-            begin = cover & ~np.concatenate(([False], cover[:-1])) if size else cover
-            inner = c.offsets[:-1][(c.offsets[:-1] < size) & (np.diff(c.offsets) > 0)]
+            begin = cover & ~np.concatenate(([False], cover[:-1])) if len(data) else cover
+            inner = offsets[:-1][(offsets[:-1] < len(data)) & (np.diff(offsets) > 0)]
             begin[inner] = cover[inner]
-            spans = np.concatenate(([0], np.cumsum(begin)))
-            removed = np.diff(count[c.offsets])
+            found = np.concatenate(([0], np.cumsum(begin)))
+            removed = np.diff(count[offsets])
             kept = []
-            for a, b, r in zip(c.offsets[:-1].tolist(), c.offsets[1:].tolist(), removed.tolist(), strict=True):
-                part = c.data[a:b]
+            for a, b, r in zip(offsets[:-1].tolist(), offsets[1:].tolist(), removed.tolist(), strict=True):
+                part = data[a:b]
                 kept.append((part[~cover[a:b]] if r else part).tobytes())
-            columns = [
-                table.column("digest").combine_chunks(), pa.array(np.diff(c.offsets)), pa.array(removed.astype(np.int64)), pa.array(np.diff(spans[c.offsets]).astype(np.int64)),
-                pa.array([hashlib.sha256(x).hexdigest() for x in kept]),
-            ]
-            names = ["digest", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            columns = [batch.column("t"), pa.array(np.diff(offsets)), pa.array(removed.astype(np.int64)), pa.array(np.diff(found[offsets]).astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
+            names = ["t", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if keep:
                 columns, names = [*columns, pa.array(kept, pa.binary())], [*names, "kept"]
-            yield pa.RecordBatch.from_arrays([x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in columns], names)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return chunks.mapInArrow(finish, "digest string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * keep)
+    return texts.join(spans, "t", "left").select("t", "text", "spans").mapInArrow(finish, RESULT + ", kept binary" * keep)
 
 
 def repeated_spans(docs: DataFrame, keep: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep``, the kept bytes too."""
-    first, groups = distinct_texts(docs)
-    found = saved(distinct_results(first, text_bytes(docs), keep).dropDuplicates(["digest"]).join(groups.select("digest", "rep"), "digest"), "suffix-found")
+    texts = saved(distinct_texts(docs).select(F.monotonically_increasing_id().alias("t"), "*"), "suffix-texts")
+    found = saved(distinct_results(texts, keep).join(texts.select("t", "digest", "rep"), "t"), "suffix-found")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest")).join(bounded(found, 1024 if keep else 200), "digest")
     copy = (F.col("n_bytes") >= LENGTH) & F.col("rep").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("rep"))
-    out = rows.select(
+    return rows.select(
         "doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
         F.when(copy, F.lit(1).cast("long")).otherwise(F.col("n_spans")).alias("n_spans"),
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
         *([F.when(copy, F.lit("").cast("binary")).otherwise(F.col("kept")).alias("kept")] if keep else []),
     )
-    return out
