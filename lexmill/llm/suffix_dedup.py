@@ -14,8 +14,10 @@ strings with one anchor are a run.
 2. Runs of open buckets are refined by the names at their first and last string, which fix all their bytes (128 bits with the
    bucket's). A run that an earlier document also has is repeated whole. If its bucket has other refinements too (ends of passages),
    the first document's strings stay open.
-3. Open strings are refined one by one, by the names of the buckets at i and i + 24 (128 bits). A string that an earlier document has is
-   repeated.
+3. A string has 12 bytes before its anchor or 12 bytes after it. Open runs are refined by the names of the buckets 12 before and 12
+   after the anchor; the strings on a side that no other document has are final.
+4. Strings still open are refined one by one, by the names of the buckets at i and i + 24 (128 bits). A string that an earlier document has
+   is repeated.
 
 Each step is a partial aggregation and a join on bucket names, so a frequent passage is counted before it is shuffled, and its
 rows can be split. Exact copies of a text are settled by digest before; each distinct text takes part once, under its
@@ -45,7 +47,8 @@ LENGTH, Q, STEP = 50, 26, 25  # STEP: q-grams in a string of LENGTH
 BLOCK = 256 << 10
 LAST = np.iinfo(np.int64).max
 _bytes = mix(np.arange(1, 257, dtype=np.uint64) * M1)
-RUNS = "bucket bigint, context bigint, rep bigint, t bigint, lo int, size int"
+HALF = (LENGTH - Q) // 2  # bytes beside an anchor's q-gram that a string has on one side at least
+RUNS = "bucket bigint, context bigint, rep bigint, t bigint, lo int, size int, at int, before bigint, after bigint"
 STRINGS = "bucket bigint, later bigint, rep bigint, t bigint, lo int"
 RESULT = "t bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
@@ -165,7 +168,8 @@ def open_members(texts: DataFrame, buckets: DataFrame) -> DataFrame:
 
 
 def open_runs(texts: DataFrame, members: DataFrame) -> DataFrame:
-    """(t, lo, size, whole): the runs of open buckets that are repeated whole, or (not whole) whose strings stay open."""
+    """The runs of open buckets that are repeated whole, or (not whole) whose strings stay open: bucket, rep, t, lo, size (strings after
+    the first), at (place of the anchor), names before and after it."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[tuple[np.ndarray, ...]]:
@@ -182,21 +186,36 @@ def open_runs(texts: DataFrame, members: DataFrame) -> DataFrame:
                 p, lo, hi, text, bucket = p[on], lo[on], hi[on], text[on], bucket[on]
                 string = refine(names, LENGTH - Q)
                 context = mix(string[lo] * M1 + string[hi] * M2 + (p - lo).astype(np.uint64) * M3 + (hi - lo).astype(np.uint64))
-                yield bucket, context, ids(batch.column("rep"))[text], batch.column("t").to_numpy()[text], lo - offsets[text], hi - lo
+                ends = offsets[text + 1]
+                before = np.where(p - HALF >= offsets[text], names[np.maximum(p - HALF, 0)], 0)
+                after = np.where(p + HALF + Q <= ends, names[np.minimum(p + HALF, len(names) - 1)], 0)
+                yield bucket, context, ids(batch.column("rep"))[text], batch.column("t").to_numpy()[text], lo - offsets[text], hi - lo, p - lo, before, after
 
-        def make(bucket: np.ndarray, context: np.ndarray, rep: np.ndarray, t: np.ndarray, lo: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([signed(bucket), signed(context), pa.array(rep), pa.array(t), pa.array(lo.astype(np.int32)), pa.array(size.astype(np.int32))], ["bucket", "context", "rep", "t", "lo", "size"])
+        def make(*columns: np.ndarray) -> pa.RecordBatch:
+            bucket, context, rep, t, lo, size, at, before, after = columns
+            small = [pa.array(x.astype(np.int32)) for x in (lo, size, at)]
+            return pa.RecordBatch.from_arrays([signed(bucket), signed(context), pa.array(rep), pa.array(t), *small, signed(before), signed(after)], [x.split()[0] for x in RUNS.split(", ")])
 
         yield from gathered(parts(), make)
 
     rows = saved(texts.join(members, "t").select("t", "rep", "text", "buckets").mapInArrow(send, RUNS), "suffix-runs")
-    refined = rows.groupBy("bucket", "context").agg(F.min("rep").alias("first"))
-    refined = saved(refined, "suffix-refined")
-    several = refined.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket", F.lit(True).alias("several"))
-    refined = saved(refined.join(several, "bucket", "left"), "suffix-refined")
-    out = rows.join(refined, ["bucket", "context"]).where("rep > first or several").select("t", "lo", "size", (F.col("rep") > F.col("first")).alias("whole"))
-    out = saved(out, "suffix-open")
-    forget(rows)
+    each = saved(rows.groupBy("bucket", "context").agg(F.min("rep").alias("first")), "suffix-refined")
+    several = each.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket", F.lit(True).alias("several"))
+    refined = saved(each.join(several, "bucket", "left"), "suffix-refined")
+    out = saved(rows.join(refined, ["bucket", "context"]).where("rep > first or several").withColumn("whole", F.col("rep") > F.col("first")).drop("context", "first", "several"), "suffix-open")
+    forget(members, rows, each, refined)
+    return out
+
+
+def open_sides(runs: DataFrame) -> DataFrame:
+    """(t, lo, size): the strings of open runs whose side of the anchor another document has too."""
+    left = F.struct(F.lit(0).alias("side"), F.col("before").alias("name"), F.col("lo").alias("from"), (F.least("size", F.col("at") - HALF)).alias("more"))
+    skip = F.greatest(F.col("at") - HALF, F.lit(0))
+    right = F.struct(F.lit(1).alias("side"), F.col("after").alias("name"), (F.col("lo") + skip).alias("from"), (F.col("size") - skip).alias("more"))
+    sides = runs.where("not whole").select("bucket", "rep", "t", F.inline(F.array(left, right))).where("more >= 0")
+    shared = saved(sides.groupBy("bucket", "side", "name").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("bucket", "side", "name"), "suffix-sides")
+    out = saved(sides.join(shared, ["bucket", "side", "name"]).select("t", F.col("from").alias("lo"), F.col("more").alias("size")), "suffix-sides")
+    forget(shared)
     return out
 
 
@@ -209,9 +228,11 @@ def repeated_strings(texts: DataFrame, runs: DataFrame) -> DataFrame:
                 names, runs = gram_names(data), batch.column("runs")
                 n = np.diff(runs.offsets.to_numpy())
                 text = np.repeat(np.arange(len(batch)), n)
-                lo = runs.values.field("lo").to_numpy().astype(np.int64)[runs.offsets[0].as_py() :][: len(text)]
-                size = runs.values.field("size").to_numpy().astype(np.int64)[runs.offsets[0].as_py() :][: len(text)] + 1
-                at, text = expand(offsets[text] + lo, size), np.repeat(text, size)
+                flat = runs.flatten()
+                lo, size = (flat.field(k).to_numpy().astype(np.int64) for k in ("lo", "size"))
+                at, text = expand(offsets[text] + lo, size + 1), np.repeat(text, size + 1)
+                at, first = np.unique(at, return_index=True)  # both sides of a run have the string between them
+                text = text[first]
                 yield names[at], names[at + LENGTH - Q], ids(batch.column("rep"))[text], batch.column("t").to_numpy()[text], at - offsets[text]
 
         def make(bucket: np.ndarray, later: np.ndarray, rep: np.ndarray, t: np.ndarray, lo: np.ndarray) -> pa.RecordBatch:
@@ -219,19 +240,21 @@ def repeated_strings(texts: DataFrame, runs: DataFrame) -> DataFrame:
 
         yield from gathered(parts(), make)
 
-    each = runs.where("not whole").groupBy("t").agg(F.collect_list(F.struct("lo", "size")).alias("runs"))  # a text's own
+    each = runs.groupBy("t").agg(F.collect_list(F.struct("lo", "size")).alias("runs"))  # a text's own
     rows = texts.join(each, "t").select("t", "rep", "text", "runs").mapInArrow(send, STRINGS)
     first = saved(rows.groupBy("bucket", "later").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("bucket", "later", "first"), "suffix-strings")
     out = saved(rows.join(first, ["bucket", "later"]).where("rep > first").select("t", "lo"), "suffix-strings")
-    forget(first)
+    forget(first, runs)
     return out
 
 
 def distinct_results(texts: DataFrame, keep: bool = False) -> DataFrame:
     """Per row of ``texts`` (t, rep, text): t, n_bytes, n_removed, n_spans, kept_sha256, and with ``keep`` the kept bytes."""
     runs = open_runs(texts, open_members(texts, open_buckets(texts)))
-    spans = runs.where("whole").select("t", "lo", (F.col("lo") + F.col("size") + LENGTH).alias("end")).unionByName(repeated_strings(texts, runs).select("t", "lo", (F.col("lo") + LENGTH).alias("end")))
+    strings = repeated_strings(texts, open_sides(runs))
+    spans = runs.where("whole").select("t", "lo", (F.col("lo") + F.col("size") + LENGTH).alias("end")).unionByName(strings.select("t", "lo", (F.col("lo") + LENGTH).alias("end")))
     spans = saved(spans.groupBy("t").agg(F.collect_list(F.struct("lo", "end")).alias("spans")), "suffix-spans")  # a text's own
+    forget(runs, strings)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in blocks(batches):
