@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import posixpath
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,18 +35,34 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Cut lineage: write to the shared folder and read back. The shuffle files of the write go when it has ended."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, label)
+@contextlib.contextmanager
+def shuffle_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is executed inside go when it has ended."""
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.options(**{"compression": "zstd"} | options).parquet(path)
+        yield
     finally:
         spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
+
+
+def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Cut lineage: write to the shared folder and read back."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, label)
+    with shuffle_freed(spark):
+        df.write.options(**{"compression": "zstd"} | options).parquet(path)
     return spark.read.parquet(path)
 
 
+def release() -> None:
+    """Give freed memory back, so that a Python worker doesn't keep the peak of what it has done."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete saved tables that nothing reads any more: whatever came of them must be saved itself."""
     for df in tables:

@@ -63,7 +63,7 @@ class Encoder:
     """joined: the tokenizer puts a single space with the word after it (byte-level BPE); else it composes (NFC) and
     lower-cases text and drops white space."""
 
-    def __init__(self, path: str, joined: bool, special_as_text: bool = False, limit: int = 400_000):
+    def __init__(self, path: str, joined: bool, special_as_text: bool = False, limit: int = 32 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -74,6 +74,7 @@ class Encoder:
         self.odd = "|".join([ODD, *map(re.escape, added)])
         self.joined, self.limit = joined, limit
         self.cache: dict[str, bytes] = {}
+        self.held = 0  # bytes of the cache, about
 
     def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Starts of pieces; texts begin a piece."""
@@ -150,8 +151,9 @@ class Encoder:
             some = new[k : k + 50_000]
             for i, x in zip(some, self._encode([names[i] for i in some], spans), strict=True):
                 known[i] = x
-                if len(self.cache) < self.limit and len(x) < 400:
+                if self.held < self.limit and len(x) < 400:
                     self.cache[names[i]] = x
+                    self.held += len(names[i]) + len(x) + 160
         width = 3 if spans else 1
         lens = np.fromiter(map(len, known), np.int64, len(known)) // (4 * width)
         flat = np.frombuffer(b"".join(known), np.int32).reshape(-1, width)

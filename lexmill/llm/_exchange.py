@@ -12,7 +12,6 @@ The shared folder must be one that pyarrow.fs can open (file, hdfs, s3, gs).
 
 from __future__ import annotations
 
-import ctypes
 import posixpath
 from collections.abc import Callable, Iterator, Sequence
 
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ._common import parts, scratch
+from ._common import parts, release, scratch, shuffle_freed
 from ._words import M1, M2, M3, distinct, mix  # noqa: F401
 
 CHUNK_BYTES, BUCKET_BYTES = 3 << 20, 8 << 20
@@ -75,15 +74,6 @@ def chunked(docs: DataFrame, label: str, chunk_bytes: int = CHUNK_BYTES) -> Data
     return docs.sparkSession.read.schema("chunk bigint, blob binary").parquet(path)
 
 
-def release() -> None:
-    """Give freed memory back, so that a worker doesn't keep the peak of what it has done."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # another C library
-        pass
-
-
 def open_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
     for batch in batches:
         for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
@@ -154,11 +144,12 @@ def exchange(
         return pa.Table.from_arrays([pa.array(bucket, pa.int32()), pa.array(chunk, pa.int64()), pa.array(rows, pa.binary())], schema=schema)
 
     path = scratch(chunks.sparkSession, label)
-    (
-        chunks.mapInArrow(send, "bucket int, chunk bigint, payload binary")
-        .groupBy("bucket").applyInArrow(gather, "bucket int, chunk bigint, payload binary")
-        .repartition("chunk").write.partitionBy("chunk").option("compression", "zstd").parquet(path)
-    )
+    with shuffle_freed(chunks.sparkSession):
+        (
+            chunks.mapInArrow(send, "bucket int, chunk bigint, payload binary")
+            .groupBy("bucket").applyInArrow(gather, "bucket int, chunk bigint, payload binary")
+            .repartition("chunk").write.partitionBy("chunk").option("compression", "zstd").parquet(path)
+        )
     return path
 
 

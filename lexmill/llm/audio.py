@@ -11,8 +11,9 @@ bytes in a binary column. Features are made of the stored bytes read back:
   below the mean.
 
 All steps are arrays over slices of a batch; texts are parted by silence that the filters can't reach across, so a text's
-values depend on its bytes only. Features are written with the tensors as bytes; ``as_tensors`` gives Arrow's fixed-shape
-tensor type without a copy.
+values depend on its bytes only. Spark has no tensor type, so a document's tensors are a binary column of Arrow data (an IPC stream of
+start, stop and mel, the last of Arrow's fixed-shape tensor type); ``tensors`` reads them, and the query takes its number of tensors
+and their last time from what it has read back.
 
 Defined cases: null and empty texts are 576 samples of 255; equal texts get equal values; a null doc_id stays null; repeated
 rows are computed each; an empty table gives no rows; other columns are ignored.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import saved
+from ._common import release, saved
 from ._encode import expand, pieces_of
 
 UNIT, PAD, RATE = 576, 255, 16_000
@@ -41,7 +42,7 @@ OUT_RATE = RATE * UP / DOWN
 MEDIA = "doc_id bigint, n_bytes bigint, wav binary"
 FEATURES = (
     "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, "
-    "frames int, mel binary, spans array<struct<start:double,stop:double>>, segments array<struct<start:double,stop:double>>"
+    "frames int, mel binary, segments array<struct<start:double,stop:double>>"
 )
 
 
@@ -108,6 +109,19 @@ def filterbank() -> np.ndarray:
     return np.maximum(0, np.minimum(up, down))
 
 
+TENSOR = pa.fixed_shape_tensor(pa.float16(), [LENGTH, BANDS])
+STORED = pa.schema([("start", pa.float64()), ("stop", pa.float64()), ("mel", TENSOR)])
+
+
+def packed(block: np.ndarray, start: np.ndarray, stop: np.ndarray) -> bytes:
+    """Tensors and their time spans as an Arrow IPC stream."""
+    storage = pa.FixedSizeListArray.from_arrays(pa.array(block.ravel(), pa.float16()), LENGTH * BANDS)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, STORED) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([pa.array(start), pa.array(stop), pa.ExtensionArray.from_storage(TENSOR, storage)], schema=STORED))
+    return sink.getvalue().to_pybytes()
+
+
 def hysteresis(level: np.ndarray, first: np.ndarray, on: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Whether each frame is in a segment; a text begins outside one."""
     turn = np.where(level >= on, 1, np.where(level < off, 0, -1))
@@ -140,7 +154,7 @@ def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside = hysteresis(level, first, mean[whose] + ON_DB, mean[whose] + OFF_DB)
         bands = np.add.reduceat(mel, first, axis=0) / frames[:, None]
         half = mel.astype(np.float16)
-        rows = {k: [] for k in ("sha", "crc", "msha", "text", "mel", "spans", "segments")}
+        rows = {k: [] for k in ("sha", "crc", "msha", "text", "mel", "segments")}
         for i, (a, n) in enumerate(zip(first.tolist(), frames.tolist(), strict=True)):
             count = -(-n // LENGTH)
             block = np.full((count * LENGTH, BANDS), np.log(FLOOR), np.float16)
@@ -152,17 +166,18 @@ def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows["crc"].append(zlib.crc32(payloads[i][-32:]))
             rows["msha"].append(hashlib.sha256(files[i]).hexdigest())
             rows["text"].append(f"frames={n};segments={len(begin)};active={int((end - begin).sum())};level={mean[i] + 0.0:.1f};mel=" + ",".join(f"{v + 0.0:.1f}" for v in bands[i]))
-            rows["mel"].append(block.tobytes())
-            rows["spans"].append([{"start": k * LENGTH * step, "stop": min((k + 1) * LENGTH, n) * step} for k in range(count)])
+            times = np.arange(count + 1) * LENGTH
+            rows["mel"].append(packed(block, times[:-1] * step, np.minimum(times[1:], n) * step))
             rows["segments"].append([{"start": p * step, "stop": q * step} for p, q in zip(begin.tolist(), end.tolist(), strict=True)])
         span = pa.list_(pa.struct([("start", pa.float64()), ("stop", pa.float64())]))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"), batch.column("n_bytes"), pa.array(size), pa.array(rows["sha"]), pa.array(rows["crc"], pa.int64()), pa.array([len(x) for x in files], pa.int64()),
-                pa.array(rows["msha"]), pa.array(rows["text"]), pa.array(frames.astype(np.int32)), pa.array(rows["mel"], pa.binary()), pa.array(rows["spans"], span), pa.array(rows["segments"], span),
+                pa.array(rows["msha"]), pa.array(rows["text"]), pa.array(frames.astype(np.int32)), pa.array(rows["mel"], pa.binary()), pa.array(rows["segments"], span),
             ],
-            ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "mel", "spans", "segments"],
+            ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "mel", "segments"],
         )
+        release()
 
 
 def slices(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -181,20 +196,20 @@ def features(docs: DataFrame) -> DataFrame:
     return saved(media(docs).mapInArrow(compute, FEATURES), "features")
 
 
+def tensors(data: bytes | pa.Buffer) -> pa.Table:
+    """start, stop and mel (Arrow fixed-shape tensors, LENGTH x BANDS) of a stored document."""
+    return pa.ipc.open_stream(data).read_all()
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """The figures without tensors and spans."""
-    return features(docs).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.size("segments").alias("n_segments"))
-
-
-def as_tensors(table: pa.Table) -> pa.Table:
-    """A row per tensor of a read features table: doc_id, start, stop, and mel as Arrow fixed-shape tensors."""
-    mel = table.column("mel").combine_chunks()
-    counts = np.array([len(x) for x in table.column("spans").to_pylist()])
-    raw = np.frombuffer(b"".join(x.as_py() for x in mel), np.float16)
-    kind = pa.fixed_shape_tensor(pa.float16(), [LENGTH, BANDS])
-    tensors = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(raw, pa.float16()), LENGTH * BANDS))
-    spans = [s for x in table.column("spans").to_pylist() for s in x]
-    return pa.table({
-        "doc_id": table.column("doc_id").combine_chunks().take(pa.array(np.repeat(np.arange(len(counts)), counts))),
-        "start": pa.array([s["start"] for s in spans], pa.float64()), "stop": pa.array([s["stop"] for s in spans], pa.float64()), "mel": tensors,
-    })
+    """The figures without the arrays: FEATURES up to feature, n_segments, and n_tensors and seconds from the stored tensors."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stored = [tensors(x.as_buffer()) for x in batch.column("mel")]
+            made = [pa.array([x.num_rows for x in stored], pa.int64()), pa.array([x.column("stop")[-1].as_py() if len(x) else 0.0 for x in stored], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], [*kept, "n_tensors", "seconds"])
+
+    kept = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_segments"]
+    rows = features(docs).select(*kept[:-1], F.size("segments").alias("n_segments"), "mel")
+    return rows.mapInArrow(read, FEATURES[: FEATURES.index(", frames")] + ", n_segments int, n_tensors bigint, seconds double")

@@ -17,6 +17,8 @@ of a document sort as strings. Other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,17 +142,21 @@ def report(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents without a hit, unchanged."""
-    found = bounded(saved(contamination(docs, items, window).select(F.col("digest").alias("hit_digest")), "decon-drop"))
-    return docs.join(found, F.md5(F.coalesce("text", F.lit(""))) == F.col("hit_digest"), "left_anti").select(*docs.columns)
+    """The documents without a hit, unchanged; those with null, empty or wordless text stay, and all do without items. docs may have
+    any other columns."""
+    key = f"hit_{uuid.uuid4().hex}"  # no column of docs has that name
+    found = bounded(saved(contamination(docs, items, window).select(F.col("digest").alias(key)), "decon-drop"))
+    return docs.join(found, F.md5(F.coalesce("text", F.lit(""))) == F.col(key), "left_anti")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """All documents; in those that are hit, the hit words go and the other words stay, lower-cased, with one space between."""
-    found = bounded(saved(contamination(docs, items, window).select(F.col("digest").alias("hit_digest"), "hit_words"), "decon-spans"), 1024)
-    kept = F.array_join(F.filter(F.transform(words(F.col("text")), lambda w, i: F.when(~F.array_contains("hit_words", i), w)), lambda w: w.isNotNull()), " ")
-    out = docs.join(found, F.md5(F.coalesce("text", F.lit(""))) == F.col("hit_digest"), "left")
-    return out.select(*[F.when(F.col("hit_words").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    """All documents; in those that are hit, the hit words go and the other words stay, lower-cased, with one space between. docs may have
+    any other columns."""
+    key, hit = (f"{x}_{uuid.uuid4().hex}" for x in ("digest", "hit"))  # no columns of docs have these names
+    found = bounded(saved(contamination(docs, items, window).select(F.col("digest").alias(key), F.col("hit_words").alias(hit)), "decon-spans"), 1024)
+    kept = F.array_join(F.filter(F.transform(words(F.col("text")), lambda w, i: F.when(~F.array_contains(hit, i), w)), lambda w: w.isNotNull()), " ")
+    out = docs.join(found, F.md5(F.coalesce("text", F.lit(""))) == F.col(key), "left")
+    return out.withColumn("text", F.when(F.col(hit).isNull(), F.col("text")).otherwise(kept)).drop(key, hit)
 
 
 #: DuckDB SQL for ``report``.

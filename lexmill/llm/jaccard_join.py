@@ -4,7 +4,8 @@ Pivots are documents; a document's region is that of a pivot, and ``d`` its dist
 
 1. Nearly all distances between documents are 1, so pivots drawn blindly would part nothing. A document at distance of at
    most r from x shares one of the first |x| - ceil(0.8 |x|) + 1 shingles of x in an order that holds for all documents; these
-   are its window, and documents meet where windows share a shingle. The order puts frequent shingles last. Among those that meet, the one whose
+   are its window, and documents meet where windows share a shingle. The order puts frequent shingles last. By the same argument
+   a wider window must share more than one with a partner's; documents for which too few of it occur in any other are out. Among those that meet, the one whose
    window is the least its own (the original rather than a much changed copy) is the pivot, and each other one is in its
    Voronoi region: a document is measured once against each pivot that it meets, and against no other.
 2. Within r of the pivot a document is linked with it, and so with all others of that inner part: nothing between them is left
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded, distinct_texts, kept_rows, saved
+from ._common import bounded, distinct_texts, forget, kept_rows, saved
 from ._encode import pieces_of
 from ._words import M1, M2, distinct, mix, plain, word_hashes
 from .components import components
@@ -77,6 +78,17 @@ def needed(n: int) -> int:
     return -(-PART * n // WHOLE)
 
 
+def wide(n: int) -> int:
+    """Length of the wide window of a set of n: floor(0.3 n) + 1."""
+    return min(n, 3 * n // 10 + 1)
+
+
+def partners_share(n: int) -> int:
+    """Shingles of its wide window that a linked document has in its own at least. Sets of m have wide windows of more than
+    m - ceil(0.8 m) + m / 10, and windows that long for a common order share more than m / 10 for the lesser m, which is 0.8 n or more."""
+    return needed(n) // 10 + 1
+
+
 def cut_of(n: int, m: int) -> int:
     """Shingles that linked sets of n and m share at least: ceil(4/9 (n + m))."""
     return -(-PART * (n + m) // (PART + WHOLE))
@@ -101,7 +113,8 @@ def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(texts: DataFrame) -> DataFrame:
-    """Per row of ``texts`` (digest, rep, text): digest, rep, n and the window, saved; ``t`` numbers the rows."""
+    """Per row of ``texts`` (digest, rep, text): digest, rep, n, the wide window, how many of it are the window itself (lead), and
+    how many of it a partner has at least in its own (least); saved; ``t`` numbers the rows."""
     often = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))  # at most FREQUENT entries
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,22 +128,30 @@ def windows(texts: DataFrame) -> DataFrame:
                 x = flat[a:b]
                 if rank[a:b].any():
                     x = x[np.argsort(rank[a:b], kind="stable")]
-                found.append(x[: b - a - needed(b - a) + 1] if b > a else x)
+                found.append(x[: wide(b - a)])
             ends = np.concatenate(([0], np.cumsum([len(x) for x in found])))
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("rep"), pa.array(n), lists], ["digest", "rep", "n", "window"])
+            lead, least = ([f(x) for x in n.tolist()] for f in (lambda x: x - needed(x) + 1, partners_share))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("digest"), batch.column("rep"), pa.array(n), lists, pa.array(lead, pa.int32()), pa.array(least, pa.int32())],
+                ["digest", "rep", "n", "window", "lead", "least"],
+            )
 
-    rows = texts.select("digest", "rep", "text").mapInArrow(choose, "digest string, rep bigint, n bigint, window array<bigint>")
+    rows = texts.select("digest", "rep", "text").mapInArrow(choose, "digest string, rep bigint, n bigint, window array<bigint>, lead int, least int")
     return saved(rows.select(F.monotonically_increasing_id().alias("t"), "*"), "jaccard-windows")
 
 
 def met(windows_: DataFrame) -> DataFrame:
-    """(key, t, n, own) of the windows' shingles that several documents have; ``own`` is the share of a window that no other has."""
-    spread = windows_.select(F.explode("window").alias("key"), "t")
-    crowd = spread.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    rows = saved(spread.join(crowd, "key"), "jaccard-met")
-    members = windows_.select("t", "n", F.size("window").alias("w")).join(rows.groupBy("t").agg(F.count("*").alias("k")), "t").select("t", "n", (1 - F.col("k") / F.col("w")).alias("own"))
-    return saved(rows.join(bounded(saved(members, "jaccard-members"), 24), "t"), "jaccard-met")
+    """(key, t, n, own) of the windows' shingles in which several documents meet that may have partners; ``own`` is the share of a
+    wide window that no other document has."""
+    spread = windows_.select("t", F.posexplode("window").alias("place", "key"), "lead").select("key", "t", (F.col("place") < F.col("lead")).alias("leads"))
+    crowd = saved(spread.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "jaccard-crowd")
+    rows = saved(spread.join(crowd, "key"), "jaccard-wide")
+    counts = windows_.select("t", "n", F.size("window").alias("w"), "least").join(rows.groupBy("t").agg(F.count("*").alias("k")), "t").where("k >= least")
+    members = saved(counts.select("t", "n", (1 - F.col("k") / F.col("w")).alias("own")), "jaccard-able")
+    out = saved(rows.where("leads").select("key", "t").join(bounded(members, 24), "t"), "jaccard-met")
+    forget(crowd, rows)
+    return out
 
 
 def sets_of(texts: DataFrame, members: DataFrame) -> DataFrame:

@@ -83,19 +83,26 @@ def settle_counts(keys: np.ndarray, values: Arrays, owner: np.ndarray) -> tuple[
     return {"n": n[at].astype(np.int64) if n.max(initial=0) >= 1 << 32 else n[at].astype(np.uint32)}, {"all": np.array([n.sum()]), "kinds": np.array([(n > 0).sum()], float)}
 
 
-def settle_gains(keys: np.ndarray, values: Arrays, owner: np.ndarray) -> tuple[Arrays, None]:
+def settle_gains(bound: float) -> Callable[[np.ndarray, Arrays, np.ndarray], tuple[Arrays, None]]:
     """The strength that a context is best smoothed with: 1 + its index, or 0 if it isn't retained."""
-    at, total = sums(keys, [values[f"g{j}"] for j in range(len(STRENGTHS))])
-    best = np.argmax(total, axis=0)
-    kept = np.max(total, axis=0) > GAIN
-    return {"best": np.where(kept, best + 1, 0).astype(np.uint8)[at]}, None
+
+    def settle(keys: np.ndarray, values: Arrays, owner: np.ndarray) -> tuple[Arrays, None]:
+        at, total = sums(keys, [values[f"g{j}"] for j in range(len(STRENGTHS))])
+        best = np.argmax(total, axis=0)
+        return {"best": np.where(np.max(total, axis=0) > bound, best + 1, 0).astype(np.uint8)[at]}, None
+
+    return settle
 
 
 class Model:
     """What a pass over a chunk knows: paths of the answers so far."""
 
-    def __init__(self, counts: list[str], gains: list[str], n_all: float = 0, kinds: float = 0):
-        self.count_paths, self.gain_paths, self.n_all, self.kinds = counts, gains, n_all, kinds
+    def __init__(self, counts: list[str], gains: list[str], n_all: float = 0, kinds: float = 0, least: int = LEAST):
+        self.count_paths, self.gain_paths, self.n_all, self.kinds, self.least = counts, gains, n_all, kinds, least
+
+    def as_now(self) -> Model:
+        """A copy for a pass that is sent to workers."""
+        return Model(list(self.count_paths), list(self.gain_paths), self.n_all, self.kinds, self.least)
 
     def levels(self, chunk: int, c: Chunk, upto: int) -> list[Level]:
         """Levels 0 to ``upto``, with totals as far as they are answered."""
@@ -103,7 +110,7 @@ class Model:
         for k in range(upto + 1):
             at, h = c.grams(k)
             if k:  # behind a context that is frequent enough
-                ok = out[k - 1].counts(len(c.words))[at - 1] >= LEAST
+                ok = out[k - 1].counts(len(c.words))[at - 1] >= self.least
                 at, h = at[ok], h[ok]
             level = Level(at, h, c.weight)
             if k < len(self.count_paths):
@@ -139,19 +146,19 @@ class Model:
         return p, depth
 
 
-def score(docs: DataFrame, held_out: Callable[[], object] | None = None, depth: int = DEPTH) -> DataFrame:
+def score(docs: DataFrame, held_out: Callable[[], object] | None = None, depth: int = DEPTH, least: int = LEAST, gain: float = GAIN) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, and n_deep (words scored from a
     state of at least one word). ``held_out``: a column that is true for texts to leave out of training; by default those
-    whose crc32(doc_id) mod 7 is 2."""
+    whose crc32(doc_id) mod 7 is 2. Contexts of up to ``depth`` words count from ``least`` occurrences and are retained beyond ``gain``."""
     rule = held_out() if held_out else F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rule.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     buckets = buckets_for(text_bytes(docs))
     chunks = chunked(rows, "tree", 6 << 20)
-    model = Model([], [])
+    model = Model([], [], least=least)
 
     for k in range(depth + 1):
 
-        def send_counts(chunk: int, table: pa.Table, k: int = k, model: Model = Model(list(model.count_paths), list(model.gain_paths), model.n_all, model.kinds)) -> tuple[np.ndarray, Arrays]:
+        def send_counts(chunk: int, table: pa.Table, k: int = k, model: Model = model.as_now()) -> tuple[np.ndarray, Arrays]:
             c = Chunk(table)
             level = model.levels(chunk, c, k)[k]
             return level.names, {"n": level.train}
@@ -164,7 +171,7 @@ def score(docs: DataFrame, held_out: Callable[[], object] | None = None, depth:
 
     for k in range(1, depth + 1):
 
-        def send_gains(chunk: int, table: pa.Table, k: int = k, model: Model = Model(list(model.count_paths), list(model.gain_paths), model.n_all, model.kinds)) -> tuple[np.ndarray, Arrays]:
+        def send_gains(chunk: int, table: pa.Table, k: int = k, model: Model = model.as_now()) -> tuple[np.ndarray, Arrays]:
             c = Chunk(table)
             levels = model.levels(chunk, c, k)
             parent, _ = model.probabilities(chunk, levels, k - 1)
@@ -175,11 +182,11 @@ def score(docs: DataFrame, held_out: Callable[[], object] | None = None, depth:
             out = {}
             for j, strength in enumerate(STRENGTHS):
                 m = n_ * strength
-                gain = np.log((np.maximum(seen - 1, 0) + m * p) / ((np.maximum(n_ - 1, 0) + m) * p))
-                out[f"g{j}"] = np.bincount(of_, weights=gain, minlength=len(names))[order].astype(np.float32)
+                more = np.log((np.maximum(seen - 1, 0) + m * p) / ((np.maximum(n_ - 1, 0) + m) * p))
+                out[f"g{j}"] = np.bincount(of_, weights=more, minlength=len(names))[order].astype(np.float32)
             return names[order], out
 
-        model.gain_paths.append(exchange(chunks, f"tree-gain{k}", send_gains, settle_gains, buckets))
+        model.gain_paths.append(exchange(chunks, f"tree-gain{k}", send_gains, settle_gains(gain), buckets))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, table in open_chunks(batches):

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import parts, scratch, text_bytes
+from ._common import bounded, parts, release, scratch, shuffle_freed, text_bytes
 from ._encode import encoder, expand, pieces_of
 
 SCHEMA = "part int, doc_id bigint, local_start bigint, n_tokens bigint, ids array<int>"
@@ -51,18 +51,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sp
                 ["part", "doc_id", "local_start", "n_tokens", "ids"],
             )
             at += int(ends[-1]) if len(n) else 0
+            release()
 
     key = F.col("doc_id").asc_nulls_first()
-    (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(parts(text_bytes(docs), part_bytes), key).sortWithinPartitions(key, "text")
-        .mapInArrow(encode, SCHEMA)
-        .write.options(**LAYOUT).parquet(path)
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts(text_bytes(docs), part_bytes), key)
+    with shuffle_freed(docs.sparkSession):
+        rows.sortWithinPartitions(key, "text").mapInArrow(encode, SCHEMA).write.options(**LAYOUT).parquet(path)
 
 
 def starts(files: DataFrame) -> DataFrame:
-    """(part, base): ids before each partition. Reads counts only; one row for each file."""
+    """(part, base): ids before each partition. Reads counts only; one row for each file of ``part_bytes`` or more."""
     totals = files.groupBy("part").agg(F.max(F.col("local_start") + F.col("n_tokens")).alias("n"))
     return totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
 
@@ -82,7 +80,13 @@ def read_tokens(files: DataFrame) -> DataFrame:
             )
 
     rows = files.mapInArrow(check, "part int, doc_id bigint, local_start bigint, n_tokens bigint, ids_crc32 bigint")
-    return rows.join(F.broadcast(starts(files)), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(bounded(starts(files), 24), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def id_range(files: DataFrame, first: int, last: int) -> DataFrame:
+    """doc_id and ids of first <= doc_id <= last. The filter reaches the scan, where column indexes leave only the pages of that range to
+    be read; a select of other columns leaves out the ids."""
+    return files.where(F.col("doc_id").between(first, last)).select("doc_id", "n_tokens", "ids")
 
 
 def token_rows(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:

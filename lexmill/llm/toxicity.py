@@ -29,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import kept_rows, release, saved
 from ._encode import pieces_of
 from ._words import plain
 
@@ -88,7 +89,7 @@ def trigram_logs(counts: np.ndarray) -> np.ndarray:
 class Decoder:
     """Viterbi over a token's lattice; a state is the last two symbols and the last letter written."""
 
-    def __init__(self, logs: np.ndarray, limit: int = 200_000):
+    def __init__(self, logs: np.ndarray, limit: int = 100_000):
         self.logs, self.limit = logs, limit
         self.cache: dict[str, tuple[str, list[int]]] = {}
 
@@ -215,7 +216,8 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPL
     known = learnable(labels)
     some = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in enumerate(sample)]
     ids = some[0].unionByName(some[1]).select(F.col("doc_id").alias("labelled_id"), "toxic")
-    rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("labelled_id")).select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("labelled_id")).select("text", "toxic")  # ids are bounded by the sample
     return rows.groupBy(F.md5("text").alias("digest")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
@@ -229,8 +231,6 @@ def fit(docs: DataFrame, labels: DataFrame, logs: np.ndarray, sample: tuple[int,
     The next rule is the feature with the highest share among the texts without a feature of earlier rules, shrunk to the
     overall share; the list ends below ``CUT``. So words that merely stand beside telling ones get no rule. What comes to
     the driver is bounded by the sample."""
-    from ._common import saved
-
     rows = saved(labelled(docs, labels, sample), "toxic-sample")
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(1):
@@ -321,14 +321,13 @@ def score(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE)
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(out), pa.array((out >= CUT).astype(np.int32)), pa.array(word, pa.string())],
                 ["doc_id", "held_out", "score", "predicted", "word"],
             )
+            release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(rate, "doc_id bigint, held_out boolean, score double, predicted int, word string")
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that aren't predicted toxic, unchanged."""
-    from ._common import bounded, saved
-
-    bad = bounded(saved(score(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("bad_id")).distinct(), "toxic-ids"), 16)
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select(*docs.columns)
+    """The documents that aren't predicted toxic, unchanged. Rows with one doc_id (null is one too) go together if one of them is; docs may have
+    any other columns."""
+    return kept_rows(docs, score(docs, labels).where("predicted = 1").select("doc_id").distinct(), there=False)
