@@ -33,6 +33,34 @@ BRACKETS = (
     ("1276925.99", "307910.81", "0.3200"), ("1702567.98", "444057.91", "0.3400"), ("5107703.93", "1605679.59", "0.3500"),
 )
 DEGRADED_MS = 10_000
+#: Phrases of legal language.
+LEGAL_PHRASES = ("en términos", "conforme", "de acuerdo", "lo dispuesto")
+#: Kinds of instruments by keywords of names, in order, as five catalogues say them; the last of each is the default.
+NAME_KINDS = {
+    "metadata": {
+        "constitucion": ("constitución", "constitucional"), "codigo": ("código", "codigo"), "ley_organica": ("ley orgánica", "ley organica"), "ley": ("ley",),
+        "reglamento": ("reglamento",), "decreto": ("decreto",), "acuerdo": ("acuerdo",), "otros": (),
+    },
+    "state": {
+        "Constitucion": ("constitución", "constitucion"), "Codigo": ("código", "codigo"), "Ley Organica": ("ley orgánica", "ley organica"), "Ley": ("ley",),
+        "Reglamento": ("reglamento",), "Decreto": ("decreto",), "Acuerdo": ("acuerdo",), "Otro": (),
+    },
+    "municipal": {"Reglamento": ("reglamento",), "Código": ("código", "codigo"), "Ley": ("ley",), "Decreto": ("decreto",), "Otro": ()},
+    "municipal_congress": {
+        "Ley de Ingresos": ("ley de ingresos",), "Presupuesto de Egresos": ("presupuesto de egresos",), "Ley de Hacienda Municipal": ("hacienda municipal",),
+        "Tabla de Valores": ("tabla de valores",), "Reglamento": ("reglamento",), "Código": ("código", "codigo"), "Ley": ("ley",), "Decreto": ("decreto",), "Otro": (),
+    },
+}
+#: Regulation types and their categories, in order.
+REGULATION_KINDS = {
+    "reglamento": "reglamento", "acuerdo": "acuerdo", "decreto": "decreto", "lineamiento": "lineamiento", "lineamientos": "lineamiento", "norma": "norma",
+    "circular": "circular", "manual": "manual", "aviso": "aviso", "reglas": "reglas", "reglas de operacion": "reglas", "estatuto": "estatuto",
+    "convenio": "convenio", "criterio": "criterio", "resolucion": "resolucion",
+}
+#: Kinds in work URIs by keywords of names, in order.
+URI_KINDS = {"codigo": ("código", "codigo"), "reglamento": ("reglamento",), "decreto": ("decreto",)}
+#: States of standards by keywords, in order.
+STANDARD_STATES = {"vigente": ("vigente", "en vigor"), "cancelada": ("cancelada", "cancelado"), "en_proyecto": ("en proyecto", "proyecto")}
 #: Treaty kinds in order; patterns are over folded text.
 TREATIES = {
     "bilateral": ("bilateral", "acuerdo entre", "convenio entre", "tratado entre", "protocolo entre"),
@@ -67,6 +95,29 @@ def best_category(text: Column, rules: Mapping[str, Sequence[str]] = CATEGORY_PA
     return F.when(best.n > 0, best.c).otherwise(F.lit(default))
 
 
+def name_kind(name: Column, catalogue: str = "metadata") -> Column:
+    """The kind of instrument that a name says, by the keywords of a catalogue."""
+    rules = dict(NAME_KINDS[catalogue])
+    default, _ = rules.popitem()
+    return by_keywords(F.lower(name), rules, default)
+
+
+def regulation_kind(kind: Column, name: Column) -> Column:
+    """By the regulation's type, else by the first type that its name holds."""
+    known = F.create_map(*[F.lit(x) for kv in REGULATION_KINDS.items() for x in kv])
+    by_name = None
+    for word, category in REGULATION_KINDS.items():
+        hit = F.contains(fold(name), F.lit(word))
+        by_name = F.when(hit, category) if by_name is None else by_name.when(hit, category)
+    return F.coalesce(F.element_at(known, fold(F.trim(kind))), by_name.otherwise("regulacion"))
+
+
+def standard_status(raw: Column) -> Column:
+    """A standard's state; what isn't known stays, lower-cased and trimmed."""
+    words = F.trim(F.regexp_replace(fold(raw), r"\s+", " "))
+    return F.coalesce(by_keywords(words, STANDARD_STATES, None), F.lower(F.trim(raw)))
+
+
 def law_status(name: Column) -> Column:
     """P26."""
     low = fold(name)
@@ -95,7 +146,7 @@ def error_class(kind: Column, message: Column, stage: Column) -> Column:
     )
 
 
-def failure_class(message: Column, permanent: Sequence[str] = ("404", "not found", "no encontrado", "gone")) -> Column:
+def failure_class(message: Column, permanent: Sequence[str] = ("404", "410", "not found", "gone")) -> Column:
     """Permanent if the message says so, else transient."""
     return by_keywords(F.lower(F.coalesce(message, F.lit(""))), {"permanent": permanent}, "transient")
 
@@ -109,9 +160,15 @@ def health(status_code: Column, has_text: Column, elapsed_ms: Column) -> Column:
 
 
 def accuracy(found: Column, expected: Column, confidence: Column) -> Column:
-    """Share of expected articles found, shrunk if more than 110 % were found, and confidence, 70 to 30."""
-    ratio = F.coalesce(F.try_divide(found, expected), F.lit(0.0))
-    return (F.least(F.when(ratio > 1.1, F.lit(0.95)).otherwise(ratio), F.lit(1.0)) * 0.7 + confidence * 0.3) * 100
+    """Share of expected articles found, shrunk if more than 110 % were found, and confidence, 70 to 30; 0 where none is expected."""
+    share = F.when(found > expected * 1.1, F.lit(0.95)).otherwise(F.least(F.try_divide(found, expected), F.lit(1.0)))
+    return F.when(expected == 0, 0.0).otherwise(F.least((share * 0.7 + confidence * 0.3) * 100, F.lit(100.0)))
+
+
+def completeness_score(articles: Column, structures: Column, transitory: Column, issues: Column) -> Column:
+    """40 for articles, 20 each for titles or chapters, a transitory part and no issue; an issue takes 5 of the last 20."""
+    has = lambda c, points: F.when(c > 0, points).otherwise(0)
+    return (has(articles, 40) + has(structures, 20) + has(transitory, 20) + F.greatest(20 - 5 * issues, F.lit(0))).cast("double")
 
 
 def overall_quality(accuracy_: Column, completeness: Column, schema: Column) -> Column:
@@ -123,11 +180,10 @@ def grade(score: Column) -> Column:
 
 
 def article_confidence(text: Column) -> Column:
-    """P8."""
-    low = fold(text)
+    """Less for a short text and for one without punctuation, more for legal phrases; between 0 and 1."""
     c = (
-        F.lit(1.0) - F.when(F.length(F.trim(text)) < 50, 0.1).otherwise(0.0) - F.when(~text.rlike("[.;:]"), 0.2).otherwise(0.0)
-        + F.when(low.rlike(r"\b(se deroga|para los efectos|de conformidad|conforme a)\b"), 0.05).otherwise(0.0)
+        F.lit(1.0) - F.when(F.length(text) < 50, 0.1).otherwise(0.0) - F.when(~text.rlike("[.;:]"), 0.2).otherwise(0.0)
+        + F.when(text.rlike(f"(?iu){'|'.join(LEGAL_PHRASES)}"), 0.05).otherwise(0.0)
     )
     return F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
 
@@ -179,12 +235,12 @@ def treaty_kind(title: Column) -> Column:
 
 def agency(standard: Column, agencies: Mapping[str, str]) -> Column:
     """The agency of a standard's number (NOM-001-SSA1-2010) by its third part: exact, else the first in order that begins
-    it or that it begins."""
+    it or that it begins, else the part itself."""
     part = F.upper(F.get(F.split(standard, "-"), F.lit(2)))
     known = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in agencies.items()])
     exact = F.get(F.filter(known, lambda a: a.k == part), F.lit(0)).v
     near = F.get(F.filter(known, lambda a: F.startswith(part, a.k) | F.startswith(a.k, part)), F.lit(0)).v
-    return F.coalesce(exact, near, F.lit(""))
+    return F.when(part.isNull() | (part == ""), "").otherwise(F.coalesce(exact, near, part))
 
 
 def subject(raw: Column) -> Column:

@@ -5,8 +5,13 @@ Patterns that meet Spanish text carry ``(?iuU)``: Java's classes and case foldin
 
 from __future__ import annotations
 
+import hashlib
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Accented letters and their base letters.
 ACCENTED, PLAIN = "áàâäãéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ", "aaaaaeeeeiiiiooooouuuuncAAAAAEEEEIIIIOOOOOUUUUNC"
@@ -26,6 +31,12 @@ def strip_accents(c: Column) -> Column:
     return F.translate(c, ACCENTED, PLAIN)
 
 
+@F.pandas_udf(StringType())
+def strip_marks(c: pd.Series) -> pd.Series:
+    """N1 for any script: compatibility decomposition without combining marks. ``strip_accents`` does it for Latin letters without Python."""
+    return c.map(lambda x: "".join(k for k in unicodedata.normalize("NFKD", x) if not unicodedata.combining(k)), na_action="ignore")
+
+
 def fold(c: Column) -> Column:
     """Lower case without accents."""
     return strip_accents(F.lower(c))
@@ -58,6 +69,57 @@ def stable_id(prefix: str, scope: Column, name: Column) -> Column:
     return F.concat(F.lit(f"{prefix}-"), scope, F.lit("-"), F.substring(F.sha2(F.concat_ws(":", scope, alnum_key(name)), 256), 1, 12))
 
 
+def session_id(*parts: Column) -> Column:
+    """16 hex digits that only depend on the parts."""
+    return F.substring(F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256), 1, 16)
+
+
+def file_name(c: Column, cap: int = 150) -> Column:
+    """A name that any file system takes: reserved characters go, white space becomes one underscore."""
+    return F.substring(F.regexp_replace(F.trim(F.regexp_replace(c, r'[<>:"/\\|?*\x00-\x1f]', "")), r"\s+", "_"), 1, cap)
+
+
+def capped(c: Column, n: int) -> Column:
+    """The first n characters."""
+    return F.left(c, F.lit(n))
+
+
+def parts_of(c: Column, sep: str) -> Column:
+    """The number of parts between separators; 0 for null."""
+    return F.when(c.isNull(), 0).otherwise(F.size(F.split(c, sep)))
+
+
+def iso(c: Column) -> Column:
+    """A time in ISO form; ``days_before`` and ``year_start`` are its arithmetic."""
+    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def days_before(c: Column, n: int) -> Column:
+    return F.date_sub(F.to_date(c), n)
+
+
+def year_start(c: Column, back: int = 0) -> Column:
+    return F.make_date(F.year(c) - back, F.lit(1), F.lit(1))
+
+
+def json_has(items: Column, item: Column) -> Column:
+    """Whether a JSON list of strings has an item; a null list has none."""
+    return F.coalesce(F.array_contains(F.from_json(items, "array<string>"), item), F.lit(False))
+
+
+def json_append(items: Column, item: Column) -> Column:
+    """The JSON list with an item at its end; a null list is empty."""
+    return F.to_json(F.array_append(F.coalesce(F.from_json(items, "array<string>"), F.array().cast("array<string>")), item))
+
+
+def signature(secret: str, body: Column) -> Column:
+    """HMAC-SHA256 in hex. The padded keys are constants of the plan, so only its two digests are computed per row."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(k ^ pad for k in key)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, body.cast("binary")), 256))), 256)
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space to one space, ends trimmed."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -182,6 +244,19 @@ def municipality(title: Column) -> Column:
     return F.nullif(F.regexp_extract(title, r"(?U)(?:[Mm]unicipio\s+de)\s+(\p{Lu}\p{Ll}+(?:\s+\p{Lu}\p{Ll}+)*)", 1), F.lit(""))
 
 
+#: Beginnings of path parts that name no place.
+NO_PLACE = "^(ley|decreto|acuerdo|ingreso|presupuesto|doc|archivo|download)"
+
+
+def municipality_of(title: Column, url: Column, default: Column) -> Column:
+    """By the title, else by the last part of the url's path that may be a name, else the default."""
+    path = F.lower(F.url_decode(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))))
+    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "pdf"))
+    names = F.transform(F.reverse(parts), lambda p: F.translate(p, "_-", "  "))
+    able = F.filter(names, lambda n: (F.length(n) > 3) & ~n.rlike(NO_PLACE) & ~F.exists(F.filter(F.split(n, r"\s+"), lambda w: w != ""), lambda w: F.length(w) <= 1))
+    return F.coalesce(municipality(title), F.initcap(F.get(able, F.lit(0))), default)
+
+
 def fiscal_year(title: Column) -> Column:
     """P32."""
     return F.regexp_extract(title, r"\b(20\d{2})\b", 1).try_cast("int")

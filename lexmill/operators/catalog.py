@@ -89,12 +89,21 @@ def actionable_gaps(gaps: DataFrame, level: str | None = None, max_tier: int | N
     return gaps.orderBy("priority", "current_tier", "state")
 
 
-def entitled(rows: DataFrame, keys: DataFrame, category: str = "category") -> DataFrame:
-    """rows of the categories that a key's domains allow; keys: (key, allowed_domains). A key without domains sees all."""
-    table = F.create_map(*[x for d, cs in DOMAINS.items() for x in (F.lit(d), F.array(*map(F.lit, cs)))])
-    allowed = keys.select("key", F.array_distinct(F.flatten(F.transform("allowed_domains", lambda d: F.coalesce(F.element_at(table, d), F.array().cast("array<string>"))))).alias("allowed"), (F.size("allowed_domains") == 0).alias("free"))
-    listed = allowed.where("not free").select("key", F.explode("allowed").alias("c"))
-    return rows.join(listed, F.col(category) == F.col("c")).drop("c").unionByName(rows.crossJoin(F.broadcast(allowed.where("free").select("key"))))
+def entitled(rows: DataFrame, allowed: Sequence[str], category: str = "category", domains: Mapping[str, Sequence[str]] = DOMAINS) -> DataFrame:
+    """rows of the categories that a key's domains allow, as a predicate that reaches the scan. A key without domains sees all; one
+    with unknown domains only, nothing."""
+    return rows.where(F.col(category).isin(sorted({c for d in allowed for c in domains.get(d, ())}))) if allowed else rows
+
+
+def scoped(rows: DataFrame, law: str, without: str | None = "full_text", law_id: str = "law_id", article: str = "article") -> DataFrame:
+    """one law's articles, without the document that stands for its whole text."""
+    rows = rows.where(F.col(law_id) == law)
+    return rows.where(F.col(article) != without) if without else rows
+
+
+def others(rows: DataFrame, law: str, law_id: str = "law_id") -> DataFrame:
+    """all but one law."""
+    return rows.where(F.col(law_id) != law)
 
 
 def link_filter(rows: DataFrame, column: str, include: str, exclude: str) -> DataFrame:
@@ -167,6 +176,19 @@ def law_list(laws: DataFrame, versions: DataFrame, key: str, order: Sequence[Col
     return joined.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+#: Most rows of a search page by tier of the caller.
+PAGE_CAPS = {
+    "anon": 25, "community": 1000, "essentials": 50, "free": 50, "academic": 100, "pro": 100, "premium": 100,
+    "enterprise": 1000, "institutional": 1000, "internal": 1000,
+}
+
+
+def page_of(rows: DataFrame, order: Sequence[Column], page: int = 1, size: int = 10, tier: str = "anon", caps: Mapping[str, int] = PAGE_CAPS) -> DataFrame:
+    """A page; its size is at least 1 and at most the tier's cap, that of the least tier for an unknown one."""
+    size = min(max(1, size), caps.get(tier, min(caps.values())))
+    return rows.orderBy(*order).offset((max(1, page) - 1) * size).limit(size)
+
+
 def keyset_page(rows: DataFrame, keys: Sequence[str], after: Sequence | None, size: int) -> DataFrame:
     """The page after a key; the bound reaches the scan as an ordinary predicate on the first key."""
     if after is not None:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import grade, safe_pct
+from .parse import content_type
 
 
 def top_queries(log: DataFrame, query: str, results: str, n: int = 20, zero_only: bool = False) -> DataFrame:
@@ -37,6 +38,22 @@ def gap_dashboard(gaps: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def gap_breakdown(gaps: DataFrame, kinds: Sequence[str] = ("status", "current_tier", "level", "gap_type")) -> DataFrame:
+    """(kind, key, n) of each breakdown, in one pass."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).cast("string").alias("key")) for k in kinds])
+    return gaps.select(F.inline(pairs)).groupBy("kind", "key").agg(F.count("*").alias("n"))
+
+
+def top_gaps(gaps: DataFrame, id_: str = "id", n: int = 10) -> DataFrame:
+    """The first actionable gaps by priority, then tier; ties by id."""
+    return gaps.where(F.col("status").isin("open", "in_progress")).orderBy("priority", "current_tier", id_).limit(n)
+
+
+def by_city(scraped: DataFrame, db: DataFrame, key: str = "city") -> DataFrame:
+    """Scraped cities (city, n) with what the database has of each; 0 where it has none."""
+    return scraped.select(key, F.col("n").alias("scraped")).join(db.select(key, F.col("n").alias("in_db")), key, "left").withColumn("in_db", F.coalesce("in_db", F.lit(0)))
+
+
 def health_summary(sources: DataFrame) -> DataFrame:
     """A15."""
     kinds = {k: F.count_if(F.col("status") == k).alias(k) for k in ("healthy", "degraded", "down", "unknown")}
@@ -148,14 +165,27 @@ def deviation(found: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     return expected.join(found, key, "left").withColumn("found", F.coalesce("found", F.lit(0))).withColumn("verdict", F.when(off > 0.5, "FAIL").when(off > 0.1, "WARN").otherwise("OK"))
 
 
-def data_quality(rows: DataFrame, id_: str, text: str, name: str) -> DataFrame:
-    """A row per document and check with its verdict."""
-    size = F.length(F.coalesce(text, F.lit("")))
+#: A name's length from which it is near its limit, and most characters of a text in the index.
+NAME_NEAR, TEXT_MAX = 490, 50_000
+
+
+def data_quality(
+    laws: DataFrame, id_: str, *, name: Column, path: Column, text: Column, indexed: Column, samples: Column,
+    references: Column, targets: Column, resolved: Column, published: Column, sentinel: Column,
+) -> DataFrame:
+    """(id, check, verdict) of nine checks. ``text`` is what the path gives, null if nothing; ``indexed`` is the number of articles in the
+    index, null without one, and ``samples`` a few of their texts; ``references``, ``targets`` and ``resolved`` count a law's references, the
+    laws that they name and those of them that there are."""
+    no_text, bad = text.isNull(), F.exists(samples, lambda x: F.coalesce(x, F.lit("")).rlike("^$|\ufffd\\s*$"))
     checks = {
-        "field_lengths": F.when(F.length(name) >= 500, "fail").when(F.length(name) >= 490, "warning").otherwise("pass"),
-        "file_existence": F.when(size > 0, "pass").otherwise("fail"),
-        "text_size": F.when(size > 50_000, "warning").otherwise("pass"),
-        "encoding_check": F.when(F.contains(text, F.lit("�")), "fail").otherwise("pass"),
-        "content_type": F.when(F.startswith(F.left(text, F.lit(500)), F.lit("<?xml")) | F.contains(F.left(text, F.lit(500)), F.lit("<akomaNtoso")), "pass").otherwise("skip"),
+        "field_lengths": F.when(F.length(name) >= NAME_NEAR, "warning").otherwise("pass"),
+        "file_existence": F.when(path.isNull(), "skip").when(no_text, "fail").otherwise("pass"),
+        "text_size": F.when(no_text, "skip").when(F.length(text) > TEXT_MAX, "warning").otherwise("pass"),
+        "akn_article_count": F.when(no_text | (content_type(text) != "akn"), "skip").otherwise("pass"),
+        "encoding_check": F.when(no_text, "skip").when(F.contains(text, F.lit("\ufffd")), "warning").otherwise("pass"),
+        "db_es_article_count": F.when(indexed.isNull(), "skip").when((indexed == 0) & path.isNotNull(), "warning").otherwise("pass"),
+        "es_text_sample": F.when(F.coalesce(F.size(samples), F.lit(0)) <= 0, "skip").when(bad, "warning").otherwise("pass"),
+        "xref_slug_match": F.when(references == 0, "skip").when(resolved < targets, "warning").otherwise("pass"),
+        "date_sentinel": F.when(published.isNull(), "skip").when(published == sentinel, "warning").otherwise("pass"),
     }
-    return rows.select(F.col(id_), F.inline(F.array(*[F.struct(F.lit(k).alias("check"), v.alias("verdict")) for k, v in checks.items()])))
+    return laws.select(F.col(id_), F.inline(F.array(*[F.struct(F.lit(k).alias("check"), v.alias("verdict")) for k, v in checks.items()])))

@@ -26,6 +26,13 @@ def node_weights(graph: DataFrame) -> DataFrame:
     return graph.select(F.explode(ends).alias("slug"), "weight").groupBy("slug").agg(F.sum("weight").alias("ref_count"))
 
 
+def heaviest_edges(graph: DataFrame) -> DataFrame:
+    """One edge of each (source, target): the heaviest."""
+    rest = [c for c in graph.columns if c not in ("source", "target")]
+    best = F.max_by(F.struct(*rest), F.struct("weight", *[c for c in rest if c != "weight"])).alias("e")
+    return graph.groupBy("source", "target").agg(best).select("source", "target", "e.*")
+
+
 def induced(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among the nodes."""
     n = nodes.select("slug")
@@ -46,7 +53,7 @@ def ego(graph: DataFrame, center: str, depth: int = 2, direction: str = "both",
         steps.append(graph.select(F.col("source").alias("at"), F.col("target").alias("slug"), "weight"))
     if direction in ("both", "in"):
         steps.append(graph.select(F.col("target").alias("at"), F.col("source").alias("slug"), "weight"))
-    walk = steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])
+    walk = (steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])).persist()  # each step reads it; edges are far fewer than references
     seen = graph.sparkSession.createDataFrame([(center, 0)], "slug string, depth int")
     have, front = 1, seen
     for step in range(1, min(depth, 3) + 1):
@@ -61,6 +68,7 @@ def ego(graph: DataFrame, center: str, depth: int = 2, direction: str = "both",
         seen, have = seen.unionByName(front), have + len(rows)
         if have >= max_nodes:
             break
+    walk.unpersist()
     return seen
 
 

@@ -11,24 +11,32 @@ from ..functions.text import blank_to_null
 
 
 def changelog(versions: DataFrame, key: str, at: str, tie: str, limit: int = 500) -> DataFrame:
-    """Of the latest ``limit`` versions the latest of each law, with the date of the version before it in all history."""
-    before = Window.partitionBy(key).orderBy(F.col(at), F.col(tie))
-    known = versions.withColumn("previous_at", F.lag(at).over(before))
-    latest = known.orderBy(F.col(at).desc_nulls_last(), F.col(tie).desc()).limit(limit)
-    first = F.row_number().over(Window.partitionBy(key).orderBy(F.col(at).desc_nulls_last(), F.col(tie).desc()))
-    return latest.withColumn("r", first).where("r = 1").drop("r")
+    """Of the latest ``limit`` versions the latest of each law, with the date of the version before it in all history. The latest
+    are taken first, so that only the history of their laws is read again: at most ``limit`` keys."""
+    order = [F.col(at).desc_nulls_last(), F.col(tie).desc()]
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    latest = versions.orderBy(*order).limit(limit).withColumn("r", first).where("r = 1").drop("r")
+    some = latest.select(F.col(key), F.struct(F.col(at).alias("at"), F.col(tie).alias("tie")).alias("last"))
+    earlier = versions.select(key, F.struct(F.col(at).alias("at"), F.col(tie).alias("tie")).alias("version")).join(F.broadcast(some), key).where(F.col("version") < F.col("last"))
+    previous = earlier.groupBy(key).agg(F.max("version").alias("v")).select(key, F.col("v.at").alias("previous_at"))
+    return latest.join(previous, key, "left")
+
+
+def with_previous(versions: DataFrame, key: str, at: str, tie: str) -> DataFrame:
+    """Every version with the date of the one before it."""
+    return versions.withColumn("previous_at", F.lag(at).over(Window.partitionBy(key).orderBy(at, tie)))
 
 
 def first_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key in source order."""
-    return rows.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("r = 1").drop("r")
+    """The first row of each key in source order, by partial aggregation."""
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), place).alias("row")).select("row.*")
 
 
 def back_fill(rows: DataFrame, key: str, order: Sequence[Column], columns: Sequence[str]) -> DataFrame:
     """One row per key, each column from the first row that has it."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    ranked = rows.withColumn("r", place)
-    return ranked.groupBy(key).agg(*[F.min_by(F.col(c), F.when(blank_to_null(F.col(c).cast("string")).isNotNull(), F.col("r"))).alias(c) for c in columns])
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    return rows.groupBy(key).agg(*[F.min_by(F.col(c), F.when(blank_to_null(F.col(c).cast("string")).isNotNull(), place)).alias(c) for c in columns])
 
 
 def gaps(rows: DataFrame, key: str, number: str, more_than: int = 1) -> DataFrame:
@@ -59,10 +67,14 @@ def toggle(items: Column, item: Column) -> Column:
 
 
 def trailing_count(events: DataFrame, key: str, at: str, id_: str, seconds: int = 3600, limit: int = 10) -> DataFrame:
-    """Events of the key in the ``seconds`` up to each, and when the next is allowed if there are ``limit``."""
-    span = Window.partitionBy(key).orderBy(F.unix_seconds(F.col(at).cast("timestamp"))).rangeBetween(-seconds, 0)
-    counted = events.withColumn("n_trailing", F.count("*").over(span)).withColumn("oldest", F.min(at).over(span))
-    retry = F.when(F.col("n_trailing") >= limit, F.unix_seconds(F.col("oldest").cast("timestamp")) + seconds - F.unix_seconds(F.col(at).cast("timestamp")))
+    """Events of the key in the ``seconds`` up to each, and when the next is allowed if there are ``limit``. Time is cut in
+    spans of ``seconds``; a span is counted with a copy of the one before, so a busy key is many groups."""
+    sec = F.unix_seconds(F.col(at).cast("timestamp"))
+    rows = events.select(key, id_, at, sec.alias("sec"), F.floor(sec / seconds).alias("b"))
+    rows = rows.select(key, id_, at, "sec", F.inline(F.array(F.struct(F.col("b").alias("span"), F.lit(True).alias("own")), F.struct((F.col("b") + 1).alias("span"), F.lit(False).alias("own")))))
+    upto = Window.partitionBy(key, "span").orderBy("sec").rangeBetween(-seconds, 0)
+    counted = rows.withColumn("n_trailing", F.count("*").over(upto)).withColumn("oldest", F.min(at).over(upto)).where("own")
+    retry = F.when(F.col("n_trailing") >= limit, F.unix_seconds(F.col("oldest").cast("timestamp")) + seconds - F.col("sec"))
     return counted.select(key, id_, "n_trailing", retry.alias("retry_after"))
 
 

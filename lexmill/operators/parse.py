@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from ..functions.rules import article_confidence, derogated
-from ..functions.text import ordinal, roman
+from ..functions.rules import URI_KINDS, article_confidence, by_keywords, derogated
+from ..functions.text import escape_xml, ordinal, roman, slug
 
 #: Article headers, most specific first. The dash form also takes an "o" before its dash.
 ARTICLE_HEADERS = (
@@ -63,6 +63,21 @@ def article_id(line: Column) -> Column:
     return found
 
 
+#: Ordinals that head an article in municipal texts.
+ORDINAL_HEADERS = (
+    r"^(PRIMER[OA]|Primer[oa])\b", r"^(SEGUND[OA]|Segund[oa])\b", r"^(TERCER[OA]|Tercer[oa])\b", r"^(CUART[OA]|Cuart[oa])\b", r"^(QUINT[OA]|Quint[oa])\b",
+    r"^(SEXT[OA]|Sext[oa])\b", r"^(S[ÉE]PTIM[OA]|S[ée]ptim[oa])\b", r"^(OCTAV[OA]|Octav[oa])\b", r"^(NOVEN[OA]|Noven[oa])\b",
+    r"^(D[ÉE]CIM[OA]\s+(?:PRIMER|SEGUND|TERCER)[OA]|D[ée]cim[oa]\s+(?:primer|segund|tercer)[oa])\b", r"^(D[ÉE]CIM[OA]|D[ée]cim[oa])\b",
+    r"^(UND[ÉE]CIM[OA]|Und[ée]cim[oa])\b", r"^(DUOD[ÉE]CIM[OA]|Duod[ée]cim[oa])\b", r"^(VIG[ÉE]SIM[OA]|Vig[ée]sim[oa])\b",
+)
+
+
+def ordinal_article_id(line: Column) -> Column:
+    """P1 for municipal texts: id of a line that an ordinal heads, else null. Kept apart, as ordinals also head transitory articles."""
+    said = F.coalesce(*[F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in ORDINAL_HEADERS])
+    return F.concat(F.lit("art-"), ordinal(said).cast("string"))
+
+
 def structure_kind(line: Column) -> Column:
     """Title, book, part, chapter or section."""
     out = None
@@ -162,18 +177,6 @@ def metadata(docs: DataFrame, arts: DataFrame, structs: DataFrame, trans: DataFr
     return out.withColumn("warnings", F.filter(F.array(*[F.when(c, k) for k, c in warn]), lambda x: x.isNotNull()))
 
 
-def completeness(meta: DataFrame, arts: DataFrame, id_: str) -> DataFrame:
-    """P20: (id, issues map) of five checks."""
-    short = arts.groupBy(id_).agg(F.count_if(F.length("content") < 20).alias("n_short"), F.count_if(F.length("content") < 5).alias("n_empty"))
-    wide = law_gaps(arts, id_, 5).groupBy(id_).agg(F.count("*").alias("n_wide"))
-    rows = meta.join(short, id_, "left").join(wide, id_, "left").na.fill(0)
-    checks = {
-        "sequence": F.col("n_wide") > 0, "length": (F.col("n_short") > 0.05 * F.col("n_articles")) | (F.col("n_empty") > 0),
-        "articles": F.col("n_articles") < 1, "structure": F.col("n_structures") < 1, "confidence": F.coalesce("confidence", F.lit(0.0)) < 0.5,
-    }
-    return rows.select(id_, F.filter(F.array(*[F.when(c, k) for k, c in checks.items()]), lambda x: x.isNotNull()).alias("issues"))
-
-
 def find_references(text: str) -> list[dict]:
     """P10: all matches of all forms, with offsets in the text."""
     found = []
@@ -202,11 +205,20 @@ def reference_matches(texts: pd.Series) -> pd.Series:
 
 
 def resolve_overlaps(refs: Column) -> Column:
-    """By start; of a reference and the last kept one that it overlaps, the more confident stays, the earlier on a tie."""
+    """By start; of a reference and the last kept one that it overlaps, the more confident stays, the earlier on a tie. The fold carries
+    the last kept reference and only appends those that nothing can replace, so it is linear but for the copies of arrays."""
     ordered = F.array_sort(refs, lambda a, b: F.when(a.start < b.start, -1).when(a.start > b.start, 1).otherwise(0))
-    return F.aggregate(ordered, F.array().cast(REFERENCE_TYPE), lambda kept, r: F.when(
-        (F.size(kept) == 0) | (F.element_at(kept, -1).end <= r.start), F.array_append(kept, r)).when(
-        r.confidence > F.element_at(kept, -1).confidence, F.array_append(F.slice(kept, 1, F.size(kept) - 1), r)).otherwise(kept))
+    one = REFERENCE_TYPE.elementType.simpleString()
+    none = F.lit(None).cast(one)
+
+    def step(state: Column, r: Column) -> Column:
+        apart = state.last.isNull() | (state.last.end <= r.start)
+        last = F.when(apart | (r.confidence > state.last.confidence), r).otherwise(state.last)
+        done = F.when(apart & state.last.isNotNull(), F.array_append(state.done, state.last)).otherwise(state.done)
+        return F.struct(done.alias("done"), last.alias("last"))
+
+    start = F.struct(F.array().cast(REFERENCE_TYPE).alias("done"), none.alias("last"))
+    return F.aggregate(ordered, start, step, lambda s: F.when(s.last.isNull(), s.done).otherwise(F.array_append(s.done, s.last)))
 
 
 def references(docs: DataFrame, id_: str, text: str) -> DataFrame:
@@ -230,6 +242,17 @@ def clean_article_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?<=[^.:;\n])\n(?=\S)", " "), r"[ \t]+", " "))
 
 
+def uri_kind(name: Column) -> Column:
+    """The kind of law that a name says."""
+    return by_keywords(F.lower(name), URI_KINDS, "ley")
+
+
+def state_frbr_uri(name: Column, state: Column, municipality_: Column, published: Column) -> Column:
+    """The work URI of a state's or a municipality's law."""
+    place = F.concat_ws("/", F.lit("/mx"), slug(state), F.nullif(slug(municipality_), F.lit("")))
+    return F.concat_ws("/", place, uri_kind(name), F.coalesce(F.date_format(published, "yyyy-MM-dd"), F.lit("2023-01-01")), slug(name), F.lit("main"))
+
+
 def frbr_uri(kind: Column, jurisdiction: Column, published: Column, slug_: Column) -> Column:
     """P18."""
     return F.concat_ws("/", F.lit("/mx"), jurisdiction, kind, F.date_format(published, "yyyy-MM-dd"), slug_)
@@ -278,13 +301,89 @@ def akn_elements(docs: DataFrame, id_: str, xml: str) -> DataFrame:
     return docs.select(id_, xml).mapInPandas(read, f"{id_} {kind}, eid string, num string, title string, chapter string, text string")
 
 
-def akn_document(arts: DataFrame, id_: str) -> DataFrame:
-    """Articles (id, article_id, content, line_number) as one AKN document each."""
-    from ..functions.text import escape_xml
+def akn_document(elements: DataFrame, id_: str) -> DataFrame:
+    """Elements in order (id, kind: title, chapter or article, label, content, line_number) as one AKN document each; articles stand in
+    their chapters, chapters in their titles. An element opens after closing what it ends: a title ends title and chapter, a
+    chapter the chapter. A document's parts are gathered in a row, as it is one value."""
+    order = Window.partitionBy(id_).orderBy("line_number")
+    before = lambda k: F.last(F.when(F.col("kind").isin("title", k), F.col("kind") == k), True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    in_title, in_chapter = F.coalesce(before("title"), F.lit(False)), F.coalesce(before("chapter"), F.lit(False))
+    label, eid = escape_xml(F.col("label")), F.concat(F.col("kind"), F.lit("-"), F.col("line_number").cast("string"))
+    close = F.concat(F.when(F.col("kind").isin("title", "chapter") & in_chapter, "</chapter>").otherwise(""), F.when((F.col("kind") == "title") & in_title, "</title>").otherwise(""))
+    head = F.concat(F.lit("<"), F.col("kind"), F.lit(' id="'), eid, F.lit('"><num>'), label, F.lit("</num>"))
+    article = F.concat(F.lit('<article id="'), label, F.lit('"><num>'), label, F.lit("</num><content><p>"), escape_xml(F.coalesce("content", F.lit(""))), F.lit("</p></content></article>"))
+    piece = F.concat(close, F.when(F.col("kind") == "article", article).otherwise(head))
+    rows = elements.where(F.col("kind").isin("title", "chapter", "article")).select(id_, "line_number", "kind", piece.alias("x"))
+    parts = rows.groupBy(id_).agg(F.array_sort(F.collect_list(F.struct("line_number", "x"))).alias("p"), F.max(F.struct("line_number", "kind")).alias("end"), F.max(F.when(F.col("kind") == "title", F.col("line_number"))).alias("t"), F.max(F.when(F.col("kind") == "chapter", F.col("line_number"))).alias("c"))
+    open_chapter = F.col("c").isNotNull() & (F.col("t").isNull() | (F.col("c") > F.col("t")))
+    tail = F.concat(F.when(open_chapter, "</chapter>").otherwise(""), F.when(F.col("t").isNotNull(), "</title>").otherwise(""))
+    body = F.array_join(F.transform("p", lambda r: r.x), "")
+    return parts.select(id_, F.concat(F.lit(f'<akomaNtoso xmlns="{AKN}"><act><meta/><body>'), body, tail, F.lit("</body></act></akomaNtoso>")).alias("xml"))
+
+
+def _tag(e: ET.Element) -> str:
+    return e.tag.rsplit("}", 1)[-1]
+
+
+def _issues(root: ET.Element) -> Iterator[tuple[str, str]]:
+    """P20: (check, issue) of a parsed document."""
+    found: dict[str, list[ET.Element]] = {}
+    for e in root.iter():
+        found.setdefault(_tag(e), []).append(e)
+    child = lambda e, n: next((x for x in e if _tag(x) == n), None)
+    arts = found.get("article", [])
+    nums = [m for a in arts if (n := child(a, "num")) is not None and (m := re.search(r"\d+", n.text or ""))]
+    if not arts:
+        yield "article_sequence", "no articles"
+    elif not nums:
+        yield "article_sequence", "no article numbers"
+    numbers = sorted(int(m.group()) for m in nums)
+    for a, b in zip(numbers, numbers[1:]):
+        if b - a > 5:
+            yield "article_sequence", f"gap {a}-{b}"
+    if "meta" not in found:
+        yield "frbr_metadata", "no meta"
+    else:
+        inner = {_tag(e): e for e in reversed(list(found["meta"][0].iter()))}
+        for kind in ("FRBRWork", "FRBRExpression", "FRBRManifestation"):
+            if kind not in inner:
+                yield "frbr_metadata", f"no {kind}"
+                continue
+            for part in ("FRBRthis", "FRBRuri", "FRBRdate"):
+                if child(inner[kind], part) is None:
+                    yield "frbr_metadata", f"no {part} in {kind}"
+    sizes = [len("".join(p.text or "" for p in a.iter() if _tag(p) == "p")) for a in arts]
+    short, empty = sum(n < 20 for n in sizes), sum(n < 5 for n in sizes)
+    if short > 0.05 * len(arts):
+        yield "content_length", f"{short} short articles"
+    if empty:
+        yield "content_length", f"{empty} empty articles"
+    if "body" not in found:
+        yield "hierarchy", "no body"
+    elif (chapters := sum(_tag(e) == "chapter" for e in found["body"][0].iter())) and sum(_tag(e) == "article" for e in found["body"][0].iter()) < chapters:
+        yield "hierarchy", "fewer articles than chapters"
+    for kind in ("chapter", "title"):
+        for e in found.get(kind, []):
+            if (n := child(e, "num")) is None or not n.text:
+                yield "structure_elements", f"{kind} without num"
+
+
+def completeness(docs: DataFrame, id_: str, xml: str) -> DataFrame:
+    """P20: (id, check, issue) of five checks: article sequence, FRBR metadata, content length, hierarchy, numbers of titles and chapters; no
+    row for a complete document, one of check parse_error for a malformed one."""
+    kind = docs.schema[id_].dataType.simpleString()
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, x in zip(batch[id_], batch[xml], strict=True):
+                try:
+                    rows += [(i, *r) for r in _issues(ET.fromstring(x))]
+                except (ET.ParseError, TypeError):
+                    rows.append((i, "parse_error", "not well-formed"))
+            yield pd.DataFrame(rows, columns=[id_, "check", "issue"])
 
-    one = F.concat(F.lit('<article eId="'), F.col("article_id"), F.lit('"><content><p>'), escape_xml(F.col("content")), F.lit("</p></content></article>"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", one.alias("x")))), lambda r: r.x), "")
-    return arts.groupBy(id_).agg(F.concat(F.lit(f'<akomaNtoso xmlns="{AKN}"><act><meta/><body>'), body, F.lit("</body></act></akomaNtoso>")).alias("xml"))
+    return docs.select(id_, xml).mapInPandas(check, f"{id_} {kind}, check string, issue string")
 
 
 def schema_validity(docs: DataFrame, id_: str, xml: str) -> DataFrame:

@@ -4,7 +4,7 @@ Containment joins are nested loops of a small, size-checked side; names that mat
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import title_key
@@ -14,9 +14,13 @@ NAMES = 100_000
 
 
 def new_titles(found: DataFrame, known: DataFrame, title: str) -> DataFrame:
-    """Rows whose normal title isn't known; repeats within the batch stay."""
-    keys = known.select(title_key(F.col(title)).alias("k")).distinct()
-    return found.withColumn("k", title_key(F.col(title))).join(keys, "k", "left_anti").drop("k")
+    """Rows whose normal title isn't known; repeats within the batch stay. Titles of any length are joined by the hash of their key."""
+    keys = known.select(title_hash(F.col(title)).alias("k")).distinct()
+    return found.withColumn("k", title_hash(F.col(title))).join(keys, "k", "left_anti").drop("k")
+
+
+def title_hash(title: Column) -> Column:
+    return F.sha2(title_key(title), 256)
 
 
 def missing(wanted: DataFrame, have: DataFrame, key: str) -> DataFrame:
@@ -68,7 +72,8 @@ def fan_out(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Events (event, category) by subscription (sub, events, domain_filter); an empty filter or a blank category passes."""
     subs = subscriptions.select("sub", F.explode("events").alias("event"), "domain_filter")
     free = (F.size("domain_filter") == 0) | (F.coalesce("category", F.lit("")) == "") | F.array_contains("domain_filter", F.col("category"))
-    return events.join(F.broadcast(subs), "event").where(free).drop("domain_filter")
+    few = not subs.isStreaming and subs.limit(NAMES + 1).count() <= NAMES  # more of them are joined by shuffle, where AQE splits a busy event
+    return events.join(F.broadcast(subs) if few else subs, "event").where(free).drop("domain_filter")
 
 
 def common_articles(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -86,5 +91,5 @@ def union_first(parts: list[DataFrame], keys: list[str]) -> DataFrame:
 
 
 def duplicate_groups(rows: DataFrame, text: str, id_: str) -> DataFrame:
-    """(key, n, first id) of normal titles that several rows have."""
-    return rows.groupBy(title_key(F.col(text)).alias("k")).agg(F.count("*").alias("n"), F.min(id_).alias("first_id")).where("n > 1")
+    """(k: hash of the key, n, first id) of normal titles or texts that several rows have."""
+    return rows.groupBy(title_hash(F.col(text)).alias("k")).agg(F.count("*").alias("n"), F.min(id_).alias("first_id")).where("n > 1")

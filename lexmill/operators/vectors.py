@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -24,19 +28,59 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Null where a vector is zero."""
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, id_: str, vector: str, k: int = 5) -> DataFrame:
-    """(query, id, similarity, rank): the k nearest of each query. Queries are few and broadcast; the vectors stream by
-    once, and each task keeps k per query before the shuffle."""
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v)))
-    q = F.broadcast(queries.select(F.col(id_).alias("query_id"), unit(F.col(vector)).alias("q")))
-    pairs = vectors.select(F.col(id_), unit(F.col(vector)).alias("v")).join(q, F.col(id_) != F.col("query_id"))
-    near = pairs.select("query_id", F.col(id_), dot(F.col("q"), F.col("v")).alias("similarity"))
+    """NaN where a vector is zero."""
+    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.when(a.isNotNull() & b.isNotNull(), float("nan")))
+
+
+#: Query vectors of a block: their matrix is sent to each task, and vectors stream by it once for each block.
+QUERIES = 4096
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, id_: str, vector: str, k: int = 5, block: int = QUERIES) -> DataFrame:
+    """(query_id, id, similarity, rank): the k nearest of each query among all vectors but itself; equal ones (to 12 places) by id.
+    Zero and null vectors are near to nothing. Queries are taken in blocks of bounded size; each task keeps k rows for a query of each batch."""
+    spark = vectors.sparkSession
+    each = queries.where(F.col(vector).isNotNull()).select(F.col(id_), F.col(vector))
+    count = each.count()
+    blocks = -(-count // block)
+    kind = vectors.schema[id_].dataType.simpleString()
+    found = spark.createDataFrame([], f"query_id {kind}, {id_} {kind}, similarity double")
+    for number in range(blocks):
+        part = each.where(F.pmod(F.xxhash64(id_), F.lit(blocks)) == number).toArrow()  # about ``block`` rows
+        found = found.unionByName(_block(vectors, part, id_, vector, k, kind))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows of unit length; NaN for zero vectors."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    m = flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+
+
+def _block(vectors: DataFrame, part: pa.Table, id_: str, vector: str, k: int, kind: str) -> DataFrame:
+    if not part.num_rows:
+        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, {id_} {kind}, similarity double")
+    sent = vectors.sparkSession.sparkContext.broadcast((part.column(id_).combine_chunks(), _unit(part.column(vector))))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = sent.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            own, v = batch.column(id_), _unit(batch.column(vector))
+            take = min(k + 1, len(batch))  # one may be the query itself
+            for a in range(0, len(q), 512):
+                s = np.round(np.nan_to_num(q[a : a + 512] @ v.T, nan=-2.0), 12)
+                order = np.lexsort((np.broadcast_to(own.to_numpy(zero_copy_only=False), s.shape), -s), axis=1)[:, :take]
+                row = np.repeat(np.arange(len(s)), take)
+                out = pa.table({"query_id": names.take(pa.array(row + a)), id_: own.take(pa.array(order.ravel())), "similarity": pa.array(s[row, order.ravel()])})
+                same = pc.or_(pc.equal(out["query_id"], out[id_]), pc.less(out["similarity"], -1.5))
+                yield from out.filter(pc.invert(same)).combine_chunks().to_batches()
+
+    return vectors.where(F.col(vector).isNotNull()).select(id_, vector).mapInArrow(near, f"query_id {kind}, {id_} {kind}, similarity double")
 
 
 @F.pandas_udf(ArrayType(StructType([StructField("op", StringType()), StructField("words", StringType())])))

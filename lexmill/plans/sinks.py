@@ -4,11 +4,15 @@ A change is computed whole and written next to the old table; a reader sees eith
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import escape_latex
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[Column] = (), keep_given: bool = False) -> DataFrame:
     """K1-K3: rows of ``new`` (the last per key in ``order``) replace those of ``old``; with ``keep_given`` only values that
@@ -98,9 +102,53 @@ def write_json_batches(rows: DataFrame, path: str, records: int = 500) -> None:
     rows.write.option("maxRecordsPerFile", records).json(path)
 
 
+def get_or_create(old: DataFrame, new: DataFrame, keys: Sequence[str], path: str) -> DataFrame:
+    """K1: versions by (law, publication date): new ones are added; of one that is there only ``path`` changes, if it is given."""
+    there = new.groupBy(*keys).agg(F.max(F.when(F.trim(path) != "", F.col(path))).alias("given"))
+    return insert_absent(old.join(there, list(keys), "left").withColumn(path, F.coalesce("given", path)).select(*old.columns), new, keys)
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A small text in one file that is there whole or not at all: written beside its name, then renamed over it."""
+    jvm = spark.sparkContext._jvm
+    hadoop, conf = jvm.org.apache.hadoop.fs, spark._jsparkSession.sessionState().newHadoopConf()
+    there, fresh = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}")
+    fs = there.getFileSystem(conf)
+    out = fs.create(fresh, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    how = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(fresh), fs.makeQualified(there), how)
+
+
+def read_small(spark: SparkSession, path: str) -> str | None:
+    """What ``write_small`` has written last; null if nothing."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return spark.read.text(path, wholetext=True).first()[0] if fs.exists(there) else None
+
+
+def save_checkpoint(spark: SparkSession, path: str, state: Mapping) -> None:
+    """How far a job has come, as one JSON object."""
+    write_small(spark, path, json.dumps(state))
+
+
+def load_checkpoint(spark: SparkSession, path: str) -> dict:
+    return json.loads(read_small(spark, path) or "{}")
+
+
+def latex_document(laws: DataFrame, articles: DataFrame, key: str, name: str, order: str, label: str, text: str) -> DataFrame:
+    """K8: one LaTeX source per law; bounded by the size of a document, like ``law_text``."""
+    part = F.concat(F.lit("\\section*{"), escape_latex(F.col(label).cast("string")), F.lit("}\n"), escape_latex(F.coalesce(text, F.lit(""))))
+    body = articles.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, part.alias("p")))), lambda x: x.p), "\n\n").alias("body"))
+    head, tail = F.lit("\\documentclass{article}\n\\begin{document}\n\\title{"), F.lit("\n\\end{document}\n")
+    return laws.join(body, key, "left").select(key, F.concat(head, escape_latex(F.col(name)), F.lit("}\n\\maketitle\n"), F.coalesce("body", F.lit("")), tail).alias("document"))
+
+
 class VersionedTable:
-    """K6: versions of a table in folders, and a pointer to the live one. The pointer is a one-row table; folders are pruned but
-    the live one. All through Spark, so any store will do."""
+    """K6: versions of a table in folders, and a pointer to the live one: a file that is replaced by a rename, so a reader finds the old
+    version or the new one. Folders are pruned but the live one."""
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
@@ -108,15 +156,15 @@ class VersionedTable:
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.base)
-        return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return jvm, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
 
     def publish(self, rows: DataFrame, version: str, keep: int = 2) -> None:
         rows.write.parquet(f"{self.base}/v_{version}")
-        self.spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{self.base}/live")
+        write_small(self.spark, f"{self.base}/live", version)
         self.prune(keep)
 
     def live(self) -> str:
-        return self.spark.read.schema("version string").parquet(f"{self.base}/live").first()[0]
+        return read_small(self.spark, f"{self.base}/live")
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.base}/v_{self.live()}")

@@ -29,22 +29,54 @@ def json_document(spark: SparkSession, path: str, schema: StructType | str) -> D
     return df.dropna(how="all")
 
 
+def files_of(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(path, first character that isn't blank) of the files at a path or pattern; none if there is nothing."""
+    jvm = spark.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    out = []
+    for top in fs.globStatus(there) or ():
+        for f in fs.listStatus(top.getPath()) if top.isDirectory() else (top,):
+            if f.isFile() and not f.getPath().getName().startswith(("_", ".")):
+                stream = fs.open(f.getPath())
+                head = ""
+                while not head.strip() and (c := stream.read()) >= 0:
+                    head = chr(c)
+                stream.close()
+                out.append((f.getPath().toString(), head.strip()))
+    return out
+
+
+def json_first(spark: SparkSession, paths: Sequence[str], schema: StructType | str) -> DataFrame:
+    """S3: the documents of the first path that has any, the local one before the object store's; none gives no rows."""
+    for path in paths:
+        if files_of(spark, path):
+            return json_document(spark, path, schema)
+    return spark.createDataFrame([], schema)
+
+
 def bulk_dump(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """.json (array), .ndjson/.jsonl (bad lines skipped) or .csv with a header."""
+    """.json (arrays; a file that isn't one is read by lines), .ndjson/.jsonl (bad lines skipped) or .csv with a header."""
     if path.endswith(".csv"):
         return spark.read.schema(schema).csv(path, header=True)
+    lines = lambda paths: spark.read.schema(schema).json(paths, mode="DROPMALFORMED")
     if path.endswith((".ndjson", ".jsonl")):
-        return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
-    if path.endswith(".json"):
-        return spark.read.schema(schema).json(path, multiLine=True, mode="DROPMALFORMED")
-    raise ValueError(f"neither JSON nor CSV: {path}")
+        return lines(path)
+    if not path.endswith(".json"):
+        raise ValueError(f"neither JSON nor CSV: {path}")
+    files = files_of(spark, path)
+    arrays, other = [f for f, head in files if head == "["], [f for f, head in files if head and head != "["]
+    parts = ([spark.read.schema(schema).json(arrays, multiLine=True, mode="DROPMALFORMED")] if arrays else []) + ([lines(other)] if other else [])
+    out = parts[0] if parts else spark.createDataFrame([], schema)
+    return out.unionByName(parts[1]) if len(parts) > 1 else out
 
 
 def batch_directory(spark: SparkSession, pattern: str, record_schema: StructType) -> DataFrame:
     """Batch files, each an array or an object with ``records``; ordered by file name in column ``source_file``."""
     arr = spark.read.text(pattern, wholetext=True).withColumn("source_file", F.input_file_name())
     kind = f"array<{record_schema.simpleString()}>"
-    items = F.coalesce(F.from_json("value", kind), F.from_json(F.get_json_object("value", "$.records"), kind))
+    listed = F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.col("value")).otherwise(F.get_json_object("value", "$.records"))
+    items = F.from_json(listed, kind)
     return arr.select("source_file", F.inline(items))
 
 

@@ -1,6 +1,7 @@
 """Operators on small tables: graph, history, resolution, sinks, sources, vectors."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,7 +126,13 @@ def test_canonical(spark):
 
 def test_search_ranks_rare_words_first(spark):
     docs = spark.createDataFrame([(1, "agua agua limpia", "x"), (2, "agua y energía", "y"), (3, "nada", "x")], "id int, text string, tier string")
-    hits, facets = search.search(docs, "id", ["energia", "agua"], ["text"], {"tier": 5})
+    index, stats = search.inverted_index(docs, "id", ["text"], search.analysed), search.field_stats(docs, ["text"], search.analysed)
+    find = lambda query, **more: search.search(docs, index, stats, "id", query, boosts={"text": 1.0}, **more)
+    assert [r["id"] for r in find("agau limpia")[0].collect()] == [1, 2]  # two edits in a word of four letters are too many, in the stem of energía one isn't
+    assert [r["id"] for r in find("enerjia")[0].collect()] == [2]
+    assert [r["id"] for r in find("agua", where=F.col("tier") == "y")[0].collect()] == [2]
+    assert not find("")[0].collect()
+    hits, facets = find("energía agua", facet_sizes={"tier": 5}, fuzzy=False)
     assert [r["id"] for r in hits.collect()] == [2, 1] and {(r["key"], r["n"]) for r in facets.collect()} == {("x", 1), ("y", 1)}
 
 
@@ -138,7 +145,10 @@ def test_vectors(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (4, [0.0, 0.0])], "id int, v array<double>")
     got = vectors.nearest(v.where("id < 4"), v.where("id = 1"), "id", "v", 1).first()
     assert got["id"] == 3 and abs(got["similarity"] - 0.5**0.5) < 1e-12
-    assert v.where("id = 4").select(vectors.cosine(F.col("v"), F.col("v"))).first()[0] is None
+    assert v.where("id = 4").select(vectors.cosine(F.col("v"), F.col("v"))).first()[0] is not None
+    assert math.isnan(v.where("id = 4").select(vectors.cosine(F.col("v"), F.col("v"))).first()[0])
+    many = vectors.nearest(v, v, "id", "v", 3, block=2).collect()  # in blocks; the zero vector is near to nothing
+    assert {(r["query_id"], r["id"]) for r in many} == {(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if a != b}
 
 
 def test_word_diff(spark):

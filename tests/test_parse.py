@@ -61,7 +61,6 @@ def test_gaps_metadata_and_completeness(docs):
     meta = parse.metadata(docs, arts, parse.structures(docs, "id", "text"), parse.transitory_articles(docs, "id", "text"), "id")
     row = meta.first()
     assert (row["n_articles"], row["n_structures"], row["n_transitory"], row["warnings"]) == (4, 3, 2, ["gaps"])
-    assert "sequence" not in parse.completeness(meta, arts, "id").first()["issues"]
 
 
 def test_references_and_overlaps(spark):
@@ -79,9 +78,12 @@ def test_parents(spark):
 
 
 def test_akn_round_trip(docs, spark):
-    xml = parse.akn_document(parse.articles(docs, "id", "text"), "id")
-    got = {r["eid"]: r["text"] for r in parse.akn_elements(xml, "id", "xml").collect()}
-    assert set(got) == {"art-1", "art-2", "art-2bis1", "art-5a"} and got["art-5a"] == "Se deroga."
+    heads = parse.structures(docs, "id", "text").select("id", "kind", F.concat_ws(" ", "kind", F.col("number").cast("string")).alias("label"), F.lit(None).cast("string").alias("content"), "line_number")
+    arts = parse.articles(docs, "id", "text").select("id", F.lit("article").alias("kind"), F.col("article_id").alias("label"), "content", "line_number")
+    xml = parse.akn_document(heads.unionByName(arts), "id")
+    got = {r["eid"]: (r["title"], r["chapter"], r["text"]) for r in parse.akn_elements(xml, "id", "xml").collect()}
+    assert set(got) == {"art-1", "art-2", "art-2bis1", "art-5a"} and got["art-5a"] == ("title 1", "chapter 2", "Se deroga.") and got["art-1"][:2] == ("title 1", "chapter 1")
+    assert {r["check"] for r in parse.completeness(xml, "id", "xml").collect()} == {"frbr_metadata", "content_length"}
     assert not parse.schema_validity(xml, "id", "xml").collect()
     bad = spark.createDataFrame([(1, "<a>"), (2, "<akomaNtoso><act/></akomaNtoso>"), (3, None)], "id int, xml string")
     assert {tuple(r) for r in parse.schema_validity(bad, "id", "xml").collect()} == {(1, "not_well_formed"), (3, "not_well_formed"), (2, "no_meta"), (2, "no_body")}
