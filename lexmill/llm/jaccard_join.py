@@ -14,10 +14,10 @@ Pivots are documents; a document's region is that of a pivot, and ``d`` its dist
 3. The region's outer part and ring join recursively. The order is now: shingles outside of the pivot first. A pair
    that may link shares u = ceil(4/9 (|x| + |y|)) shingles, so one of the first |x| - u + 1 in it (with the region's least size
    for |y|); that is the new window, and pivots are chosen where these meet. A document whose cut with the pivot leaves
-   no room for u has no window and is out. Regions that hold one class are closed.
+   no room for u has no window and is out. Regions that hold one class are closed, and those of at most ``LEAF`` documents are settled as
+   they are: their documents are compared where classes differ, and only links leave the task.
 
-A sub-region is without its pivot, so the recursion ends, and there is no step that compares all pairs of a region. Every pair left out is in
-one class or proven farther than r: classes are exact. Equal texts are one member. Sets are compared on 64-bit shingle
+A sub-region is without its pivot, so the recursion ends. Every pair left out is in one class or proven farther than r: classes are exact. Equal texts are one member. Sets are compared on 64-bit shingle
 hashes, and 64-bit names of sub-regions only bring documents together that are then measured.
 
 It gives classes, not linked pairs or their number: pairs of one class aren't measured, which is what keeps a group of
@@ -50,6 +50,8 @@ R = 1 - PART / WHOLE
 FREQUENT = 1 << 18
 #: A shingle is a candidate for that table with so many documents of a slice.
 OFTEN = 4
+#: Regions of at most so many documents beside the pivot are settled at once, in one task each; larger ones are parted further.
+LEAF = 64
 NO_ID = (1 << 63) - 1
 _places = mix(np.arange(1, 65, dtype=np.uint64) * M2) | np.uint64(1)
 
@@ -202,37 +204,70 @@ def node(rep: str, t: str) -> Column:
     return F.struct(F.coalesce(F.col(rep), F.lit(NO_ID)).alias("rep"), F.col(t).alias("t"))
 
 
-def classes(rows: DataFrame, sets: DataFrame) -> DataFrame:
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two ascending sets are at distance of at most r."""
+    n, m = len(x), len(y)
+    if WHOLE * min(n, m) < PART * max(n, m):
+        return False
+    i = int((y[np.minimum(np.searchsorted(y, x), m - 1)] == x).sum())
+    return WHOLE * i >= PART * (n + m - i)
+
+
+def settle(region: pa.Table) -> pa.Table:
+    """Links of a region of at most ``leaf`` + 1 documents (t, class, rep, fps) that join classes, each with the first that it meets."""
+    t, rep, known = (region.column(c).to_pylist() for c in ("t", "rep", "class"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in region.column("fps")]
+    order = sorted(range(len(t)), key=lambda k: (len(sets[k]), t[k]))
+    out = []
+    for j, b in enumerate(order):
+        for a in order[:j]:
+            if known[a] != known[b] and linked(sets[a], sets[b]):
+                out.append((t[a], rep[a], t[b], rep[b]))
+                known = [known[a] if k == known[b] else k for k in known]
+    columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["t", "rep", "p", "prep"])
+
+
+def classes(rows: DataFrame, sets: DataFrame, leaf: int = LEAF) -> DataFrame:
     """(t, low: the smallest doc_id of its class) of the documents that have a partner; ``rows`` (key, t, n, own) say where they meet."""
     rows, links, label = rows.withColumn("outer", F.lit(True)), None, None
+    none = rows.sparkSession.createDataFrame([], "t bigint, class bigint, low bigint")
     while True:
-        held = rows.join(bounded(label.select("t", "class"), 40), "t", "left").withColumn("class", F.coalesce("class", "t")) if label is not None else rows.withColumn("class", F.col("t"))
+        known = (label if label is not None else none).select("t", "class")
+        held = rows.join(bounded(known, 24), "t", "left").withColumn("class", F.coalesce("class", "t"))
         first = F.min(F.struct("own", F.xxhash64("t"), "t")).alias("first")
         regions = held.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("outer").alias("open"), first).where("lo <> hi and open").select("key", F.col("first.t").alias("p"))
         pairs = saved(held.join(regions, "key").where("t <> p").groupBy("t", "p").agg(F.first("n").alias("n"), F.first("own").alias("own")), "jaccard-pairs")
-        if not pairs.take(1):
-            return label.select("t", "low") if label is not None else rows.sparkSession.createDataFrame([], "t bigint, low bigint")
-        least = saved(pairs.groupBy("p").agg(F.min("n").alias("least")), "jaccard-least")
-        union = F.col("n") + F.col("m") - F.col("i")
-        found = measure(pairs.join(bounded(least, 16), "p").select("t", "p", "least"), sets).withColumns({"outer": WHOLE * F.col("i") < PART * union, "d": 1 - F.col("i") / union})
-        found = saved(found, "jaccard-measured")
-        new = found.where("not outer").select(node("rep", "t").alias("a"), node("prep", "p").alias("b"))
-        links = new if links is None else links.unionByName(new)
+        sizes = saved(pairs.groupBy("p").agg(F.count("*").alias("k"), F.min("n").alias("least")), "jaccard-sizes")
+        pairs = pairs.join(bounded(sizes, 24), "p")
+        small = pairs.where(F.col("k") <= leaf).select("p", "t")
+        members = small.unionByName(small.select("p", F.col("p").alias("t")).distinct()).join(bounded(known, 24), "t", "left").withColumn("class", F.coalesce("class", "t"))
+        new = saved(members.join(sets.select("t", "rep", "fps"), "t").groupBy("p").applyInArrow(settle, "t bigint, rep bigint, p bigint, prep bigint"), "jaccard-links")
+        more = bool(sizes.where(F.col("k") > leaf).take(1))
+        if more:
+            union = F.col("n") + F.col("m") - F.col("i")
+            big = pairs.where(F.col("k") > leaf)
+            found = measure(big.select("t", "p", "least"), sets).withColumns({"outer": WHOLE * F.col("i") < PART * union, "d": 1 - F.col("i") / union})
+            found = saved(found, "jaccard-measured")
+            new = new.unionByName(found.where("not outer").select("t", "rep", "p", "prep"))
+        edges = new.select(node("rep", "t").alias("a"), node("prep", "p").alias("b"))
+        links = edges if links is None else links.unionByName(edges)
         if new.take(1):
             label = saved(components(links).select(F.col("node.t").alias("t"), F.col("component.t").alias("class"), F.col("component.rep").alias("low")), "jaccard-classes")
+        if not more:
+            return (label if label is not None else none).select("t", "low")
         ring = saved(found.where("outer").groupBy("p").agg((F.min("d") - R - 1e-9).alias("from")), "jaccard-rings")
         stay = found.join(bounded(ring, 16), "p").where(F.col("outer") | (F.col("d") >= F.col("from")))
-        own = pairs.select("t", "p", "own")
-        rows = saved(stay.select("t", "p", "n", "outer", "keys").join(own, ["t", "p"]).select(F.explode("keys").alias("key"), "t", "n", "own", "outer"), "jaccard-met")
+        rows = saved(stay.select("t", "p", "n", "outer", "keys").join(big.select("t", "p", "own"), ["t", "p"]).select(F.explode("keys").alias("key"), "t", "n", "own", "outer"), "jaccard-met")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles and component_id (smallest doc_id that links reach)."""
+def near_duplicates(docs: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """Per document: doc_id, n_shingles and component_id (smallest doc_id that links reach), the same for any ``leaf`` of 1 or more."""
     texts = distinct_texts(docs)
     named = windows(texts)
     rows = met(named)
     members = saved(named.join(rows.select("t").distinct(), "t", "left_semi").select("t", "digest", "rep"), "jaccard-members")
-    label = classes(rows, sets_of(texts, members))
+    label = classes(rows, sets_of(texts, members), leaf)
     low = F.nullif(F.coalesce("low", F.col("rep")), F.lit(NO_ID))
     ids = saved(named.select("t", "digest", "n", "rep").join(bounded(label, 24), "t", "left").select("digest", "n", low.alias("low")), "jaccard-ids")
     each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))

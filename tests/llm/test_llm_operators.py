@@ -70,7 +70,8 @@ def test_near_duplicates(spark):
     assert collect(jaccard_join.near_duplicates(frame(spark, rows))) == near_duplicates(rows)
 
 
-def test_near_duplicates_chain_and_crowd(spark):
+@pytest.mark.parametrize("leaf", [1, 64])
+def test_near_duplicates_chain_and_crowd(spark, leaf):
     rng = random.Random(5)
     base = text(rng, 200).split()
     rows = []
@@ -81,10 +82,11 @@ def test_near_duplicates_chain_and_crowd(spark):
         rows.append((100 + i, " ".join(w)))
     shared = text(rng, 60)
     rows += [(200 + i, shared + " " + text(rng, 14 + i % 3)) for i in range(30)]  # shares much, links with few
-    assert collect(jaccard_join.near_duplicates(frame(spark, rows))) == near_duplicates(rows)
+    assert collect(jaccard_join.near_duplicates(frame(spark, rows), leaf)) == near_duplicates(rows)
 
 
-def test_near_duplicates_around_an_original(spark):
+@pytest.mark.parametrize("leaf", [1, 8, 64])
+def test_near_duplicates_around_an_original(spark, leaf):
     rng = random.Random(8)
     base = text(rng, 150).split()
     rows = [(300, " ".join(base))]
@@ -93,7 +95,7 @@ def test_near_duplicates_around_an_original(spark):
         for k in rng.sample(range(150), 1 + i % 9):
             w[k] = rng.choice(("left", "right", f"own{i}"))
         rows.append((301 + i, " ".join(w)))
-    assert collect(jaccard_join.near_duplicates(frame(spark, rows))) == near_duplicates(rows)
+    assert collect(jaccard_join.near_duplicates(frame(spark, rows), leaf)) == near_duplicates(rows)
 
 
 def test_one_of_each(spark):
