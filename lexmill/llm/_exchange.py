@@ -1,7 +1,7 @@
 """Ask all chunks about fingerprints and get each chunk its answers.
 
 Documents are staged in chunks of bounded size, a row each (compressed Arrow bytes), so a pass over them costs no row
-handling in the JVM and a chunk is always seen whole. In an exchange each chunk sends its sorted distinct 64-bit keys and
+handling in the JVM and a chunk is always seen whole. In an exchange (operator 1 only) each chunk sends its sorted distinct 64-bit keys and
 values, cut into buckets by key range; each bucket gathers the keys of all chunks, settles them (a sum, a minimum, ...)
 and answers in the same order; the answers are a table partitioned by chunk in the shared folder, where the next pass
 over a chunk reads its own. Keys are hashes, and a chunk sends a key once, so buckets are even whatever a key's
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import posixpath
 from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -81,19 +82,28 @@ def open_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Tab
             release()
 
 
-def answers(path: str, chunk: int) -> Arrays:
-    """What an exchange has answered to a chunk, in the order of its keys; to chunk -1, the buckets' own figures."""
+class Answers(NamedTuple):
+    """What an exchange has answered: the folder, and buckets of a kind of keys."""
+
+    path: str
+    buckets: int
+
+
+def answers(found: Answers, chunk: int, kind: int = 0) -> Arrays:
+    """What an exchange has answered to a chunk for a kind of keys, in the order of its keys; to chunk -1, the buckets' own figures."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
-    store, folder = fs.FileSystem.from_uri(path)
+    store, folder = fs.FileSystem.from_uri(found.path)
     files = store.get_file_info(fs.FileSelector(posixpath.join(folder, f"chunk={chunk}"), allow_not_found=True))
     got = [pq.read_table(f.path, filesystem=store, partitioning=None, columns=["bucket", "payload"]) for f in files if f.path.endswith(".parquet")]
     if not got:
         return {}
     table = pa.concat_tables(got).sort_by("bucket")
-    each = [unpack(x.as_buffer()) for x in table.column("payload")]
-    return {k: np.concatenate([x[k] for x in each]) for k in each[0]}
+    bucket = table.column("bucket").to_numpy()
+    a, b = np.searchsorted(bucket, (kind * found.buckets, (kind + 1) * found.buckets)).tolist()
+    each = [unpack(x.as_buffer()) for x in table.column("payload").slice(a, b - a)]
+    return {k: np.concatenate([x[k] for x in each]) for k in each[0]} if each else {}
 
 
 def buckets_for(total_bytes: int, each: int = BUCKET_BYTES) -> int:
@@ -108,35 +118,34 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 def exchange(
     chunks: DataFrame,
     label: str,
-    emit: Callable[[int, pa.Table], tuple[np.ndarray, Arrays]],
-    settle: Callable[[np.ndarray, Arrays, np.ndarray], tuple[Arrays, Arrays | None]],
+    emit: Callable[[int, pa.Table], Sequence[tuple[np.ndarray, Arrays]]],
+    settle: Sequence[Callable[[np.ndarray, Arrays], tuple[Arrays, Arrays | None]]],
     buckets: int,
-) -> str:
-    """Returns the path of the answers.
-
-    ``emit`` gives a chunk's ascending distinct keys and values; ``settle`` gets a bucket's keys, values and the sender of
-    each (senders in a fixed order) and gives answers in the same order, and figures of the bucket for ``answers(path, -1)``."""
+) -> Answers:
+    """``emit`` gives a chunk's ascending distinct keys and values for each kind of keys; the kind's ``settle`` gets a bucket's keys and
+    values and gives answers in the same order, and figures of the bucket for chunk -1."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, table in open_chunks(batches):
-            keys, values = emit(chunk, table)
-            edges = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1, dtype=np.uint64))
-            full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
-            for some in (full[i : i + 64] for i in range(0, len(full), 64)):
-                sent = [pack({"key": keys[edges[b] : edges[b + 1]]} | {k: v[edges[b] : edges[b + 1]] for k, v in values.items()}) for b in some]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.int64()), pa.array(sent, pa.binary())], ["bucket", "chunk", "payload"])
+            for kind, (keys, values) in enumerate(emit(chunk, table)):
+                edges = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1, dtype=np.uint64))
+                full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
+                for some in (full[i : i + 64] for i in range(0, len(full), 64)):
+                    sent = [pack({"key": keys[edges[b] : edges[b + 1]]} | {k: v[edges[b] : edges[b + 1]] for k, v in values.items()}) for b in some]
+                    names = pa.array([kind * buckets + b for b in some], pa.int32())
+                    yield pa.RecordBatch.from_arrays([names, pa.array([chunk] * len(some), pa.int64()), pa.array(sent, pa.binary())], ["bucket", "chunk", "payload"])
 
     schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("payload", pa.binary())])
 
     def gather(table: pa.Table) -> pa.Table:
         table = table.sort_by("chunk")
+        chunk, bucket = table.column("chunk").to_pylist(), table.column("bucket").to_pylist()
         each = [unpack(x.as_buffer()) for x in table.column("payload")]
         n = [len(x["key"]) for x in each]
         values = {k: np.concatenate([x[k] for x in each]) for k in each[0]}
-        out, figures = settle(values.pop("key"), values, np.repeat(np.arange(len(each)), n))
+        out, figures = settle[bucket[0] // buckets](values.pop("key"), values)
         ends = np.cumsum(n)
         rows = [pack({k: v[b - a : b] for k, v in out.items()}) for a, b in zip(n, ends.tolist(), strict=True)]
-        chunk, bucket = table.column("chunk").to_pylist(), table.column("bucket").to_pylist()
         if figures is not None:
             rows, chunk, bucket = [*rows, pack(figures)], [*chunk, -1], [*bucket, bucket[0]]
         del each, values, out
@@ -150,7 +159,7 @@ def exchange(
             .groupBy("bucket").applyInArrow(gather, "bucket int, chunk bigint, payload binary")
             .repartition("chunk").write.partitionBy("chunk").option("compression", "zstd").parquet(path)
         )
-    return path
+    return Answers(path, buckets)
 
 
 def sums(keys: np.ndarray, values: Sequence[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:

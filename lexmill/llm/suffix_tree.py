@@ -8,8 +8,8 @@ left-out likelihood prefers; the root is the add-one distribution of words. A te
 end of log10 P(word | longest retained suffix of what precedes it).
 
 The counts are of the whole training corpus and stay distributed: chunks of documents exchange n-gram fingerprints
-(64 bits) level by level. Words are counted; then pairs behind words of ``LEAST`` occurrences, then triples behind such pairs;
-the divergence of a context is the sum over chunks of what their own followers of it gain. No table of the model is
+(64 bits) level by level. Words are counted; then pairs behind words of ``LEAST`` occurrences, then triples behind such pairs, and so on
+to ``DEPTH``; the divergence of a context is the sum over chunks of what their own followers of it gain, sent with the counts of the next level. No table of the model is
 collected or broadcast, and a frequent context is spread over buckets by its followers.
 
 Defined cases: a null, empty or wordless text is its end alone; a null doc_id counts as the empty id for the split;
@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import text_bytes
-from ._exchange import M1, M2, M3, Arrays, answers, buckets_for, chunked, exchange, mix, open_chunks, sums
+from ._exchange import M1, M2, M3, Answers, Arrays, answers, buckets_for, chunked, exchange, mix, open_chunks, sums
 from ._words import plain, word_hashes
 
 #: A context must occur LEAST times, however large the corpus.
-DEPTH, LEAST, GAIN = 2, 32, 4.0
+DEPTH, LEAST, GAIN = 3, 8, 4.0
 STRENGTHS = (0.25, 2.0, 16.0, 128.0)
 END = np.uint64(0x2545F4914F6CDD1D)
 OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_deep bigint"
@@ -78,15 +78,15 @@ class Level:
         return out
 
 
-def settle_counts(keys: np.ndarray, values: Arrays, owner: np.ndarray) -> tuple[Arrays, Arrays]:
+def settle_counts(keys: np.ndarray, values: Arrays) -> tuple[Arrays, Arrays]:
     at, (n,) = sums(keys, [values["n"]])
     return {"n": n[at].astype(np.int64) if n.max(initial=0) >= 1 << 32 else n[at].astype(np.uint32)}, {"all": np.array([n.sum()]), "kinds": np.array([(n > 0).sum()], float)}
 
 
-def settle_gains(bound: float) -> Callable[[np.ndarray, Arrays, np.ndarray], tuple[Arrays, None]]:
+def settle_gains(bound: float) -> Callable[[np.ndarray, Arrays], tuple[Arrays, None]]:
     """The strength that a context is best smoothed with: 1 + its index, or 0 if it isn't retained."""
 
-    def settle(keys: np.ndarray, values: Arrays, owner: np.ndarray) -> tuple[Arrays, None]:
+    def settle(keys: np.ndarray, values: Arrays) -> tuple[Arrays, None]:
         at, total = sums(keys, [values[f"g{j}"] for j in range(len(STRENGTHS))])
         best = np.argmax(total, axis=0)
         return {"best": np.where(np.max(total, axis=0) > bound, best + 1, 0).astype(np.uint8)[at]}, None
@@ -95,14 +95,14 @@ def settle_gains(bound: float) -> Callable[[np.ndarray, Arrays, np.ndarray], tup
 
 
 class Model:
-    """What a pass over a chunk knows: paths of the answers so far."""
+    """What a pass over a chunk knows: the answers so far. Pass k has answered the counts of level k, and gains of level k - 1."""
 
-    def __init__(self, counts: list[str], gains: list[str], n_all: float = 0, kinds: float = 0, least: int = LEAST):
-        self.count_paths, self.gain_paths, self.n_all, self.kinds, self.least = counts, gains, n_all, kinds, least
+    def __init__(self, passes: list[Answers], n_all: float = 0, kinds: float = 0, least: int = LEAST):
+        self.passes, self.n_all, self.kinds, self.least = passes, n_all, kinds, least
 
     def as_now(self) -> Model:
         """A copy for a pass that is sent to workers."""
-        return Model(list(self.count_paths), list(self.gain_paths), self.n_all, self.kinds, self.least)
+        return Model(list(self.passes), self.n_all, self.kinds, self.least)
 
     def levels(self, chunk: int, c: Chunk, upto: int) -> list[Level]:
         """Levels 0 to ``upto``, with totals as far as they are answered."""
@@ -113,8 +113,8 @@ class Model:
                 ok = out[k - 1].counts(len(c.words))[at - 1] >= self.least
                 at, h = at[ok], h[ok]
             level = Level(at, h, c.weight)
-            if k < len(self.count_paths):
-                level.total = answers(self.count_paths[k], chunk).get("n", np.zeros(0)).astype(float)
+            if k < len(self.passes):
+                level.total = answers(self.passes[k], chunk).get("n", np.zeros(0)).astype(float)
             out.append(level)
         return out
 
@@ -129,6 +129,20 @@ class Model:
         index, of = np.unique(before[levels[k].at - 1], return_inverse=True)
         return of, levels[k - 1].names[index], levels[k - 1].total[index]
 
+    def gains(self, chunk: int, c: Chunk, levels: list[Level], k: int) -> tuple[np.ndarray, Arrays]:
+        """What each context of k words gains on its parent over a chunk's followers, for each strength."""
+        parent, _ = self.probabilities(chunk, levels, k - 1)
+        of, names, n = self.contexts(levels, k)
+        use = c.weight[levels[k].at]
+        p, seen, of_, n_ = parent[levels[k].at][use], levels[k].total[levels[k].of[use]], of[use], n[of[use]]
+        order = np.argsort(names)
+        out = {}
+        for j, strength in enumerate(STRENGTHS):
+            m = n_ * strength
+            more = np.log((np.maximum(seen - 1, 0) + m * p) / ((np.maximum(n_ - 1, 0) + m) * p))
+            out[f"g{j}"] = np.bincount(of_, weights=more, minlength=len(names))[order].astype(np.float32)
+        return names[order], out
+
     def probabilities(self, chunk: int, levels: list[Level], upto: int) -> tuple[np.ndarray, np.ndarray]:
         """(probability at each place by states of up to ``upto`` words, depth of its state)."""
         p = self.root(levels[0])[levels[0].of]
@@ -137,7 +151,7 @@ class Model:
             of, names, n = self.contexts(levels, k)
             order = np.argsort(names)
             best = np.zeros(len(names), np.int64)
-            best[order] = answers(self.gain_paths[k - 1], chunk).get("best", np.zeros(0, np.uint8))
+            best[order] = answers(self.passes[k + 1], chunk, 1).get("best", np.zeros(0, np.uint8))
             here = (best[of] > 0) & (depth[levels[k].at] == k - 1)  # a state's suffixes are states
             at, of, seen = levels[k].at[here], of[here], levels[k].total[levels[k].of[here]]
             m = n[of] * np.array((0, *STRENGTHS))[best[of]]
@@ -154,39 +168,19 @@ def score(docs: DataFrame, held_out: Callable[[], object] | None = None, depth:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rule.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     buckets = buckets_for(text_bytes(docs))
     chunks = chunked(rows, "tree", 6 << 20)
-    model = Model([], [], least=least)
-
-    for k in range(depth + 1):
+    model = Model([], least=least)
+    for k in range(depth + 2):  # counts of level k, and gains of level k - 1
 
-        def send_counts(chunk: int, table: pa.Table, k: int = k, model: Model = model.as_now()) -> tuple[np.ndarray, Arrays]:
+        def send(chunk: int, table: pa.Table, k: int = k, model: Model = model.as_now()) -> list[tuple[np.ndarray, Arrays]]:
             c = Chunk(table)
-            level = model.levels(chunk, c, k)[k]
-            return level.names, {"n": level.train}
+            levels = model.levels(chunk, c, min(k, depth))
+            counts = (levels[k].names, {"n": levels[k].train}) if k <= depth else (np.zeros(0, np.uint64), {"n": np.zeros(0, np.uint32)})
+            return [counts, model.gains(chunk, c, levels, k - 1)] if k > 1 else [counts]
 
-        model.count_paths.append(exchange(chunks, f"tree-count{k}", send_counts, settle_counts, buckets))
+        model.passes.append(exchange(chunks, f"tree-{k}", send, [settle_counts, settle_gains(gain)], buckets))
         if not k:
-            figures = docs.sparkSession.read.schema("bucket int, payload binary, chunk bigint").parquet(model.count_paths[0]).where("chunk = -1").select("payload")
-            n, kinds = totals(figures)
-            model.n_all, model.kinds = n, kinds
-
-    for k in range(1, depth + 1):
-
-        def send_gains(chunk: int, table: pa.Table, k: int = k, model: Model = model.as_now()) -> tuple[np.ndarray, Arrays]:
-            c = Chunk(table)
-            levels = model.levels(chunk, c, k)
-            parent, _ = model.probabilities(chunk, levels, k - 1)
-            of, names, n = model.contexts(levels, k)
-            use = c.weight[levels[k].at]
-            p, seen, of_, n_ = parent[levels[k].at][use], levels[k].total[levels[k].of[use]], of[use], n[of[use]]
-            order = np.argsort(names)
-            out = {}
-            for j, strength in enumerate(STRENGTHS):
-                m = n_ * strength
-                more = np.log((np.maximum(seen - 1, 0) + m * p) / ((np.maximum(n_ - 1, 0) + m) * p))
-                out[f"g{j}"] = np.bincount(of_, weights=more, minlength=len(names))[order].astype(np.float32)
-            return names[order], out
-
-        model.gain_paths.append(exchange(chunks, f"tree-gain{k}", send_gains, settle_gains(gain), buckets))
+            figures = docs.sparkSession.read.schema("bucket int, payload binary, chunk bigint").parquet(model.passes[0].path).where("chunk = -1").select("payload")
+            model.n_all, model.kinds = totals(figures)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, table in open_chunks(batches):

@@ -55,10 +55,11 @@ def repeated_spans(rows, length=50):
     return sorted(out)
 
 
-def suffix_tree(rows, depth, least, gain, strengths):
+def suffix_tree(rows, depth, least, gain, strengths, held=lambda d: zlib.crc32(str(d).encode()) % 7 == 2):
     """(doc_id, held out, tokens, known, training tokens, base score, score)."""
+    rule = held
     docs = {d: [*words(t), None] for d, t in rows}
-    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in docs}
+    held = {d: rule(d) for d in docs}
     counts = [Counter() for _ in range(depth + 1)]
     for d, w in docs.items():
         if not held[d]:

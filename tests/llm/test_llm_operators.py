@@ -134,21 +134,22 @@ def test_suffix_tree_scores(spark):
 
 
 def test_contexts_count_at_every_size(monkeypatch):
-    """A context of LEAST occurrences has counted followers, also in a corpus of 5 billion words."""
+    """A context of ``least`` occurrences has counted followers, also in a corpus of 5 billion words."""
     c = tree.Chunk(pa.table({"text": ["red car red car"], "held_out": [False]}))
-    monkeypatch.setattr(tree, "answers", lambda path, chunk: {"n": np.full(3, tree.LEAST, np.uint32)})
-    for n_all in (1e3, 5e9):
-        assert tree.Model(["words"], [], n_all).levels(0, c, 1)[1].at.tolist() == [1, 2, 3, 4]
+    monkeypatch.setattr(tree, "answers", lambda found, chunk, kind=0: {"n": np.full(3, tree.LEAST, np.uint32)})
+    model = tree.Model([tree.Answers("counts", 1)], n_all=5e9, kinds=1e6)
+    assert len(model.levels(0, c, 1)[1].at) == 4
 
 
-def test_probabilities_sum_to_one(spark):
-    rng = random.Random(9)
-    rows = [(i, " ".join(rng.choice(("a b", "a c", "b b")) for _ in range(40))) for i in range(30)]
-    probes = [(1000 + i, f"a {w}") for i, w in enumerate(("a", "b", "c", "unknown"))]
-    held = lambda: F.col("doc_id") >= 1000
-    got = {r["doc_id"]: r["score"] for r in tree.score(frame(spark, rows + probes + [(2000, "a")]), held).collect()}
-    first = {r["doc_id"]: r["score"] for r in tree.score(frame(spark, rows + [(1000, "")]), held).collect()}
-    assert len(got) == len(rows) + 5 and first[1000] < 0
+def test_suffix_tree_of_texts_left_out(spark):
+    """A caller's own rule for texts to leave out, on every continuation of short contexts."""
+    words = [f"w{i}" for i in range(6)]
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30))) for i in range(40)]
+    rows += [(10_000 + i, f"{a} {b} {w}") for i, (a, b, w) in enumerate((a, b, w) for a in words[:2] for b in words for w in (*words, "new"))]
+    got = collect(tree.score(frame(spark, rows), held_out=lambda: F.col("doc_id") >= 10_000, least=2, gain=0.0), "doc_id", "held_out", "score")
+    want = suffix_tree(rows, tree.DEPTH, 2, 0.0, tree.STRENGTHS, held=lambda d: d >= 10_000)
+    assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[6] for w in want], rtol=1e-5)
 
 
 def test_mix(spark):
