@@ -14,27 +14,31 @@ from lexmill.llm.queries import table, tokenizer_file
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go."""
+    """Documents that the toxicity classifier rejects go. Null and empty texts stay; rows that share a doc_id (null is one too) with a rejected
+    one go with it; without labels nothing goes; an empty table stays empty."""
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays: the one of the smallest doc_id, with its repeated rows. Null, empty and wordless texts
+    are like no other and stay."""
     return jaccard_join.one_of_each(docs)
 
 
 def drop_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go. Null, empty and wordless texts and items hold none; without items nothing goes."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights; a document that the mix takes twice is there twice."""
+    """Sources at their target weights; a document that the mix takes twice is there twice. A null source is one, the last; null and empty
+    texts have no size and aren't taken; an empty table stays empty."""
     return mixing.mixed_rows(docs)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files, read back: doc_id, start, n_tokens and ids_crc32."""
+    """Token files, read back: doc_id, start, n_tokens and ids_crc32. Null and empty texts are their end id; repeated rows are each there; a null
+    doc_id comes first; an empty table gives no rows."""
     return token_files.token_rows(docs, tokenizer_file("word_bpe_49k.json"))
 
 
