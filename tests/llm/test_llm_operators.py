@@ -269,6 +269,38 @@ def test_toxicity(spark):
     assert sum(p == y for p, y in held) >= 0.97 * len(held) and not any(p and not y for p, y in held)
 
 
+def test_toxicity_by_a_plain_decision_list(spark):
+    """Scores of plain words by a list that is made step by step: the feature of the highest share among texts that no earlier rule has."""
+    rng = random.Random(21)
+    rows, labels = [], []
+    for i in range(300):
+        w = text(rng, 25).split()
+        if i % 5 == 0:
+            w.insert(rng.randrange(len(w)), rng.choice(("zorgling", "zorgly", "blarp", "grumph")))
+        if i % 7 == 0:
+            w.append("blarpless")  # a beginning that clean texts have too
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(i % 5 == 0)))
+    shown = [(t, y) for (d, t), (_, _, y) in zip(rows, labels, strict=True) if zlib.crc32(str(d).encode()) % 4 != 2]
+    sets = [({f for w in t.split() for f in (f"={w}", *(w[:k] for k in range(3, 8) if len(w) >= k))}, y) for t, y in shown]
+    n = [sum(y == k for _, y in shown) for k in (0, 1)]
+    prior = n[1] / sum(n)
+    good = {f: sum(f in s for s, y in sets if not y) for s, y in sets if y for f in s}
+    able = {f for f in good if sum(f in s for s, y in sets if y) >= toxicity.LEAST}
+    left, rules = [s for s, y in sets if y], {}
+    while True:
+        share = {f: (k + toxicity.SHRINK * prior) / (k + good[f] + toxicity.SHRINK) for f in able - set(rules) for k in [sum(f in s for s in left)]}
+        best = min(share, key=lambda f: (-share[f], f), default=None)
+        if best is None or share[best] < toxicity.CUT:
+            break
+        rules[best] = share[best]
+        left = [s for s in left if best not in s]
+    got = scores(spark, rows, labels)
+    for d, t in rows:
+        want = max([rules[f] for w in t.split() for f in (f"={w}", *(w[:k] for k in range(3, 8) if len(w) >= k)) if f in rules], default=prior / 2)
+        assert abs(got[d][1] - want) < 1e-9, (d, got[d], want)
+
+
 def spaced_case():
     """Labelled texts around the word blarp, and probes from 1000 on, all of which are outside the labels."""
     rng = random.Random(12)
