@@ -11,10 +11,11 @@ Pivots are documents; a document's region is that of a pivot, and ``d`` its dist
 2. Within r of the pivot a document is linked with it, and so with all others of that inner part: nothing between them is left
    to find. By the triangle inequality a document at d > r (the outer part) finds partners only at distances of d - r to d + r
    from the pivot: that is the ring of inner documents that are replicated into the join of the outer part.
-3. The region's outer part and ring join recursively. The order is now: shingles outside of the pivot first. A pair
+3. The region's outer part and ring join recursively. The order is now: shingles outside of the pivot first, the rarest of the
+   region before others. A pair
    that may link shares u = ceil(4/9 (|x| + |y|)) shingles, so one of the first |x| - u + 1 in it (with the region's least size
    for |y|); that is the new window, and pivots are chosen where these meet. A document whose cut with the pivot leaves
-   no room for u has no window and is out. Regions that hold one class are closed, and those of at most ``LEAF`` documents are settled as
+   no room for u has no window and is out. Regions that hold one class are closed, and small ones (``LEAF``) are settled as
    they are: their documents are compared where classes differ, and only links leave the task.
 
 A sub-region is without its pivot, so the recursion ends. Every pair left out is in one class or proven farther than r: classes are exact. Equal texts are one member. Sets are compared on 64-bit shingle
@@ -34,12 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import bounded, distinct_texts, forget, kept_rows, saved
 from ._encode import pieces_of
-from ._words import M1, M2, distinct, mix, plain, word_hashes
+from ._words import M2, distinct, mix, plain, word_hashes
 from .components import components
 
 SHINGLE = 5
@@ -50,8 +51,9 @@ R = 1 - PART / WHOLE
 FREQUENT = 1 << 18
 #: A shingle is a candidate for that table with so many documents of a slice.
 OFTEN = 4
-#: Regions of at most so many documents beside the pivot are settled at once, in one task each; larger ones are parted further.
-LEAF = 64
+#: Regions of at most so many documents beside the pivot, or of ``MANY`` times as many with at most LEAF * LEAF pairs of different classes, are
+#: settled at once, in one task each, if they have at most so many shingles; larger ones are parted further.
+LEAF, MANY, SHINGLES = 64, 32, 4 << 20
 NO_ID = (1 << 63) - 1
 _places = mix(np.arange(1, 65, dtype=np.uint64) * M2) | np.uint64(1)
 
@@ -171,32 +173,45 @@ def sets_of(texts: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (t, p, least: the region's least size) with n, m (size of the pivot), both reps, i (size of the cut) and the
-    keys of the window around the pivot."""
+    """The pairs (t, p, own, least: the region's least size) with n, m (size of the pivot), both reps, i (size of the cut), take (length of
+    the window around the pivot), the shingles outside of the pivot, and of those inside as many as the window may need."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys = [], []
-            columns = (batch.column(c).to_pylist() for c in ("p", "n", "m", "least"))
-            for p, n, m, least, fx, fp in zip(*columns, batch.column("fx"), batch.column("fp"), strict=True):
+            rows = []
+            columns = (batch.column(c).to_pylist() for c in ("n", "m", "least"))
+            for n, m, least, fx, fp in zip(*columns, batch.column("fx"), batch.column("fp"), strict=True):
                 x, y = np.frombuffer(fx.as_buffer(), np.uint64), np.frombuffer(fp.as_buffer(), np.uint64)
                 inside = y[np.minimum(np.searchsorted(y, x), m - 1)] == x
                 i = int(inside.sum())
                 take = max(0, n - cut_of(n, max(least, needed(n))) + 1)
                 if n >= m and WHOLE * i >= PART * (n + m - i):  # an inner document at least as large as the pivot meets partners outside of the pivot
                     take = min(take, n - i)
-                order = np.concatenate((x[~inside], x[inside]))[:take]
-                sizes.append(i)
-                keys.append(mix(order ^ mix(np.array([p], np.int64).view(np.uint64) * M1 + M2)).view(np.int64))
+                rows.append((i, take, x[~inside].view(np.int64), x[inside][: max(0, take - n + i)].view(np.int64)))
+            size, take, outside, inner = zip(*rows, strict=True) if rows else ((), (), (), ())
+            lists = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("t", "p", "n", "m", "rep", "prep")), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["t", "p", "n", "m", "rep", "prep", "i", "keys"],
+                [*(batch.column(c) for c in ("t", "p", "own", "n", "m", "rep", "prep")), pa.array(size, pa.int64()), pa.array(take, pa.int64()), pa.array(outside, lists), pa.array(inner, lists)],
+                ["t", "p", "own", "n", "m", "rep", "prep", "i", "take", "outside", "inside"],
             )
 
     left = sets.select("t", "n", "rep", F.col("fps").alias("fx"))
     right = sets.select(F.col("t").alias("p"), F.col("n").alias("m"), F.col("rep").alias("prep"), F.col("fps").alias("fp"))
-    both = pairs.join(left, "t").join(right, "p").select("t", "p", "n", "m", "rep", "prep", "least", "fx", "fp")
-    return both.mapInArrow(cut, "t bigint, p bigint, n bigint, m bigint, rep bigint, prep bigint, i bigint, keys array<bigint>")
+    both = pairs.join(left, "t").join(right, "p").select("t", "p", "own", "n", "m", "rep", "prep", "least", "fx", "fp")
+    return both.mapInArrow(cut, "t bigint, p bigint, own double, n bigint, m bigint, rep bigint, prep bigint, i bigint, take bigint, outside array<bigint>, inside array<bigint>")
+
+
+def around(rows: DataFrame) -> DataFrame:
+    """(key, t, n, own, outer) of the windows of measured documents: of a region's shingles outside of its pivot those come first that fewest of
+    its documents have; ones that no other has take their places of a window and meet nothing."""
+    same = ["p", "t", "n", "own", "outer"]
+    each = rows.select(*same, (F.col("take") - F.size("outside")).alias("spare"), F.explode("outside").alias("s"))
+    df = saved(each.groupBy("p", "s").agg(F.count("*").alias("k")).where("k > 1"), "jaccard-shared")
+    own = Window.partitionBy("p", "t")  # a document's shingles
+    shared = each.join(df, ["p", "s"]).withColumns({"place": F.row_number().over(own.orderBy("k", "s")), "there": F.count("*").over(own)})
+    outside = shared.where(F.col("place") <= F.col("there") + F.col("spare")).select(*same, "s")
+    inside = rows.select(*same, F.explode("inside").alias("s"))
+    return outside.unionByName(inside).select(F.xxhash64("p", "s").alias("key"), "t", "n", "own", "outer")
 
 
 def node(rep: str, t: str) -> Column:
@@ -214,7 +229,7 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def settle(region: pa.Table) -> pa.Table:
-    """Links of a region of at most ``leaf`` + 1 documents (t, class, rep, fps) that join classes, each with the first that it meets."""
+    """Links of a small region (t, class, rep, fps) that join classes, each with the first that it meets."""
     t, rep, known = (region.column(c).to_pylist() for c in ("t", "rep", "class"))
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in region.column("fps")]
     order = sorted(range(len(t)), key=lambda k: (len(sets[k]), t[k]))
@@ -237,17 +252,20 @@ def classes(rows: DataFrame, sets: DataFrame, leaf: int = LEAF) -> DataFrame:
         held = rows.join(bounded(known, 24), "t", "left").withColumn("class", F.coalesce("class", "t"))
         first = F.min(F.struct("own", F.xxhash64("t"), "t")).alias("first")
         regions = held.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("outer").alias("open"), first).where("lo <> hi and open").select("key", F.col("first.t").alias("p"))
-        pairs = saved(held.join(regions, "key").where("t <> p").groupBy("t", "p").agg(F.first("n").alias("n"), F.first("own").alias("own")), "jaccard-pairs")
-        sizes = saved(pairs.groupBy("p").agg(F.count("*").alias("k"), F.min("n").alias("least")), "jaccard-sizes")
+        pairs = saved(held.join(regions, "key").where("t <> p").groupBy("t", "p").agg(*[F.first(c).alias(c) for c in ("n", "own", "class")]), "jaccard-pairs")
+        each = pairs.groupBy("p", "class").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.sum("n").alias("all"))
+        sizes = each.groupBy("p").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("same"), F.min("least").alias("least"), F.sum("all").alias("all"))
+        few = (F.col("k") <= leaf) | (((F.col("k") * F.col("k") - F.col("same")) / 2 <= leaf * leaf) & (F.col("k") <= MANY * leaf))
+        sizes = saved(sizes.select("p", "least", ((F.col("k") == 1) | (few & (F.col("all") <= SHINGLES))).alias("small")), "jaccard-sizes")
         pairs = pairs.join(bounded(sizes, 24), "p")
-        small = pairs.where(F.col("k") <= leaf).select("p", "t")
+        small = pairs.where("small").select("p", "t")
         members = small.unionByName(small.select("p", F.col("p").alias("t")).distinct()).join(bounded(known, 24), "t", "left").withColumn("class", F.coalesce("class", "t"))
         new = saved(members.join(sets.select("t", "rep", "fps"), "t").groupBy("p").applyInArrow(settle, "t bigint, rep bigint, p bigint, prep bigint"), "jaccard-links")
-        more = bool(sizes.where(F.col("k") > leaf).take(1))
+        more = bool(sizes.where("not small").take(1))
         if more:
             union = F.col("n") + F.col("m") - F.col("i")
-            big = pairs.where(F.col("k") > leaf)
-            found = measure(big.select("t", "p", "least"), sets).withColumns({"outer": WHOLE * F.col("i") < PART * union, "d": 1 - F.col("i") / union})
+            big = pairs.where("not small")
+            found = measure(big.select("t", "p", "own", "least"), sets).withColumns({"outer": WHOLE * F.col("i") < PART * union, "d": 1 - F.col("i") / union})
             found = saved(found, "jaccard-measured")
             new = new.unionByName(found.where("not outer").select("t", "rep", "p", "prep"))
         edges = new.select(node("rep", "t").alias("a"), node("prep", "p").alias("b"))
@@ -258,7 +276,7 @@ def classes(rows: DataFrame, sets: DataFrame, leaf: int = LEAF) -> DataFrame:
             return (label if label is not None else none).select("t", "low")
         ring = saved(found.where("outer").groupBy("p").agg((F.min("d") - R - 1e-9).alias("from")), "jaccard-rings")
         stay = found.join(bounded(ring, 16), "p").where(F.col("outer") | (F.col("d") >= F.col("from")))
-        rows = saved(stay.select("t", "p", "n", "outer", "keys").join(big.select("t", "p", "own"), ["t", "p"]).select(F.explode("keys").alias("key"), "t", "n", "own", "outer"), "jaccard-met")
+        rows = saved(around(stay), "jaccard-met")
 
 
 def near_duplicates(docs: DataFrame, leaf: int = LEAF) -> DataFrame:
