@@ -430,7 +430,7 @@ def _(s, d):
 def _(s, d):
     path = folder(s)
     one = table(s, d, "documents", ["text"]).select(F.regexp_replace(F.coalesce("text", F.lit("")), "[\r\n]", " ").alias("value"))
-    one.repartition(200).write.option("maxRecordsPerFile", 1).text(path)
+    one.repartition(200).write.option("maxRecordsPerFile", 1).text(path, lineSep=" ")
     return readers.text_files(s, f"{path}/*.txt").agg(F.count("*").alias("n"))
 
 

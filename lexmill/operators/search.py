@@ -63,11 +63,13 @@ def _analysers(fields, analyse) -> list[tuple[str, str, Callable[[Column], Colum
     return [(f, f.removesuffix(".keyword"), whole if f.endswith(".keyword") else analyse) for f in fields]
 
 
-def inverted_index(docs: DataFrame, id_: str, fields: Sequence[str], analyse=tokens) -> DataFrame:
-    """(field, term, doc, tf, dl), from one scan of the documents."""
+def inverted_index(docs: DataFrame, id_: str, fields: Sequence[str], analyse=tokens, only: Sequence[str] | None = None) -> DataFrame:
+    """(field, term, doc, tf, dl), from one scan of the documents. For one query without a stored index, ``only`` names its terms: no row is
+    made for others."""
     made = F.array(*[F.struct(F.lit(f).alias("field"), how(F.coalesce(F.col(c), F.lit(""))).alias("t")) for f, c, how in _analysers(fields, analyse)])
     rows = docs.select(F.col(id_).alias("doc"), F.inline(made))
-    return rows.select("field", "doc", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("field", "term", "doc", "dl").agg(F.count("*").alias("tf"))
+    kept = F.col("t") if only is None else F.filter("t", lambda t: t.isin(list(only)))
+    return rows.select("field", "doc", F.size("t").alias("dl"), F.explode(kept).alias("term")).groupBy("field", "term", "doc", "dl").agg(F.count("*").alias("tf"))
 
 
 def store_index(index: DataFrame, path: str) -> DataFrame:
