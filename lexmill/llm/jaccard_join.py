@@ -83,14 +83,14 @@ def needed(n: int) -> int:
 
 
 def wide(n: int) -> int:
-    """Length of the wide window of a set of n: floor(0.3 n) + 1."""
-    return min(n, 3 * n // 10 + 1)
+    """Length of the wide window of a set of n: floor(n / 4) + 1."""
+    return min(n, n // 4 + 1)
 
 
 def partners_share(n: int) -> int:
     """Shingles of its wide window that a linked document has in its own at least. Sets of m have wide windows of more than
-    m - ceil(0.8 m) + m / 10, and windows that long for a common order share more than m / 10 for the lesser m, which is 0.8 n or more."""
-    return needed(n) // 10 + 1
+    m - ceil(0.8 m) + m / 20, and windows that long for a common order share more than m / 20 for the lesser m, which is 0.8 n or more."""
+    return needed(n) // 20 + 1
 
 
 def cut_of(n: int, m: int) -> int:
@@ -282,8 +282,10 @@ def classes(rows: DataFrame, sets: DataFrame, leaf: int = LEAF) -> DataFrame:
 def near_duplicates(docs: DataFrame, leaf: int = LEAF) -> DataFrame:
     """Per document: doc_id, n_shingles and component_id (smallest doc_id that links reach), the same for any ``leaf`` of 1 or more."""
     texts = distinct_texts(docs)
-    named = windows(texts)
-    rows = met(named)
+    wide_windows = windows(texts)
+    rows = met(wide_windows)
+    named = saved(wide_windows.select("t", "digest", "rep", "n"), "jaccard-names")
+    forget(wide_windows)
     members = saved(named.join(rows.select("t").distinct(), "t", "left_semi").select("t", "digest", "rep"), "jaccard-members")
     label = classes(rows, sets_of(texts, members), leaf)
     low = F.nullif(F.coalesce("low", F.col("rep")), F.lit(NO_ID))
