@@ -83,14 +83,14 @@ def needed(n: int) -> int:
 
 
 def wide(n: int) -> int:
-    """Length of the wide window of a set of n: floor(n / 4) + 1."""
-    return min(n, n // 4 + 1)
+    """Length of the wide window of a set of n: floor(0.3 n) + 1."""
+    return min(n, 3 * n // 10 + 1)
 
 
 def partners_share(n: int) -> int:
     """Shingles of its wide window that a linked document has in its own at least. Sets of m have wide windows of more than
-    m - ceil(0.8 m) + m / 20, and windows that long for a common order share more than m / 20 for the lesser m, which is 0.8 n or more."""
-    return needed(n) // 20 + 1
+    m - ceil(0.8 m) + m / 10, and windows that long for a common order share more than m / 10 for the lesser m, which is 0.8 n or more."""
+    return needed(n) // 10 + 1
 
 
 def cut_of(n: int, m: int) -> int:
@@ -260,7 +260,8 @@ def classes(rows: DataFrame, sets: DataFrame, leaf: int = LEAF) -> DataFrame:
         pairs = pairs.join(bounded(sizes, 24), "p")
         small = pairs.where("small").select("p", "t")
         members = small.unionByName(small.select("p", F.col("p").alias("t")).distinct()).join(bounded(known, 24), "t", "left").withColumn("class", F.coalesce("class", "t"))
-        new = saved(members.join(sets.select("t", "rep", "fps"), "t").groupBy("p").applyInArrow(settle, "t bigint, rep bigint, p bigint, prep bigint"), "jaccard-links")
+        members = saved(members, "jaccard-members")  # narrow: sets stay where they are and only go to their regions
+        new = saved(sets.select("t", "rep", "fps").join(bounded(members, 24), "t").groupBy("p").applyInArrow(settle, "t bigint, rep bigint, p bigint, prep bigint"), "jaccard-links")
         more = bool(sizes.where("not small").take(1))
         if more:
             union = F.col("n") + F.col("m") - F.col("i")
