@@ -364,20 +364,6 @@ def _(s, d):
     return hits.select("doc_id", F.round("score", 4).alias("score"))
 
 
-@query("A12_search_facets", f"WITH {INDEX}, h AS (SELECT DISTINCT doc_id FROM ix WHERE term = 'idiot'), m AS (SELECT lang, source FROM documents JOIN h USING (doc_id) WHERE lang <> 'de'), c AS (SELECT 'lang' AS facet, lang AS key, count(*) AS n FROM m GROUP BY ALL UNION ALL SELECT 'source', source, count(*) FROM m GROUP BY ALL) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY facet ORDER BY n DESC, key) <= 5")
-def _(s, d):
-    docs = table(s, d, "documents", ["doc_id", "text", "lang", "source"])
-    index, stats = search.inverted_index(docs, "doc_id", ["text"]), search.field_stats(docs, ["text"])
-    _, found = search.search(docs, index, stats, "doc_id", "idiot", boosts={"text": 1.0}, where=F.col("lang") != "de", facet_sizes={"lang": 5, "source": 5}, fuzzy=False, analyse=search.tokens)
-    return found
-
-
-cases(
-    "R1_analyser", lambda c: F.array_join(search.analysed(c), " "), ("La Carta Magna de los Estados", "constitucion estad"), ("Legislación y ordenamientos", "ley ordenamient"), ("Ley del Impuesto sobre la Renta vigente", "lisr vigent"),
-    ("Constitución Política de los Estados Unidos Mexicanos", "cpeum"), ("los medios de defensa", "medi defens"), ("Medio de Defensa: tutela", "recurs ampar"), ("Norma Oficial Mexicana 1", "nom 1"), ("penalidad o multa", "sancion sancion"),
-)
-
-
 # Sources and sinks
 
 def order_lines(s: SparkSession, d: str) -> DataFrame:

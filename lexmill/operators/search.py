@@ -13,23 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, icontains
+from .analysis import terms
 
 K1, B = 1.2, 0.75
 BOOSTS = {"law_name": 3.0, "law_name.keyword": 5.0, "text": 1.0, "tags": 0.5}
 #: Most terms that a misspelt one may stand for.
 EXPANSIONS = 50
-#: Spanish stop words of the analyser, the shorter list.
-STOPS = ("a", "al", "como", "con", "de", "del", "el", "en", "entre", "es", "la", "las", "lo", "los", "mas", "no", "o", "para", "pero", "por", "que", "se", "sin", "sobre", "su", "sus", "un", "una", "y")
-#: Words and phrases of one meaning; the first stands for all.
-SYNONYMS = (
-    ("ley", "legislacion", "ordenamiento"), ("amparo", "proteccion", "tutela"), ("constitucion", "carta magna", "ley fundamental"), ("codigo", "codificacion"),
-    ("reglamento", "regulacion", "normativa"), ("decreto", "disposicion"), ("articulo", "numeral", "precepto"), ("tribunal", "juzgado", "corte"),
-    ("juicio", "proceso", "litigio", "procedimiento"), ("demanda", "accion", "pretension"), ("sentencia", "resolucion", "fallo"),
-    ("recurso", "impugnacion", "medio de defensa"), ("nom", "norma oficial mexicana"), ("dof", "diario oficial de la federacion"),
-    ("cpeum", "constitucion politica de los estados unidos mexicanos"), ("lisr", "ley del impuesto sobre la renta"), ("liva", "ley del impuesto al valor agregado"),
-    ("cff", "codigo fiscal de la federacion"), ("lftr", "ley federal de telecomunicaciones y radiodifusion"), ("obligacion", "deber"),
-    ("derecho", "facultad", "potestad"), ("sancion", "multa", "penalidad"), ("contrato", "convenio", "acuerdo"), ("propiedad", "dominio", "posesion"),
-)
 
 
 def tokens(text: Column) -> Column:
@@ -37,22 +26,6 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(fold(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def light_stem(t: Column) -> Column:
-    """Plural and gender endings of longer Spanish words."""
-    return F.when(F.length(t) < 5, t).otherwise(F.regexp_replace(F.regexp_replace(t, "(?<=[rndlz])es$", ""), "(os|as|es|o|a|e|s)$", ""))
-
-
-def analysed(text: Column) -> Column:
-    """Tokens with synonyms brought to one word, stop words out, endings cut. Phrases become words before tokens are made, the longest first."""
-    pairs = [(w, group[0]) for group in SYNONYMS for w in group[1:]]
-    low = F.regexp_replace(fold(text), "[^a-z0-9]+", " ")
-    for phrase, word in sorted((p for p in pairs if " " in p[0]), key=lambda p: -len(p[0])):
-        low = F.regexp_replace(low, rf"\b{phrase}\b", word)
-    to = F.create_map(*[F.lit(v) for p in pairs if " " not in p[0] for v in p])
-    kept = F.filter(F.transform(F.split(low, " "), lambda t: F.coalesce(F.element_at(to, t), t)), lambda t: (t != "") & ~t.isin(*STOPS))
-    return F.transform(kept, light_stem)
-
-
 def whole(text: Column) -> Column:
     """The keyword form: one term for the whole folded text."""
     return F.filter(F.array(F.trim(fold(text))), lambda t: t != "")
@@ -164,6 +137,19 @@ def more_like(index: DataFrame, stats: DataFrame, doc, n_terms: int = 25) -> Dat
     return hits.groupBy("doc").agg(F.sum("w").alias("score"))
 
 
+def more_like_text(index: DataFrame, stats: DataFrame, text: str, analyse, own: DataFrame, field: str = "text", n_terms: int = 25) -> DataFrame:
+    """(doc, score) by the ``n_terms`` terms of highest tf-idf of an example text, the documents ``own`` (doc) excluded. An example is a few articles' beginnings: its terms go to the
+    driver, and only they are read from the index."""
+    spark = index.sparkSession
+    tf = spark.range(1).select(F.explode(analyse(F.lit(text))).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
+    names = [r["term"] for r in tf.select("term").collect()]
+    hits = index.where((F.col("field") == field) & F.col("term").isin(names))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    weight = F.col("tf") * F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    picked = df.join(F.broadcast(tf), "term").crossJoin(F.broadcast(stats.where(F.col("field") == field).drop("field"))).select("term", weight.alias("w")).orderBy(F.desc("w"), "term").limit(n_terms)
+    return hits.join(F.broadcast(picked), "term").join(own, "doc", "left_anti").groupBy("doc").agg(F.sum("w").alias("score"))
+
+
 def by_group(hits: DataFrame, owners: DataFrame, group: str, size: int = 8) -> DataFrame:
     """Groups by number of hits, each with its best hit."""
     rows = hits.join(owners, "doc").groupBy(group).agg(F.count("*").alias("doc_count"), F.max_by("doc", F.struct("score", F.negative(F.xxhash64("doc")))).alias("best"))
@@ -186,7 +172,7 @@ def related_by_category(laws: DataFrame, law, size: int = 8) -> DataFrame:
 
 def search(
     docs: DataFrame, index: DataFrame, stats: DataFrame, id_: str, query: str, *, boosts: Mapping[str, float] = BOOSTS, where: Column | None = None, bonus: Column | None = None,
-    facet_sizes: Mapping[str, int] | None = None, size: int = 20, page: int = 1, fuzzy: bool = True, analyse=analysed,
+    facet_sizes: Mapping[str, int] | None = None, size: int = 20, page: int = 1, fuzzy: bool = True, analyse=terms,
 ) -> tuple[DataFrame, DataFrame | None]:
     """A page of hits with all columns of docs, and facets over all that match. The query is analysed as the index was; its
     terms and near spellings are looked up in the fields of ``boosts``, the whole query in keyword fields; ``where`` filters without

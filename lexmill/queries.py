@@ -505,59 +505,11 @@ TOK = "list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^a-z0-9]+
 INDEX = f"d AS (SELECT doc_id, {TOK} AS t FROM documents), st AS (SELECT count(*) AS n_docs, avg(len(t)) AS avg_dl FROM d), ix AS (SELECT doc_id, len(t) AS dl, term, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS term FROM d) GROUP BY ALL)"
 
 
-@query("R2_bm25", f"WITH {INDEX}, h AS (SELECT * FROM ix WHERE term IN ('idiot', 'from', 'energie')), df AS (SELECT term, count(*) AS df FROM h GROUP BY term) SELECT doc_id AS doc, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))), 4) AS score FROM h JOIN df USING (term), st GROUP BY doc_id ORDER BY sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))) DESC, doc_id LIMIT 20")
-def _(s, d):
-    docs = table(s, d, "documents", ["doc_id", "text"])
-    terms = ["idiot", "from", "energie"]
-    hits = search.bm25(search.inverted_index(docs, "doc_id", ["text"], only=terms), search.field_stats(docs, ["text"]), terms)
-    return search.top(hits, 20).select("doc", F.round("score", 4).alias("score"))
-
-
-@query("R1_analyzed")
-def _(s, d):
-    docs = table(s, d, "documents", ["doc_id", "text"])
-    return docs.select(F.explode(search.analysed(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-
-
-@query("R3_fuzzy", f"WITH {INDEX}, v AS (SELECT DISTINCT term FROM ix) SELECT term, levenshtein(term, 'idiotic')::INT AS distance FROM v WHERE levenshtein(term, 'idiotic') <= 2")
-def _(s, d):
-    docs = table(s, d, "documents", ["doc_id", "text"])
-    return search.fuzzy_terms(docs.select(F.explode(search.tokens(F.col("text"))).alias("term")).distinct(), "idiotic")
-
-
-@query("R4_boost", f"WITH {INDEX}, h AS (SELECT doc_id, tf FROM ix WHERE term = 'idiot') SELECT doc_id AS doc, tf + CASE WHEN lang = 'en' THEN 1.5::DOUBLE ELSE 0 END AS score FROM h JOIN documents USING (doc_id)")
-def _(s, d):
-    docs = table(s, d, "documents", ["doc_id", "text", "lang"])
-    hits = search.inverted_index(docs, "doc_id", ["text"], only=["idiot"]).select("doc", F.col("tf").cast("double").alias("score"))
-    return search.boosted(hits.join(docs.select(F.col("doc_id").alias("doc"), "lang"), "doc"), F.col("lang") == "en").select("doc", "score")
-
-
 @query("R5_snippet", "SELECT doc_id, CASE WHEN strpos(lower(text), 'idiot') > 0 THEN substring(text, greatest(strpos(lower(text), 'idiot') - 100, 1), 200) ELSE left(text, 200) END AS snippet FROM documents")
 def _(s, d):
     return table(s, d, "documents", ["doc_id", "text"]).select("doc_id", search.snippet(F.col("text"), "idiot").alias("snippet"))
 
 
-@query("R6_in_law", f"WITH {INDEX}, h AS (SELECT * FROM ix WHERE term = 'the' AND doc_id IN (SELECT doc_id FROM documents WHERE source = 'src3')), df AS (SELECT count(*) AS df FROM h) SELECT doc_id AS doc, round(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl)), 4) AS score FROM h, df, st")
-def _(s, d):
-    docs = table(s, d, "documents", ["doc_id", "text", "source"])
-    hits = search.in_law(search.inverted_index(docs, "doc_id", ["text"], only=["the"]), search.field_stats(docs, ["text"]), docs.select(F.col("source").alias("law_id"), F.col("doc_id").alias("article")), "src3", ["the"], 10_000, fuzzy=False)
-    return hits.select("doc", F.round("score", 4).alias("score"))
-
-
-@query("R7_more_like", f"WITH {INDEX}, df AS (SELECT term, count(*) AS df FROM ix GROUP BY term), own AS (SELECT term, tf * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) AS w FROM ix JOIN df USING (term), st WHERE doc_id = 3 ORDER BY w DESC, term LIMIT 25) SELECT doc_id AS doc, round(sum(w), 4) AS score FROM ix JOIN own USING (term) WHERE doc_id <> 3 GROUP BY doc_id")
-def _(s, d):
-    docs = table(s, d, "documents", ["doc_id", "text"])
-    own = [r["t"] for r in docs.where("doc_id = 3").select(F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("t")).collect()]  # one document's terms
-    return search.more_like(search.inverted_index(docs, "doc_id", ["text"], only=own), search.field_stats(docs, ["text"]), 3).select("doc", F.round("score", 4).alias("score"))
-
-
-@query("A13_top_groups", f"WITH {INDEX}, h AS (SELECT doc_id FROM ix WHERE term = 'the') SELECT source, count(*) AS doc_count FROM h JOIN documents USING (doc_id) GROUP BY source ORDER BY doc_count DESC, source LIMIT 8")
-def _(s, d):
-    docs = table(s, d, "documents", ["doc_id", "text", "source"])
-    hits = search.inverted_index(docs, "doc_id", ["text"], only=["the"]).select("doc", F.col("tf").alias("score"))
-    return search.by_group(hits, docs.select(F.col("doc_id").alias("doc"), "source"), "source").select("source", "doc_count")
-
-
 @query("R8_suggest", "SELECT DISTINCT p_name FROM part WHERE starts_with(lower(p_name), 'red') ORDER BY p_name LIMIT 8")
 def _(s, d):
     return search.suggest(table(s, d, "part", ["p_name"]), "p_name", "red")
@@ -878,7 +830,7 @@ def _(s, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import law_queries  # noqa: F401  registers its own
+    from . import law_queries, search_queries  # noqa: F401  they register their own
 
     return dict(QUERIES)
 

@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.operators import catalog, dashboards, graph, history, resolve, search, vectors
+from lexmill.operators import analysis, catalog, dashboards, graph, history, resolve, search, vectors
 from lexmill.plans import sinks
 from lexmill.sources import readers
 
@@ -126,7 +126,7 @@ def test_canonical(spark):
 
 def test_search_ranks_rare_words_first(spark):
     docs = spark.createDataFrame([(1, "agua agua limpia", "x"), (2, "agua y energía", "y"), (3, "nada", "x")], "id int, text string, tier string")
-    index, stats = search.inverted_index(docs, "id", ["text"], search.analysed), search.field_stats(docs, ["text"], search.analysed)
+    index, stats = search.inverted_index(docs, "id", ["text"], analysis.terms), search.field_stats(docs, ["text"], analysis.terms)
     find = lambda query, **more: search.search(docs, index, stats, "id", query, boosts={"text": 1.0}, **more)
     assert [r["id"] for r in find("agau limpia")[0].collect()] == [1]  # two edits in a word of four letters are too many
     assert [r["id"] for r in find("enerjia")[0].collect()] == [2]
@@ -137,7 +137,7 @@ def test_search_ranks_rare_words_first(spark):
 
 
 def test_analyser(spark):
-    row = spark.createDataFrame([("Las legislaciones y la protección",)], "x string").select(search.analysed(F.col("x")).alias("t")).first()["t"]
+    row = spark.createDataFrame([("Las legislaciones y la protección",)], "x string").select(analysis.terms(F.col("x")).alias("t")).first()["t"]
     assert "amparo"[:-1] in row and "la" not in row
 
 
