@@ -1,6 +1,6 @@
 """Entity resolution and set operations between catalogues. (J7-J16, J19, J20, section 2.7)
 
-Containment joins are nested loops of a small, size-checked side; names that match exactly are settled by an equi join first."""
+Containment is found by automata over names; names that match exactly are settled by an equi join first."""
 
 from __future__ import annotations
 
@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import title_key
+from . import names
 
-#: Rows of a name list that a containment join may broadcast.
+#: Rows of a list of subscriptions that may be broadcast.
 NAMES = 100_000
 
 
@@ -28,30 +29,28 @@ def missing(wanted: DataFrame, have: DataFrame, key: str) -> DataFrame:
     return wanted.join(have.select(key), key, "left_anti")
 
 
-def name_to_slug(refs: DataFrame, laws: DataFrame) -> DataFrame:
-    """Refs (ref, name) to laws (slug, name, ord): exact, else the first law in order that contains or is contained."""
-    laws = laws.select(F.lower("name").alias("law"), "slug", "ord")
-    names = refs.select(F.lower("name").alias("n")).distinct()
-    exact = names.join(laws, F.col("n") == F.col("law")).groupBy("n").agg(F.min_by("slug", "ord").alias("exact"))
-    rest = names.join(exact, "n", "left_anti")
-    loose = rest.join(_small(laws), F.contains("n", "law") | F.contains("law", "n")).groupBy("n").agg(F.min_by("slug", "ord").alias("loose"))
-    found = names.join(exact, "n", "left").join(loose, "n", "left").select("n", F.coalesce("exact", "loose").alias("slug"))
+def name_to_slug(refs: DataFrame, laws: DataFrame, limit: int = names.SHARD_BYTES) -> DataFrame:
+    """Refs (ref, name) to laws (slug, name, ord): exact, else the first law in order that contains or is contained; both ways by automata over the names."""
+    laws = laws.where("name is not null").select(F.lower("name").alias("law"), "slug", F.col("ord").cast("long").alias("rank"))
+    asked = refs.where("name is not null").select(F.lower("name").alias("n")).distinct()
+    exact = asked.join(laws, F.col("n") == F.col("law")).groupBy("n").agg(F.min_by("slug", "rank").alias("exact"))
+    rest = asked.join(exact, "n", "left_anti")
+    inner = names.best_contained(rest, "n", laws.select(F.col("law").alias("name"), "rank"), limit).select(F.col("text").alias("n"), "rank")
+    outer = names.best_holder(rest, "n", laws.select(F.col("law").alias("text"), "rank"), limit).select(F.col("name").alias("n"), "rank")
+    first = inner.unionByName(outer).groupBy("n").agg(F.min("rank").alias("rank"))
+    loose = first.join(laws.groupBy("rank").agg(F.min("slug").alias("loose")), "rank").select("n", "loose")
+    found = asked.join(exact, "n", "left").join(loose, "n", "left").select("n", F.coalesce("exact", "loose").alias("slug"))
     return refs.join(found, F.lower("name") == F.col("n"), "left").drop("n")
 
 
-def longest_contained(titles: DataFrame, names: DataFrame, title: str, name: str, order: str) -> DataFrame:
-    """The longest name that a title contains; the first in order on a tie."""
-    small = _small(names.select(F.col(name).alias("nm"), F.col(order).alias("od")))
-    hits = titles.select(title).distinct().join(small, F.contains(F.upper(title), F.upper("nm")))
-    best = hits.groupBy(title).agg(F.max_by("nm", F.struct(F.length("nm"), -F.col("od"))).alias("related"))
-    return titles.join(best, title, "left")
-
-
-def _small(names: DataFrame) -> DataFrame:
-    """The name list for a nested loop; beyond the bound the join isn't offered."""
-    if names.limit(NAMES + 1).count() > NAMES:
-        raise ValueError(f"more than {NAMES} names: index them by word and join on words first")
-    return F.broadcast(names)
+def longest_contained(titles: DataFrame, known: DataFrame, title: str, name: str, order: str, limit: int = names.SHARD_BYTES) -> DataFrame:
+    """The longest name that a title contains, in any case; the first in order on a tie. An automaton over the names finds all in one pass over a title."""
+    upper, up = f"{title}__upper", F.upper(title)
+    listed = known.where(F.col(name).isNotNull()).select(F.col(name).alias("nm"), F.upper(name).alias("name"), names.position(F.col(order), F.length(name)).alias("rank"))
+    best = names.best_contained(titles.select(up.alias("t")), "t", listed.select("name", "rank"), limit)
+    origin = listed.groupBy(F.col("name").alias("u"), F.col("rank").alias("r")).agg(F.min("nm").alias("related"))
+    found = best.join(origin, (F.col("name") == F.col("u")) & (F.col("rank") == F.col("r"))).select(F.col("text").alias(upper), "related")
+    return titles.withColumn(upper, up).join(found, upper, "left").drop(upper)
 
 
 def merge_by_id_or_title(first: DataFrame, second: DataFrame, id_: str, title: str) -> DataFrame:

@@ -566,6 +566,26 @@ def _(s, d):
     return resolve.longest_contained(titles, n, "title", "n_name", "n_nationkey")
 
 
+_PASSAGES = "n AS (SELECT item_id AS o, array_to_string((string_split(text, ' '))[4:6], ' ') AS nm FROM benchmark)"
+
+
+@query("J9_passages", f"WITH {_PASSAGES} SELECT doc_id, arg_max(nm, (length(nm), -o)) AS related FROM documents LEFT JOIN n ON contains(upper(text), upper(nm)) GROUP BY doc_id")
+def _(s, d):
+    """Which benchmark item, by its fourth to sixth words, a document names; documents are whole texts."""
+    passages = table(s, d, "benchmark").select(F.col("item_id"), F.array_join(F.slice(F.split("text", " "), 4, 3), " ").alias("name"))
+    found = resolve.longest_contained(table(s, d, "documents", ["doc_id", "text"]), passages, "text", "name", "item_id")
+    return found.select("doc_id", "related")
+
+
+@query("J8_mutual", "WITH l AS (SELECT lower(p_name) AS law, p_partkey AS o FROM part), r AS (SELECT DISTINCT x AS n FROM (SELECT unnest([split_part(p_name, ' ', 2), left(p_name, 4), p_name, 'a ' || p_name || ' of ' || p_type, p_type]) AS x FROM part)), e AS (SELECT n, min(o) AS o FROM r JOIN l ON lower(n) = law GROUP BY n), x AS (SELECT n, min(o) AS o FROM r JOIN l ON contains(lower(n), law) OR contains(law, lower(n)) GROUP BY n) SELECT n AS name, coalesce(e.o, x.o)::VARCHAR AS slug FROM r LEFT JOIN e USING (n) LEFT JOIN x USING (n)")
+def _(s, d):
+    """References that are names, parts of names, and texts around names."""
+    part = table(s, d, "part")
+    laws_ = part.select(F.col("p_name").alias("name"), F.col("p_partkey").cast("string").alias("slug"), F.col("p_partkey").alias("ord"))
+    said = F.array(F.split_part("p_name", F.lit(" "), F.lit(2)), F.left("p_name", F.lit(4)), "p_name", F.concat(F.lit("a "), "p_name", F.lit(" of "), "p_type"), "p_type")
+    return resolve.name_to_slug(part.select(F.explode(said).alias("name")).distinct(), laws_)
+
+
 @query("J13_merge_catalogues", f"WITH a AS (SELECT p_partkey, p_name FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey, p_name FROM part WHERE p_partkey % 3 = 0), ka AS (SELECT {KEY.format(c='p_name')} AS k FROM a) SELECT * FROM a UNION ALL SELECT * FROM b WHERE p_partkey NOT IN (SELECT p_partkey FROM a) AND {KEY.format(c='p_name')} NOT IN (FROM ka)")
 def _(s, d):
     p = table(s, d, "part", ["p_partkey", "p_name"])
