@@ -36,14 +36,19 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 @contextlib.contextmanager
-def shuffle_freed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what is executed inside go when it has ended."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting for what is executed inside."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def shuffle_freed(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Shuffle files of what is executed inside go when it has ended."""
+    return setting(spark, CLEANUP, "true")
 
 
 def saved(df: DataFrame, label: str, **options: str) -> DataFrame:
