@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +11,7 @@ from pyspark.sql.types import StructType
 from .functions import rules, text
 from .operators import catalog, dashboards, graph, history, parse, search
 from .plans import sinks
+from .plans.folders import folder
 from .queries import INDEX, laws, query, refs, versions
 from .sources import readers
 from .sources.readers import table
@@ -36,16 +35,6 @@ def cases(name: str, rule: Callable[[Column], Column], *pairs: tuple) -> None:
         return table(s, d, "part", ["p_partkey"]).select("p_partkey", rule(pick(F.col("p_partkey"), inputs)).alias("v"))
 
 
-def folder(s: SparkSession) -> str:
-    """A new folder for files of a query, in the cluster's shared one; in local mode a temporary one where none is set."""
-    base = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
-    if not base:
-        if not s.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='laws-')}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 # Rules
 
 cases(

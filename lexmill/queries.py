@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import rules, text
-from .operators import catalog, dashboards, graph, history, parse, resolve, search, vectors
+from .operators import catalog, dashboards, graph, history, parse, resolve, search, vectors, windows
 from .plans import sinks
 from .sources import readers
 from .sources.readers import table
@@ -330,6 +330,23 @@ def _(s, d):
     return history.fixed_windows(table(s, d, "events"), "user_id", "ts", "1 day", 2)
 
 
+@query("W15_anchored", """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r,
+  CASE WHEN user_id % 10 = 0 THEN 1 ELSE 2 END AS m, CASE WHEN user_id % 10 = 1 THEN 3 ELSE 8 END AS h FROM events),
+f AS (SELECT user_id, event_id, t, r, t AS mo, 1 AS mn, t AS ho, 1 AS hn, true AS ok, m, h, true AS mok FROM e WHERE r = 1
+ UNION ALL SELECT user_id, event_id, t, r, mo, mn, CASE WHEN NOT mok THEN ho0 WHEN ho0 IS NULL OR t >= ho0 + 604800000000 THEN t ELSE ho0 END,
+   CASE WHEN NOT mok THEN hn0 WHEN ho0 IS NULL OR t >= ho0 + 604800000000 THEN 1 ELSE hn0 + 1 END,
+   mok AND (ho0 IS NULL OR t >= ho0 + 604800000000 OR hn0 + 1 <= h), m, h, mok
+ FROM (SELECT e.*, CASE WHEN e.t >= f.mo + 86400000000 THEN e.t ELSE f.mo END AS mo, CASE WHEN e.t >= f.mo + 86400000000 THEN 1 ELSE f.mn + 1 END AS mn, f.ho AS ho0, f.hn AS hn0,
+         (e.t >= f.mo + 86400000000 OR f.mn + 1 <= e.m) AS mok FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1))
+SELECT user_id, event_id, ok AS allowed, CASE WHEN NOT mok THEN 'minute' WHEN NOT ok THEN 'hour' END AS refused_by,
+  CASE WHEN NOT mok THEN ceil((mo + 86400000000 - t) / 1e6) WHEN NOT ok THEN ceil((ho + 604800000000 - t) / 1e6) END::BIGINT AS wait FROM f""")
+def _(s, d):
+    """Counters that live a day and a week, as events are days apart; users whose number ends in 0 or 1 have limits of their own."""
+    users = table(s, d, "events").select("user_id").distinct()
+    own = users.select(F.col("user_id").alias("key"), F.when(F.col("user_id") % 10 == 0, 1).alias("per_minute"), F.when(F.col("user_id") % 10 == 1, 3).alias("per_hour"))
+    return windows.rate_limited(table(s, d, "events"), "user_id", "ts", "event_id", 2, 8, own, 86_400, 604_800)
+
+
 @query("W16_unread_first", f"WITH {LOG} SELECT event_id, results % 2 AS seen FROM log ORDER BY seen, ts DESC, event_id LIMIT 40")
 def _(s, d):
     rows = log(s, d).select("event_id", (F.col("results") % 2).alias("seen"), "ts")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .law_queries import folder
 from .operators import analysis, search, text_index
 from .operators.text_index import TextIndex, single
+from .plans.folders import folder
 from .queries import INDEX, TOK, query
 from .sources.readers import table
 
