@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -119,8 +120,12 @@ class Encoder:
                 hard.append(i)
             else:
                 got = tokenize(plain)
-                wide = plain[0] == BYTE_CHARS[0x20]  # the model counts bytes, and that character has two
-                out[i] = np.array([(t.id, max(t.offsets[0] - wide, 0), t.offsets[1] - wide) for t in got] if spans else [t.id for t in got], np.int32).tobytes()
+                if spans:
+                    wide = plain[0] == BYTE_CHARS[0x20]  # the model counts bytes, and that character has two
+                    got = [x for t in got for x in (t.id, max(t.offsets[0] - wide, 0), t.offsets[1] - wide)]
+                else:
+                    got = [t.id for t in got]
+                out[i] = array("i", got).tobytes()
         if hard:
             got = (self.tokenizer.encode_batch if spans else self.tokenizer.encode_batch_fast)([pieces[i] for i in hard], add_special_tokens=False)
             for i, e in zip(hard, got, strict=True):

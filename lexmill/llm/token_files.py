@@ -25,7 +25,7 @@ from ._common import bounded, parts, release, scratch, setting, shuffle_freed, t
 from ._encode import encoder, expand, pieces_of
 
 #: Texts that go to a Python worker at once, in both directions, and bytes of them that are encoded at once.
-ROWS, SLICE = 1000, 3 << 20
+ROWS, SLICE = 2000, 6 << 20
 SCHEMA = "part int, doc_id bigint, local_start bigint, n_tokens bigint, ids array<int>"
 #: Row groups of 32 MB, pages of 128 kB, dictionaries for ids only, delta for the rest.
 LAYOUT = {
@@ -40,7 +40,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sp
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, part, at = encoder(tokenizer, False, special_as_text), TaskContext.get().partitionId(), 0
-        for batch in (x for b in batches for x in pieces_of(b, "text", SLICE)):
+        for k, batch in enumerate(x for b in batches for x in pieces_of(b, "text", SLICE)):
             n, ids, _ = made.encode(batch.column("text"))
             out = np.full(len(ids) + len(n), end_id, np.int32)
             first = np.cumsum(n) - n
@@ -53,7 +53,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, sp
                 ["part", "doc_id", "local_start", "n_tokens", "ids"],
             )
             at += int(ends[-1]) if len(n) else 0
-            release()
+            if k % 2:
+                release()
 
     key = F.col("doc_id").asc_nulls_first()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts(text_bytes(docs), part_bytes), key)
