@@ -15,6 +15,7 @@ from .plans.folders import folder
 from .queries import INDEX, laws, query, refs, versions
 from .sources import readers
 from .sources.readers import table
+from .streaming import timers
 
 
 def pick(key: Column, values: Sequence) -> Column:
@@ -432,6 +433,63 @@ def _(s, d):
     return made.read()
 
 
+@query("K6_publish_many", "SELECT 'v' || (o_orderkey % 11 + 1) AS version, count(*) AS n FROM orders WHERE o_orderkey % 11 >= 8 GROUP BY 1")
+def _(s, d):
+    """Eleven versions, of which the three published last are kept."""
+    made, orders = sinks.VersionedTable(s, folder(s)), table(s, d, "orders", ["o_orderkey"])
+    for k in range(11):
+        made.publish(orders.where(F.col("o_orderkey") % 11 == k), str(k + 1), keep=3)
+    kept = [s.read.parquet(f"{made.base}/v_{v}").agg(F.lit(f"v{v}").alias("version"), F.count("*").alias("n")) for v in made.versions()]
+    return kept[0].unionByName(kept[1]).unionByName(kept[2])
+
+
+def _followed(s, d, merge) -> DataFrame:
+    """Orders as a stream of files, merged batch by batch."""
+    source, made = folder(s), sinks.VersionedTable(s, folder(s))
+    orders = table(s, d, "orders", ["o_orderkey", "o_custkey", "o_orderpriority"])
+    orders.repartitionByRange(6, "o_orderkey").write.parquet(source)
+    stream = s.readStream.schema(orders.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    made.follow(stream, merge, folder(s)).awaitTermination()
+    return made.read()
+
+
+@query("K1_merge_stream", "SELECT o_custkey AS k, arg_max(o_orderpriority, o_orderkey) AS v, max(o_orderkey) AS last FROM orders GROUP BY 1")
+def _(s, d):
+    def merge(old, batch):
+        new = batch.select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("v"), F.col("o_orderkey").alias("last"))
+        last = new.groupBy("k").agg(F.max_by("v", "last").alias("v"), F.max("last").alias("last"))
+        if old is None:
+            return last
+        return sinks.upsert(old, last.join(old.select("k", F.col("last").alias("had")), "k", "left").where("had is null or last > had").drop("had"), ["k"])  # files may come in any order
+
+    return _followed(s, d, merge)
+
+
+@query("K11_absent_stream", "SELECT o_orderpriority AS k, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1")
+def _(s, d):
+    def merge(old, batch):
+        new = batch.select(F.col("o_orderpriority").alias("k"), "o_custkey")
+        return sinks.insert_absent(new.limit(0) if old is None else old, new, ["k", "o_custkey"])
+
+    return _followed(s, d, merge).groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query("K9_full_flushes", "SELECT (user_id % 4)::INT AS buffer, ceil(g / 100)::BIGINT AS flush, count(*) AS n FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id % 4) AS g, count(*) OVER (PARTITION BY user_id % 4) AS c FROM events) WHERE g <= c // 100 * 100 GROUP BY ALL")
+def _(s, d):
+    """Events as log entries in four buffers: all full flushes; what is left waits for its timer."""
+    source, out, check = folder(s), folder(s), folder(s)
+    table(s, d, "events", ["event_id", "user_id"]).write.parquet(source)
+    before = s.conf.get(timers.STORE, None)
+    timers.with_state(s)
+    try:
+        made = timers.flushed(s.readStream.schema("event_id long, user_id long").parquet(source), seconds=3600, by=F.col("user_id") % 4)
+        schema, made = made.schema, made.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(processingTime="0 seconds")
+        timers.run_for(made.start(), s.read.parquet(source).count())
+    finally:
+        s.conf.set(timers.STORE, before) if before else s.conf.unset(timers.STORE)
+    return s.read.schema(schema).parquet(out).groupBy("buffer", "flush").agg(F.count("*").alias("n"))
+
+
 @query("K8_latex", "SELECT c_custkey, '\\documentclass{article}' || chr(10) || '\\begin{document}' || chr(10) || '\\title{' || replace(c_name, '#', '\\#') || '}' || chr(10) || '\\maketitle' || chr(10) || coalesce(string_agg('\\section*{' || o_orderkey || '}' || chr(10) || o_orderpriority, chr(10) || chr(10) ORDER BY o_orderkey), '') || chr(10) || '\\end{document}' || chr(10) AS document FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name")
 def _(s, d):
     arts = table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderpriority")

@@ -6,10 +6,11 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import escape_latex
 
@@ -147,35 +148,52 @@ def latex_document(laws: DataFrame, articles: DataFrame, key: str, name: str, or
 
 
 class VersionedTable:
-    """K6: versions of a table in folders, and a pointer to the live one: a file that is replaced by a rename, so a reader finds the old
-    version or the new one. Folders are pruned but the live one."""
+    """K6: versions of a table in folders, and a pointer to the live one: a small file that is replaced by a rename, so a reader finds the old version or the new one. The pointer also
+    holds the order in which versions were published, by which old ones are pruned, and the last batch of each stream that is in the live one."""
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
 
-    def _fs(self):
+    def _pointer(self) -> dict:
+        return json.loads(read_small(self.spark, f"{self.base}/live") or '{"live": null, "published": [], "batches": {}}')
+
+    def _swap(self, version: str, keep: int, batches: Mapping[str, int]) -> None:
+        was = self._pointer()
+        published = [v for v in was["published"] if v != version] + [version]
+        write_small(self.spark, f"{self.base}/live", json.dumps({"live": version, "published": published[-keep:] if keep else published, "batches": {**was["batches"], **batches}}))
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.base)
-        return jvm, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        for old in published[:-keep] if keep else ():
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/v_{old}")
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
     def publish(self, rows: DataFrame, version: str, keep: int = 2) -> None:
-        rows.write.parquet(f"{self.base}/v_{version}")
-        write_small(self.spark, f"{self.base}/live", version)
-        self.prune(keep)
+        """Write a version whole, make it live, and prune to the ``keep`` published last. A folder of that name that never became live is replaced."""
+        if version in self.versions():
+            raise ValueError(f"version {version} is published")
+        rows.write.mode("overwrite").parquet(f"{self.base}/v_{version}")
+        self._swap(version, keep, {})
 
-    def live(self) -> str:
-        return read_small(self.spark, f"{self.base}/live")
+    def live(self) -> str | None:
+        return self._pointer()["live"]
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.base}/v_{self.live()}")
 
     def versions(self) -> list[str]:
-        jvm, fs = self._fs()
-        return sorted(s.getPath().getName()[2:] for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(self.base)) if s.getPath().getName().startswith("v_"))
-
-    def prune(self, keep: int) -> None:
-        jvm, fs = self._fs()
-        live = self.live()
-        old = [v for v in self.versions() if v != live]
-        for v in old[: max(0, len(old) - keep + 1)]:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.base}/v_{v}"), True)
+        """Published versions that are kept, in order of publication."""
+        return self._pointer()["published"]
+
+    def apply(self, batch: DataFrame, number: int, merge: Callable[[DataFrame | None, DataFrame], DataFrame], stream: str = "stream", keep: int = 2) -> bool:
+        """Merge a stream's batch into the live version, once: a batch that is already in it changes nothing. Until the pointer is replaced, what was written counts for nothing and is written again."""
+        was = self._pointer()
+        if number <= was["batches"].get(stream, -1):
+            return False
+        version = f"{stream}_{number:012d}"
+        merge(self.read() if was["live"] is not None else None, batch).write.mode("overwrite").parquet(f"{self.base}/v_{version}")
+        self._swap(version, keep, {stream: number})
+        return True
+
+    def follow(self, stream: DataFrame, merge: Callable[[DataFrame | None, DataFrame], DataFrame], checkpoint: str, name: str = "stream", keep: int = 2, every: str | None = None) -> StreamingQuery:
+        """K1, K4, K11 as a stream: each micro-batch is merged into the live version. Spark may give a batch again after a failure; its number tells."""
+        trigger = {"processingTime": every} if every else {"availableNow": True}
+        return stream.writeStream.foreachBatch(lambda batch, number: self.apply(batch, number, merge, name, keep) and None).option("checkpointLocation", checkpoint).trigger(**trigger).start()
