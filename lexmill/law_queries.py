@@ -294,6 +294,17 @@ def akn(s: SparkSession, d: str) -> DataFrame:
     return parse.akn_document(heads.unionByName(arts), "k")
 
 
+@query("P19_levels", """SELECT c_custkey AS k, unnest(['Artículo 1', 'Artículo 2', 'Artículo 3', 'Artículo 4', 'PRIMERO']) AS num, unnest([NULL, 'T1', 'T1', 'T2', 'T2']) AS title, unnest([NULL, NULL, 'C1', NULL, 'C2']) AS chapter,
+unnest(['uno ' || c_name, 'dos', 'tres', 'cuatro', 'Entra en vigor']) AS text, 1 AS notes FROM customer""")
+def _(s, d):
+    """A book, titles, chapters, articles with a reform note, and a transitory article, as one document each, read again."""
+    lines = [("book", "LIBRO I", None), ("article", "Artículo 1", "uno "), ("title", "T1", None), ("article", "Artículo 2", "dos"), ("chapter", "C1", None), ("article", "Artículo 3", "tres"), ("title", "T2", None), ("article", "Artículo 4", "cuatro"), ("chapter", "C2", None), ("transitory", "PRIMERO", "Entra en vigor")]
+    made = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(name).alias("label"), (F.concat(F.lit(c), "c_name") if c == "uno " else F.lit(c)).alias("content"), F.lit(i).alias("line_number"), F.array(F.struct(F.lit(f"Artículo reformado DOF 0{i}-01-2020").alias("full_text"))).alias("reforms")) for i, (k, name, c) in enumerate(lines)])
+    xml = parse.akn_document(table(s, d, "customer", ["c_custkey", "c_name"]).select(F.col("c_custkey").alias("k"), F.inline(made)), "k")
+    read = parse.akn_elements(xml, "k", "xml").join(xml.select("k", F.contains("xml", F.lit('<book id="book-0"><num>LIBRO I</num><article')).alias("in_book"), F.regexp_count("xml", F.lit("<note ")).alias("all_notes")), "k")
+    return read.where("in_book and all_notes = 5").select("k", "num", "title", "chapter", "text", F.lit(1).alias("notes"))
+
+
 @query("P17_ancestors", f"SELECT c_custkey AS k, unnest({IDS}) AS num, 'title ' || (c_custkey % 3 + 1) AS title, 'chapter ' || CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 4 END AS chapter FROM customer")
 def _(s, d):
     return parse.akn_elements(akn(s, d), "k", "xml").select("k", "num", "title", "chapter")
@@ -516,10 +527,10 @@ def _(s, d):
     return s.read.schema("event_id bigint").parquet(f"{path}/rows").select("event_id")
 
 
-@query("P35_nine_checks", 'WITH l AS (SELECT doc_id, repeat(\'n\', 480 + (doc_id % 20)::INT) AS name, CASE WHEN doc_id % 11 <> 0 THEN \'p\' END AS path, CASE WHEN doc_id % 11 <> 0 AND doc_id % 7 <> 0 THEN CASE doc_id % 3 WHEN 0 THEN \'<?xml?><article >\' ELSE coalesce(text, \'\') END END AS t, CASE WHEN doc_id % 13 <> 0 THEN doc_id % 2 END AS ix, doc_id % 3 AS refs, doc_id % 2 AS res FROM documents), c AS (SELECT unnest([{\'check\': \'field_lengths\', \'verdict\': CASE WHEN length(name) >= 490 THEN \'warning\' ELSE \'pass\' END}, {\'check\': \'file_existence\', \'verdict\': CASE WHEN path IS NULL THEN \'skip\' WHEN t IS NULL THEN \'fail\' ELSE \'pass\' END}, {\'check\': \'text_size\', \'verdict\': CASE WHEN t IS NULL THEN \'skip\' WHEN length(t) > 50000 THEN \'warning\' ELSE \'pass\' END}, {\'check\': \'akn_article_count\', \'verdict\': CASE WHEN t IS NULL OR NOT starts_with(t, \'<?xml\') THEN \'skip\' ELSE \'pass\' END}, {\'check\': \'encoding_check\', \'verdict\': CASE WHEN t IS NULL THEN \'skip\' WHEN contains(t, chr(65533)) THEN \'warning\' ELSE \'pass\' END}, {\'check\': \'db_es_article_count\', \'verdict\': CASE WHEN ix IS NULL THEN \'skip\' WHEN ix = 0 AND path IS NOT NULL THEN \'warning\' ELSE \'pass\' END}, {\'check\': \'es_text_sample\', \'verdict\': CASE WHEN doc_id % 4 = 0 THEN \'skip\' WHEN doc_id % 4 = 1 THEN \'warning\' ELSE \'pass\' END}, {\'check\': \'xref_slug_match\', \'verdict\': CASE WHEN refs = 0 THEN \'skip\' WHEN res < refs THEN \'warning\' ELSE \'pass\' END}, {\'check\': \'date_sentinel\', \'verdict\': CASE WHEN doc_id % 5 = 0 THEN \'skip\' WHEN doc_id % 5 = 1 THEN \'warning\' ELSE \'pass\' END}], recursive := true) FROM l) SELECT "check", verdict, count(*) AS n FROM c GROUP BY ALL')
+@query("P35_nine_checks", 'WITH l AS (SELECT doc_id, repeat(\'n\', 480 + (doc_id % 20)::INT) AS name, CASE WHEN doc_id % 11 <> 0 THEN \'p\' END AS path, CASE WHEN doc_id % 11 <> 0 AND doc_id % 7 <> 0 THEN CASE WHEN doc_id % 6 = 0 THEN \'<?xml?><article >\' WHEN doc_id % 6 = 3 THEN \'<akomaNtoso xmlns="http://docs.oasis-open.org/legaldocml/ns/akn/3.0"><article/></akomaNtoso>\' ELSE coalesce(text, \'\') END END AS t, CASE WHEN doc_id % 13 <> 0 THEN doc_id % 2 END AS ix, doc_id % 3 AS refs, doc_id % 2 AS res FROM documents), c AS (SELECT unnest([{\'check\': \'field_lengths\', \'verdict\': CASE WHEN length(name) >= 490 THEN \'warning\' ELSE \'pass\' END}, {\'check\': \'file_existence\', \'verdict\': CASE WHEN path IS NULL THEN \'skip\' WHEN t IS NULL THEN \'fail\' ELSE \'pass\' END}, {\'check\': \'text_size\', \'verdict\': CASE WHEN t IS NULL THEN \'skip\' WHEN length(t) > 50000 THEN \'warning\' ELSE \'pass\' END}, {\'check\': \'akn_article_count\', \'verdict\': CASE WHEN t IS NULL OR doc_id % 3 <> 0 THEN \'skip\' WHEN doc_id % 6 = 0 THEN \'warning\' ELSE \'pass\' END}, {\'check\': \'encoding_check\', \'verdict\': CASE WHEN t IS NULL THEN \'skip\' WHEN contains(t, chr(65533)) THEN \'warning\' ELSE \'pass\' END}, {\'check\': \'db_es_article_count\', \'verdict\': CASE WHEN ix IS NULL THEN \'skip\' WHEN ix = 0 AND path IS NOT NULL THEN \'warning\' ELSE \'pass\' END}, {\'check\': \'es_text_sample\', \'verdict\': CASE WHEN doc_id % 4 = 0 THEN \'skip\' WHEN doc_id % 4 = 1 THEN \'warning\' ELSE \'pass\' END}, {\'check\': \'xref_slug_match\', \'verdict\': CASE WHEN refs = 0 THEN \'skip\' WHEN res < refs THEN \'warning\' ELSE \'pass\' END}, {\'check\': \'date_sentinel\', \'verdict\': CASE WHEN doc_id % 5 = 0 THEN \'skip\' WHEN doc_id % 5 = 1 THEN \'warning\' ELSE \'pass\' END}], recursive := true) FROM l) SELECT "check", verdict, count(*) AS n FROM c GROUP BY ALL')
 def _(s, d):
     i = F.col("doc_id")
-    body = F.when(i % 3 == 0, "<?xml?><article >").otherwise(F.coalesce("text", F.lit("")))
+    body = F.when(i % 6 == 0, "<?xml?><article >").when(i % 6 == 3, f'<akomaNtoso xmlns="{parse.AKN}"><article/></akomaNtoso>').otherwise(F.coalesce("text", F.lit("")))
     rows = dashboards.data_quality(
         table(s, d, "documents", ["doc_id", "text"]), "doc_id", name=F.repeat(F.lit("n"), (480 + i % 20).cast("int")), path=F.when(i % 11 != 0, "p"), text=F.when((i % 11 != 0) & (i % 7 != 0), body),
         indexed=F.when(i % 13 != 0, i % 2), samples=F.when(i % 4 == 1, F.array(F.lit("a"), F.lit("b� "))).when(i % 4 != 0, F.array(F.lit("a"))), references=i % 3, targets=i % 3, resolved=i % 2,

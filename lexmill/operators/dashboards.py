@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import grade, safe_pct
-from .parse import content_type
+from .parse import akn_article_count, content_type
 
 
 def top_queries(log: DataFrame, query: str, results: str, n: int = 20, zero_only: bool = False) -> DataFrame:
@@ -176,12 +176,13 @@ def data_quality(
     """(id, check, verdict) of nine checks. ``text`` is what the path gives, null if nothing; ``indexed`` is the number of articles in the
     index, null without one, and ``samples`` a few of their texts; ``references``, ``targets`` and ``resolved`` count a law's references, the
     laws that they name and those of them that there are."""
+    articles = akn_article_count(F.when(content_type(text) == "akn", text))  # only documents that are XML are parsed
     no_text, bad = text.isNull(), F.exists(samples, lambda x: F.coalesce(x, F.lit("")).rlike("^$|\ufffd\\s*$"))
     checks = {
         "field_lengths": F.when(F.length(name) >= NAME_NEAR, "warning").otherwise("pass"),
         "file_existence": F.when(path.isNull(), "skip").when(no_text, "fail").otherwise("pass"),
         "text_size": F.when(no_text, "skip").when(F.length(text) > TEXT_MAX, "warning").otherwise("pass"),
-        "akn_article_count": F.when(no_text | (content_type(text) != "akn"), "skip").otherwise("pass"),
+        "akn_article_count": F.when(no_text | (content_type(text) != "akn"), "skip").when(articles < 0, "warning").otherwise("pass"),
         "encoding_check": F.when(no_text, "skip").when(F.contains(text, F.lit("\ufffd")), "warning").otherwise("pass"),
         "db_es_article_count": F.when(indexed.isNull(), "skip").when((indexed == 0) & path.isNotNull(), "warning").otherwise("pass"),
         "es_text_sample": F.when(F.coalesce(F.size(samples), F.lit(0)) <= 0, "skip").when(bad, "warning").otherwise("pass"),

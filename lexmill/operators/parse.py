@@ -236,10 +236,40 @@ def is_fraction(line: Column) -> Column:
     return line.rlike(FRACTION)
 
 
+#: A repeated article number before its text, and a line end within a sentence.
+REPEATED = r"^(?:Art[ií]culo|ARTÍCULO)\s+\d+[\w\s]*\.\s*"
+WRAPPED = r"(?<=[a-záéíóúñü,;])\n(?=[a-záéíóúñü])"
+
+
 def clean_article_text(text: Column) -> Column:
-    """An article's text without its repeated number, wrapped lines joined, paragraphs parted by an empty line."""
-    bare = F.regexp_replace(text, r"^\s*(?:Art[íi]culo|ART[ÍI]CULO)\s+\d+\S*\s*", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?<=[^.:;\n])\n(?=\S)", " "), r"[ \t]+", " "))
+    """A paragraph of an article without the article's repeated number; a line end between letters, or behind a comma or semicolon, is a space; others stay; runs of spaces are one."""
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    bare = F.regexp_replace(strip(text), f"(?U){REPEATED}", "")
+    return strip(F.regexp_replace(F.regexp_replace(bare, f"(?iu){WRAPPED}", " "), " {2,}", " "))
+
+
+def clean_paragraph(text: str) -> str:
+    """``clean_article_text`` of one paragraph inside an XML reader."""
+    bare = re.sub(REPEATED, "", text.strip())
+    return re.sub(" {2,}", " ", re.sub(WRAPPED, " ", bare, flags=re.IGNORECASE)).strip()
+
+
+def article_text(article: ET.Element) -> str:
+    """The paragraphs of an article element, reform notes left out, parted by an empty line; of an article without any, its text without its number."""
+
+    def paragraphs(e: ET.Element) -> Iterator[str]:
+        for child in e:
+            if _tag(child) == "p":
+                yield "".join(child.itertext())
+            if _tag(child).endswith("note"):
+                continue
+            yield from paragraphs(child)
+
+    found = [clean_paragraph(p) for p in paragraphs(article) if p.strip()]
+    if found:
+        return "\n\n".join(found)
+    raw, num = "".join(article.itertext()).strip(), next((x.text for x in article if _tag(x) == "num"), None)
+    return raw.replace(num.strip(), "", 1).strip() if num and num.strip() else raw
 
 
 def uri_kind(name: Column) -> Column:
@@ -268,7 +298,7 @@ AKN = "http://docs.oasis-open.org/legaldocml/ns/akn/3.0"
 
 
 def akn_elements(docs: DataFrame, id_: str, xml: str) -> DataFrame:
-    """(id, eid, num, title, chapter, text) of the articles of an AKN document; malformed documents give no row."""
+    """(id, eid, num, title, chapter, text) of the articles of an AKN document, their texts cleaned and without notes; malformed documents give no row."""
     kind = docs.schema[id_].dataType.simpleString()
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,8 +310,7 @@ def akn_elements(docs: DataFrame, id_: str, xml: str) -> DataFrame:
                 name = tag(child)
                 if name == "article":
                     num = next((x.text for x in child if tag(x) == "num"), None)
-                    body = "\n\n".join(" ".join("".join(p.itertext()).split()) for p in child.iter() if tag(p) == "p")
-                    yield child.get("eId") or child.get("id"), num, above.get("title"), above.get("chapter"), body
+                    yield child.get("eId") or child.get("id"), num, above.get("title"), above.get("chapter"), article_text(child)
                 elif name in ("title", "chapter"):
                     label = " ".join(x.text for x in child if tag(x) in ("num", "heading") and x.text)
                     yield from walk(child, above | {name: label} | ({"chapter": None} if name == "title" else {}))
@@ -301,26 +330,50 @@ def akn_elements(docs: DataFrame, id_: str, xml: str) -> DataFrame:
     return docs.select(id_, xml).mapInPandas(read, f"{id_} {kind}, eid string, num string, title string, chapter string, text string")
 
 
+#: Elements that hold others, the outermost first: one that opens ends those of its level and below.
+LEVELS = ("book", "title", "chapter")
+
+
 def akn_document(elements: DataFrame, id_: str) -> DataFrame:
-    """Elements in order (id, kind: title, chapter or article, label, content, line_number) as one AKN document each; articles stand in
-    their chapters, chapters in their titles. An element opens after closing what it ends: a title ends title and chapter, a
-    chapter the chapter. A document's parts are gathered in a row, as it is one value."""
-    order = Window.partitionBy(id_).orderBy("line_number")
-    before = lambda k: F.last(F.when(F.col("kind").isin("title", k), F.col("kind") == k), True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    in_title, in_chapter = F.coalesce(before("title"), F.lit(False)), F.coalesce(before("chapter"), F.lit(False))
+    """Elements in order (id, kind: book, title, chapter, article or transitory, label, content, line_number, and, if there are any, reforms with ``full_text``) as one AKN document each. Articles stand
+    in the innermost element that is open, transitory ones are articles numbered by their ordinal, reforms are notes of their article. A document's parts are
+    gathered in a row, as it is one value."""
+    before = Window.partitionBy(id_).orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1)
+    # A level is open if the last element that could have ended it has opened it.
+    opened = {k: F.coalesce(F.last(F.when(F.col("kind").isin(*LEVELS[: n + 1]), F.col("kind") == k), True).over(before), F.lit(False)) for n, k in enumerate(LEVELS)}
+    close = F.concat(*[F.when(F.col("kind").isin(*LEVELS[: n + 1]) & opened[k], f"</{k}>").otherwise("") for n, k in reversed(list(enumerate(LEVELS)))])
     label, eid = escape_xml(F.col("label")), F.concat(F.col("kind"), F.lit("-"), F.col("line_number").cast("string"))
-    close = F.concat(F.when(F.col("kind").isin("title", "chapter") & in_chapter, "</chapter>").otherwise(""), F.when((F.col("kind") == "title") & in_title, "</title>").otherwise(""))
     head = F.concat(F.lit("<"), F.col("kind"), F.lit(' id="'), eid, F.lit('"><num>'), label, F.lit("</num>"))
-    article = F.concat(F.lit('<article id="'), label, F.lit('"><num>'), label, F.lit("</num><content><p>"), escape_xml(F.coalesce("content", F.lit(""))), F.lit("</p></content></article>"))
-    piece = F.concat(close, F.when(F.col("kind") == "article", article).otherwise(head))
-    rows = elements.where(F.col("kind").isin("title", "chapter", "article")).select(id_, "line_number", "kind", piece.alias("x"))
-    parts = rows.groupBy(id_).agg(F.array_sort(F.collect_list(F.struct("line_number", "x"))).alias("p"), F.max(F.struct("line_number", "kind")).alias("end"), F.max(F.when(F.col("kind") == "title", F.col("line_number"))).alias("t"), F.max(F.when(F.col("kind") == "chapter", F.col("line_number"))).alias("c"))
-    open_chapter = F.col("c").isNotNull() & (F.col("t").isNull() | (F.col("c") > F.col("t")))
-    tail = F.concat(F.when(open_chapter, "</chapter>").otherwise(""), F.when(F.col("t").isNotNull(), "</title>").otherwise(""))
+    ids = F.when(F.col("kind") == "transitory", F.concat(F.lit("trans-"), F.col("line_number").cast("string"))).otherwise(label)
+    noted = F.transform("reforms", lambda r: F.concat(F.lit('<note placement="bottom"><p>'), escape_xml(r["full_text"]), F.lit("</p></note>"))) if "reforms" in elements.columns else F.array()
+    notes = F.coalesce(F.array_join(noted.cast("array<string>"), ""), F.lit(""))
+    article = F.concat(F.lit('<article id="'), ids, F.lit('"><num>'), label, F.lit("</num><content><p>"), escape_xml(F.coalesce("content", F.lit(""))), F.lit("</p></content>"), notes, F.lit("</article>"))
+    piece = F.concat(close, F.when(F.col("kind").isin("article", "transitory"), article).otherwise(head))
+    rows = elements.where(F.col("kind").isin(*LEVELS, "article", "transitory")).select(id_, "line_number", "kind", piece.alias("x"))
+    last = {k: F.max(F.when(F.col("kind") == k, F.col("line_number"))).alias(f"last_{k}") for k in LEVELS}
+    parts = rows.groupBy(id_).agg(F.array_sort(F.collect_list(F.struct("line_number", "x"))).alias("p"), *last.values())
+    at = [F.coalesce(F.col(f"last_{k}").cast("long"), F.lit(-(1 << 62))) for k in LEVELS]
+    still = [F.col(f"last_{k}").isNotNull() & (at[n] > F.greatest(*at[:n], F.lit(-(1 << 62)))) if n else F.col(f"last_{k}").isNotNull() for n, k in enumerate(LEVELS)]
+    tail = F.concat(*[F.when(still[n], f"</{LEVELS[n]}>").otherwise("") for n in (2, 1, 0)])
     body = F.array_join(F.transform("p", lambda r: r.x), "")
     return parts.select(id_, F.concat(F.lit(f'<akomaNtoso xmlns="{AKN}"><act><meta/><body>'), body, tail, F.lit("</body></act></akomaNtoso>")).alias("xml"))
 
 
+@F.pandas_udf(IntegerType())
+def akn_article_count(texts: pd.Series) -> pd.Series:
+    """AKN articles of a document; -1 if it isn't well-formed; null for null."""
+
+    def count(x: str | None) -> int | None:
+        if x is None:
+            return None
+        try:
+            return sum(1 for _ in ET.fromstring(x.encode()).iter(f"{{{AKN}}}article"))
+        except ET.ParseError:
+            return -1
+
+    return texts.map(count).astype("Int64")
+
+
 def _tag(e: ET.Element) -> str:
     return e.tag.rsplit("}", 1)[-1]
 

@@ -843,9 +843,18 @@ def _(s, d):
     return table(s, d, "conversations").where(rules.derogated(said)).select("conv_id", "turn")
 
 
-@query("P16_clean", "SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^\\s*(?:Art[íi]culo|ART[ÍI]CULO)\\s+\\d+\\S*\\s*', ''), '([^.:;\\n])\\n(\\S)', '\\1 \\2', 'g'), '([^.:;\\n])\\n(\\S)', '\\1 \\2', 'g'), '[ \\t]+', ' ', 'g'), ' ') AS t FROM conversations")
+_HEADS, _TAILS = ("Artículo 5 Bis. ", "ARTÍCULO 7.- ", "Articulo 12 A bis.", "ARTICULO 3. ", "", "  Artículo 9o "), (";\nseguido", " 2020\nsigue", ")\n1. fin", " Á\nñ\nü  dos   espacios ", ".\nOtra", ",\n\nfin", "")
+_list = lambda xs: "[" + ", ".join("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in xs) + "]"
+
+
+@query("P16_clean", rf"""WITH r AS (SELECT conv_id, turn, trim({_list(_HEADS)}[(conv_id + turn) % 6 + 1] || text || {_list(_TAILS)}[(conv_id + 2 * turn) % 7 + 1], ' ' || chr(10)) AS t FROM conversations),
+b AS (SELECT conv_id, turn, regexp_replace(t, '^(?:Art[ií]culo|ARTÍCULO)\s+\d+[\p{{L}}\p{{M}}\p{{N}}_\s]*\.\s*', '') AS t FROM r)
+SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(t, '(?i)([a-záéíóúñü,;])\n([a-záéíóúñü])', '\1 \2', 'g'), '(?i)([a-záéíóúñü,;])\n([a-záéíóúñü])', '\1 \2', 'g'), ' {{2,}}', ' ', 'g'), ' ' || chr(10)) AS t FROM b""")
 def _(s, d):
-    return table(s, d, "conversations").select("conv_id", "turn", parse.clean_article_text(F.col("text")).alias("t"))
+    """Texts behind article numbers of each form and before line ends of each kind."""
+    pick = lambda xs, at: F.element_at(F.array(*map(F.lit, xs)), (F.expr(at) % len(xs) + 1).cast("int"))
+    text_ = F.concat(pick(_HEADS, "conv_id + turn"), "text", pick(_TAILS, "conv_id + 2 * turn"))
+    return table(s, d, "conversations").select("conv_id", "turn", parse.clean_article_text(text_).alias("t"))
 
 
 @query("P10_references")

@@ -94,3 +94,15 @@ def test_small_patterns(spark):
     assert row.select(parse.simple_references(F.col("x"))).first()[0] == ["12"]
     lines = spark.createDataFrame([("I. uno",), ("a) dos",), ("1) tres",), ("nada",)], "x string")
     assert [r[0] for r in lines.select(parse.is_fraction(F.col("x"))).collect()] == [True, True, True, False]
+
+
+def test_article_texts_as_the_indexer_makes_them(spark):
+    probes = {
+        "Artículo 5 Bis. Texto": "Texto", "uno;\ndos": "uno; dos", "2020\nsigue": "2020\nsigue", ")\n1.": ")\n1.", "a\nb\nC": "a b C", "fin.\nOtra": "fin.\nOtra", "Á\nÑ": "Á Ñ",
+        "ARTÍCULO 7.- Uno": "- Uno", "ARTICULO 3. Uno": "ARTICULO 3. Uno", "  dos   espacios ": "dos espacios", "Artículo 9o sin punto": "Artículo 9o sin punto", "": "",
+    }
+    rows = spark.createDataFrame(list(probes.items()), "t string, want string").select("t", "want", parse.clean_article_text(F.col("t")).alias("got")).collect()
+    assert all(r["got"] == r["want"] == parse.clean_paragraph(r["t"]) for r in rows), rows
+    xml = f'<a xmlns="{parse.AKN}"><article id="x"><num>Artículo 1</num><content><p>Artículo 1. Uno\ndos</p><note><p>reformado</p></note><p> </p><p>tres</p></content></article><article id="y"><num>Art 2</num>Art 2 suelto</article></a>'
+    got = parse.akn_elements(spark.createDataFrame([(1, xml)], "k int, xml string"), "k", "xml").collect()
+    assert [r["text"] for r in got] == ["Uno dos\n\ntres", "Art 2 suelto"]
