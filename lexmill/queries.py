@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import rules, text
 from .operators import catalog, dashboards, graph, history, parse, resolve, search, vectors, windows
 from .plans import sinks
-from .sources import readers
+from .sources import gazette, readers
 from .sources.readers import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -752,6 +752,20 @@ def _(s, d):
     return readers.hrefs(table(s, d, "pages"), "page_id", "html")
 
 
+@query("S10_gazette", r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="/([^"]*)">[^<]*</a>', 1)) AS h, unnest(regexp_extract_all(html, '<a href="/[^"]*">([^<]*)</a>', 1)) AS t, unnest(range(len(regexp_extract_all(html, '<a href="/[^"]*">[^<]*</a>')))) AS n FROM pages)
+SELECT page_id, n::INT AS position, trim(t) AS title, 'PRIMERA SECCION' AS section, 'SECRETARIA DE GOBERNACION' AS authority, 'https://g.example/nota_detalle.php?x=' || h AS url, 'headings' AS strategy FROM l WHERE page_id % 3 = 0
+UNION ALL SELECT page_id, 0, 'TERCERA SECCION aviso ' || page_id, 'TERCERA SECCION', 'PODER JUDICIAL', 'https://g.example/nota_detalle.php?codigo=' || page_id, 'rows' FROM pages WHERE page_id % 3 = 1
+UNION ALL SELECT page_id, 0, 'Segunda sección: ' || page_id, 'QUINTA SECCION', 'AVISOS JUDICIALES', 'https://g.example/nota_to_doc.php?codnota=' || page_id, 'links' FROM pages WHERE page_id % 3 = 2""")
+def _(s, d):
+    """Pages with the marks of each layout: their own links under headings, a table row, a link with its context above and before it."""
+    number = F.col("page_id").cast("string")
+    headed = F.replace(F.replace("html", F.lit("<body>"), F.lit("<body><h2>Primera  Sección</h2><h3>SECRETARIA DE GOBERNACION</h3>")), F.lit('<a href="/'), F.lit('<a href="/nota_detalle.php?x='))
+    rows = F.concat("html", F.lit('<table><tr><td>PODER JUDICIAL<tr><td>1<td><a href="nota_detalle.php?codigo='), number, F.lit('">TERCERA SECCION aviso '), number, F.lit("</a></table>"))
+    links = F.concat("html", F.lit('<div>QUINTA SECCIÓN<p>AVISOS JUDICIALES</p><span><a href="nota_to_doc.php?codnota='), number, F.lit('">Segunda sección: '), number, F.lit("</a></span></div>"))
+    pages = table(s, d, "pages", ["page_id", "html"]).select("page_id", F.when(F.col("page_id") % 3 == 0, headed).when(F.col("page_id") % 3 == 1, rows).otherwise(links).alias("html"))
+    return gazette.entries(pages, "page_id", "html", "https://g.example")
+
+
 @query("S10_link_tree")
 def _(s, d):
     return readers.html_links(table(s, d, "pages"), "page_id", "html")
