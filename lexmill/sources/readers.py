@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from ..functions.text import first_given
+from .json_arrays import json_arrays
 
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 
@@ -56,7 +57,7 @@ def json_first(spark: SparkSession, paths: Sequence[str], schema: StructType | s
 
 
 def bulk_dump(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """.json (arrays; a file that isn't one is read by lines), .ndjson/.jsonl (bad lines skipped) or .csv with a header."""
+    """.json (arrays, each read by many tasks; a file that isn't one is read by lines), .ndjson/.jsonl (bad lines skipped) or .csv with a header."""
     if path.endswith(".csv"):
         return spark.read.schema(schema).csv(path, header=True)
     lines = lambda paths: spark.read.schema(schema).json(paths, mode="DROPMALFORMED")
@@ -64,11 +65,7 @@ def bulk_dump(spark: SparkSession, path: str, schema: StructType | str) -> DataF
         return lines(path)
     if not path.endswith(".json"):
         raise ValueError(f"neither JSON nor CSV: {path}")
-    files = files_of(spark, path)
-    arrays, other = [f for f, head in files if head == "["], [f for f, head in files if head and head != "["]
-    parts = ([spark.read.schema(schema).json(arrays, multiLine=True, mode="DROPMALFORMED")] if arrays else []) + ([lines(other)] if other else [])
-    out = parts[0] if parts else spark.createDataFrame([], schema)
-    return out.unionByName(parts[1]) if len(parts) > 1 else out
+    return json_arrays(spark, path, schema)
 
 
 def batch_directory(spark: SparkSession, pattern: str, record_schema: StructType) -> DataFrame:
