@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from .functions import rules, text
 from .operators import catalog, dashboards, graph, history, parse, search
-from .plans import sinks
+from .plans import sinks, sql_functions
 from .plans.folders import folder
 from .queries import INDEX, laws, query, refs, versions
 from .sources import readers
@@ -253,6 +253,22 @@ def _(s, d):
     return parse.articles(law_texts(s, d), "k", "text").where("article_id = 'art-1'").select("k", "content")
 
 
+@query("P2_table_function", f"SELECT k, article_id, content FROM (SELECT c_custkey AS k, 'art-1' AS article_id, CASE c_custkey % 4 WHEN 3 THEN 'Texto. ' ELSE {list(BODIES)}[c_custkey % 4 + 1] END || chr(10) || 'sigue ' || c_custkey AS content FROM customer)")
+def _(s, d):
+    """The parser as a table function over lines, in SQL."""
+    sql_functions.register(s)
+    parse.lines(law_texts(s, d), "k", "text").selectExpr("k AS doc", "line_number", "line").createOrReplaceTempView("law_lines")
+    return s.sql("SELECT doc AS k, article_id, content FROM parse_law(TABLE(SELECT * FROM law_lines)) WHERE kind = 'article' AND article_id = 'art-1'")
+
+
+@query("N4_sql_functions", "SELECT doc_id, md5(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]', '', 'g')) AS k, CASE WHEN regexp_matches(text, '^\\s*<\\?xml') THEN 'akn' ELSE 'text' END AS kind, md5(strip_accents(lower(text))) AS folded FROM documents")
+def _(s, d):
+    """Rules called by name in SQL."""
+    sql_functions.register(s)
+    table(s, d, "documents", ["doc_id", "text"]).createOrReplaceTempView("law_documents")
+    return s.sql("SELECT doc_id, md5(alnum_key(text)) AS k, content_type(text) AS kind, md5(fold(text)) AS folded FROM law_documents")
+
+
 @query("P3_structures", "SELECT c_custkey AS k, 'title' AS kind, c_custkey % 3 + 1 AS number, 'Disposiciones ' || c_custkey AS description FROM customer UNION ALL SELECT c_custkey, 'chapter', CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 4 END, 'Objeto ' || c_custkey FROM customer")
 def _(s, d):
     return parse.structures(law_texts(s, d), "k", "text").select("k", "kind", "number", "description")

@@ -22,6 +22,8 @@ ARTICLE_HEADERS = (
     r"^(?:Art[íi]culo|ART[ÍI]CULO)\s+(\d+o?\.?)\s+((?:Bis|BIS)\s*\d*)", r"^(?:Art[íi]culo|ART[ÍI]CULO)\s+(\d+)o?-([A-Z])\b",
     r"^(?:Art[íi]culo|ART[ÍI]CULO)\s+(\d+o?\.?)()", r"^Art\.\s+(\d+)()",
 )
+#: An article's header at the beginning of its text.
+ARTICLE_HEAD = r"^(?:Art[íi]culo|ART[ÍI]CULO|Art\.)\s+\d+o?(?:-[A-Z]\b)?\.?(?:\s+(?:Bis|BIS)\s*\d*)?[.\-–—\s]*"
 ORDINALS_O = "PRIMERO|SEGUNDO|TERCERO|CUARTO|QUINTO|SEXTO|S[ÉE]PTIMO|OCTAVO|NOVENO|D[ÉE]CIMO"
 ORDINALS_A = "PRIMERA|SEGUNDA|TERCERA|CUARTA|QUINTA"
 STRUCTURE = {
@@ -114,7 +116,7 @@ def articles(docs: DataFrame, id_: str, text: str) -> DataFrame:
     order = Window.partitionBy(id_).orderBy("line_number")
     cut = F.sum((F.col("aid").isNotNull() | F.col("kind").isNotNull()).cast("int")).over(order)
     marked = rows.withColumn("block", cut).where("kind is null")
-    head = F.regexp_replace("line", r"^(?:Art[íi]culo|ART[ÍI]CULO|Art\.)\s+\d+o?(?:-[A-Z]\b)?\.?(?:\s+(?:Bis|BIS)\s*\d*)?[.\-–—\s]*", "")
+    head = F.regexp_replace("line", ARTICLE_HEAD, "")
     piece = F.when(F.col("aid").isNotNull(), head).otherwise(F.col("line"))
     blocks = marked.groupBy(id_, "block").agg(
         F.max("aid").alias("article_id"), F.min("line_number").alias("line_number"),
