@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from ..plans.folders import folder
+
 
 def embedding_input(text: Column, words: int = 300) -> Column:
     """The first words of a stripped text; null where there is none."""
@@ -32,22 +34,25 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.when(a.isNotNull() & b.isNotNull(), float("nan")))
 
 
-#: Query vectors of a block: their matrix is sent to each task, and vectors stream by it once for each block.
+#: Query vectors whose matrix is sent to each task.
 QUERIES = 4096
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, id_: str, vector: str, k: int = 5, block: int = QUERIES) -> DataFrame:
-    """(query_id, id, similarity, rank): the k nearest of each query among all vectors but itself; equal ones (to 12 places) by id.
-    Zero and null vectors are near to nothing. Queries are taken in blocks of bounded size; each task keeps k rows for a query of each batch."""
+    """(query_id, id, similarity, rank): the k nearest of each query among all vectors but itself; equal ones (to 12 places) by id. Zero and null vectors are near to nothing.
+
+    Up to ``block`` queries are sent to the tasks, and vectors stream by them once, each task keeping k rows for a query of each batch. More of them meet the vectors through an index
+    of inverted lists, by shuffle, with the same result."""
     spark = vectors.sparkSession
     each = queries.where(F.col(vector).isNotNull()).select(F.col(id_), F.col(vector))
-    count = each.count()
-    blocks = -(-count // block)
     kind = vectors.schema[id_].dataType.simpleString()
-    found = spark.createDataFrame([], f"query_id {kind}, {id_} {kind}, similarity double")
-    for number in range(blocks):
-        part = each.where(F.pmod(F.xxhash64(id_), F.lit(blocks)) == number).toArrow()  # about ``block`` rows
-        found = found.unionByName(_block(vectors, part, id_, vector, k, kind))
+    if each.limit(block + 1).count() > block:
+        from .vector_index import VectorIndex
+
+        base = folder(spark)
+        found = VectorIndex.build(vectors, id_, vector, f"{base}/index").search(each, id_, vector, k, f"{base}/search")
+        return found.select("query_id", F.col("id").alias(id_), "similarity", "rank")
+    found = _block(vectors, each.toArrow(), id_, vector, k, kind)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

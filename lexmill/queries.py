@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from .functions import rules, text
 from .operators import catalog, dashboards, graph, history, parse, resolve, search, vectors, windows
+from .operators.vector_index import VectorIndex
 from .plans import sinks
+from .plans.folders import folder
 from .sources import gazette, readers
 from .sources.readers import table
 
@@ -543,6 +545,15 @@ def _(s, d):
     return vectors.nearest(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", 5).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@query("R10_inverted_lists", "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT query_id, vec_id, list_cosine_similarity(q, embedding::DOUBLE[]) AS c FROM embeddings, q WHERE vec_id <> query_id) SELECT query_id, vec_id, round(c, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 12) DESC, vec_id)::INT AS rank FROM p QUALIFY rank <= 5")
+def _(s, d):
+    e = table(s, d, "embeddings")
+    base = folder(s)
+    index = VectorIndex.build(e, "vec_id", "embedding", f"{base}/index")
+    found = index.search(e.where("vec_id % 20 = 0"), "vec_id", "embedding", 5, f"{base}/search")
+    return found.select("query_id", F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"), "rank")
+
+
 @query("R9_embedding_input", "SELECT doc_id, sha256(array_to_string(regexp_split_to_array(trim(text), '\\s+')[1:300], ' ')) AS h FROM documents")
 def _(s, d):
     return table(s, d, "documents", ["doc_id", "text"]).select("doc_id", F.sha2(vectors.embedding_input(F.col("text")), 256).alias("h"))
