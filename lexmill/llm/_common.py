@@ -77,9 +77,11 @@ def forget(*tables: DataFrame) -> None:
             path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
 
 
-def bounded(df: DataFrame, row_bytes: int = 64, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark a narrow, already saved table for broadcast if its counted size is under the limit; else leave it to a shuffled join."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def bounded(df: DataFrame, row_bytes: int = 64, limit: int = BROADCAST_BYTES, more: Column | None = None) -> DataFrame:
+    """Mark an already saved table for broadcast if its counted size is under the limit; else leave it to a shuffled join. ``more`` is what a row takes beside ``row_bytes``, where rows
+    aren't of one size."""
+    size = F.count("*") * row_bytes if more is None else F.count("*") * row_bytes + F.coalesce(F.sum(more.cast("long")), F.lit(0))
+    return F.broadcast(df) if df.agg(size).first()[0] <= limit else df
 
 
 def ascii_lower(text: Column) -> Column:

@@ -149,11 +149,11 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -
     return docs.join(found, F.md5(F.coalesce("text", F.lit(""))) == F.col(key), "left_anti")
 
 
-def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW, limit: int = BROADCAST_BYTES) -> DataFrame:
     """All documents; in those that are hit, the hit words go and the other words stay, lower-cased, with one space between. docs may have
     any other columns."""
     key, hit = (f"{x}_{uuid.uuid4().hex}" for x in ("digest", "hit"))  # no columns of docs have these names
-    found = bounded(saved(contamination(docs, items, window).select(F.col("digest").alias(key), F.col("hit_words").alias(hit)), "decon-spans"), 1024)
+    found = bounded(saved(contamination(docs, items, window).select(F.col("digest").alias(key), F.col("hit_words").alias(hit)), "decon-spans"), limit=limit, more=F.size(hit) * 4)
     kept = F.array_join(F.filter(F.transform(words(F.col("text")), lambda w, i: F.when(~F.array_contains(hit, i), w)), lambda w: w.isNotNull()), " ")
     out = docs.join(found, F.md5(F.coalesce("text", F.lit(""))) == F.col(key), "left")
     return out.withColumn("text", F.when(F.col(hit).isNull(), F.col("text")).otherwise(kept)).drop(key, hit)

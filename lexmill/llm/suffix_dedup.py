@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded, distinct_texts, forget, saved
+from ._common import BROADCAST_BYTES, bounded, distinct_texts, forget, saved
 from ._encode import expand, pieces_of
 from ._words import M1, M2, M3, distinct, mix
 
@@ -284,11 +284,11 @@ def distinct_results(texts: DataFrame, keep: bool = False) -> DataFrame:
     return texts.join(spans, "t", "left").select("t", "text", "spans").mapInArrow(finish, RESULT + ", kept binary" * keep)
 
 
-def repeated_spans(docs: DataFrame, keep: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, keep: bool = False, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep``, the kept bytes too."""
     texts = saved(distinct_texts(docs).select(F.monotonically_increasing_id().alias("t"), "*"), "suffix-texts")
     found = saved(distinct_results(texts, keep).join(texts.select("t", "digest", "rep"), "t"), "suffix-found")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest")).join(bounded(found, 1024 if keep else 200), "digest")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest")).join(bounded(found, 200, limit, F.octet_length("kept") if keep else None), "digest")
     copy = (F.col("n_bytes") >= LENGTH) & F.col("rep").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("rep"))
     return rows.select(
         "doc_id", "n_bytes", F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),

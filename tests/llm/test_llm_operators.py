@@ -547,12 +547,25 @@ def test_warc_of_odd_rows(spark):
     """Nulls, repeated rows, ties and clashing names; and an empty table."""
     rows = [(1, "u", "x" * 200), (1, "u", "x" * 200), (2, None, "x" * 200), (3, "u", None), (None, "u", "y" * 99), (4, "u", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in (*CLASHES, "refers_to", "path", "name", "least")})
-    got = sorted(map(str, warc.round_trip(pages).select("page_id", "payload_bytes", "record_type", "refers_to").collect()))
+    got = [tuple(r) for r in warc.round_trip(pages).select("page_id", "payload_bytes", "record_type", "refers_to").collect()]
     want = [(1, 200, "response", None), (1, 200, "response", None), (2, 200, "revisit", 1), (3, 0, "response", None), (None, 99, "response", None), (4, 0, "response", None)]
-    assert [x.count("revisit") for x in got].count(1) == 1 and len(got) == len(want)
+    assert sorted(got, key=str) == sorted(want, key=str)
     assert warc.round_trip(pages.limit(0)).collect() == []
 
 
 def test_near_duplicates_of_odd_rows(spark):
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(odd(spark)).collect()}
     assert got == {(1, 2, 1), (1, 1, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (None, 1, None)}
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 0])  # broadcast, shuffled
+def test_spans_above_the_bound_of_a_broadcast(spark, limit):
+    rng = random.Random(12)
+    passage = text(rng, 40)
+    rows = [(i, f"{text(rng, 20)} {passage} {text(rng, 5)}" if i % 2 else text(rng, 30)) for i in range(12)]
+    items = spark.createDataFrame([("a", passage)], "item_id string, text string")
+    cleaned = {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(frame(spark, rows), items, limit=limit).collect()}
+    assert all(cleaned[i] == (t.replace(f" {passage}", "") if i % 2 else t) for i, t in rows)
+    kept = {r["doc_id"]: bytes(r["kept"]) for r in suffix_dedup.repeated_spans(frame(spark, rows), keep=True, limit=limit).collect()}
+    want = {d: sha for d, *_, sha in repeated_spans(rows)}
+    assert {d: hashlib.sha256(b).hexdigest() for d, b in kept.items()} == want
