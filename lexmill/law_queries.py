@@ -416,15 +416,15 @@ def _(s, d):
 @query("S5_batches", "SELECT o_orderkey AS id, o_orderpriority AS name FROM orders")
 def _(s, d):
     path = folder(s)
-    packs = order_lines(s, d).groupBy((F.col("id") % 7).alias("pack")).agg(F.to_json(F.sort_array(F.collect_list(F.struct("id", "name")))).alias("list"))  # files of a test table
-    packs.select(F.when(F.col("pack") % 2 == 0, F.col("list")).otherwise(F.concat(F.lit('{"records": '), F.col("list"), F.lit("}"))).alias("value")).repartition(7, "value").write.option("maxRecordsPerFile", 1).text(path)
+    packs = order_lines(s, d).groupBy(F.floor(F.col("id") / 1000).alias("pack")).agg(F.to_json(F.sort_array(F.collect_list(F.struct("id", "name")))).alias("list"))  # a batch file is a thousand numbers
+    packs.select(F.when(F.col("pack") % 2 == 0, F.col("list")).otherwise(F.concat(F.lit('{"records": '), F.col("list"), F.lit("}"))).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return readers.batch_directory(s, path, RECORD).select("id", "name")
 
 
 @query("S6_states", "SELECT n_name AS state, c_custkey AS id, c_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def _(s, d):
     path = folder(s)
-    rows = laws(s, d).groupBy("state").agg(F.collect_list(F.struct(F.col("official_id").alias("id"), "name")).alias("laws"))  # files of a test table
+    rows = laws(s, d).groupBy("state", F.floor(F.col("official_id") / 1000)).agg(F.collect_list(F.struct(F.col("official_id").alias("id"), "name")).alias("laws"))  # a file is a thousand numbers
     rows.select(F.to_json(F.struct("state", "laws")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return readers.state_metadata(s, path, RECORD)
 

@@ -720,9 +720,10 @@ def _(s, d):
     return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", text.python_round(F.col("l_quantity") / 4).alias("r"))
 
 
-@query("N13_gap_states", "WITH a AS (SELECT user_id, list(CASE WHEN event_type IN ('click', 'view') THEN 'escalate' ELSE 'wait' END) AS x FROM events GROUP BY 1), n AS (SELECT user_id, len(list_filter(x, lambda y: y = 'escalate')) AS n FROM a) SELECT user_id, least(n, 4)::INT AS tier, CASE WHEN n = 0 THEN 'open' WHEN n <= 4 THEN 'in_progress' ELSE 'blocked' END AS status FROM n")
+@query("N13_gap_states", f"WITH a AS (SELECT user_id, event_id, CASE WHEN event_id % 97 = 5 THEN 'resolve' WHEN event_id % 89 = 7 THEN 'permanent' WHEN event_type IN ('click', 'view') THEN 'escalate' ELSE 'wait' END AS a FROM events), t AS (SELECT user_id, min(event_id) AS e, arg_min(a, event_id) AS a FROM a WHERE a IN ('resolve', 'permanent') GROUP BY 1), n AS (SELECT a.user_id, count(*) FILTER (a.a = 'escalate' AND (e IS NULL OR event_id < e)) AS n, any_value(t.a) AS last FROM a LEFT JOIN t USING (user_id) GROUP BY 1) SELECT user_id, least(n, 4)::INT AS tier, CASE WHEN last = 'resolve' THEN 'resolved' WHEN last = 'permanent' THEN 'permanent' WHEN n = 0 THEN 'open' WHEN n <= 4 THEN 'in_progress' ELSE 'blocked' END AS status FROM n")
 def _(s, d):
-    action = F.when(F.col("event_type").isin("click", "view"), "escalate").otherwise("wait")
+    i = F.col("event_id")
+    action = F.when(i % 97 == 5, "resolve").when(i % 89 == 7, "permanent").when(F.col("event_type").isin("click", "view"), "escalate").otherwise("wait")
     return dashboards.gap_states(table(s, d, "events").select("user_id", "event_id", action.alias("a")), "user_id", "event_id", "a")
 
 
