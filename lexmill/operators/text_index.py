@@ -104,7 +104,11 @@ class TextIndex:
         index = cls(docs.sparkSession, path, {f: a for f, (_, a) in fields.items()})
         write = lambda df, name: df.write.parquet(f"{path}/{name}")
         each = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(a(F.coalesce(c, F.lit(""))), F.array().cast("array<struct<term:string,at:int,span:int>>")).alias("tokens")) for f, (c, a) in fields.items()])
-        write(docs.select(F.col(id_).alias("doc"), F.inline(each)).withColumn("dl", F.size(F.array_distinct(F.transform("tokens", lambda t: t.at)))), "analysed")
+        texts = docs.select(F.col(id_).alias("doc"), each.alias("fields"))
+        cores = docs.sparkSession.sparkContext.defaultParallelism
+        if docs.rdd.getNumPartitions() < cores:  # a small table in few files: texts are dealt out before they are analysed
+            texts = docs.repartition(cores).select(F.col(id_).alias("doc"), each.alias("fields"))
+        write(texts.select("doc", F.inline("fields")).withColumn("dl", F.size(F.array_distinct(F.transform("tokens", lambda t: t.at)))), "analysed")
         tokens = index.table("analysed")
         write(tokens.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl")), "stats")
         places = tokens.select("field", "doc", "dl", F.inline("tokens")).groupBy("term", "field", "doc", "dl").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list(F.struct("at", "span"))).alias("places"))
