@@ -243,9 +243,9 @@ def agency(standard: Column, agencies: Mapping[str, str]) -> Column:
     return F.when(part.isNull() | (part == ""), "").otherwise(F.coalesce(exact, near, part))
 
 
-def subject(raw: Column) -> Column:
+def subject(raw: Column, subjects: Mapping[str, str] = SUBJECTS) -> Column:
     """P31."""
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SUBJECTS.items() for x in kv]), fold(F.trim(raw))), F.lit("comun"))
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in subjects.items() for x in kv]), fold(F.trim(raw))), F.lit("comun"))
 
 
 def thesis_kind(raw: Column) -> Column:

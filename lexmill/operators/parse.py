@@ -77,7 +77,7 @@ ORDINAL_HEADERS = (
 def ordinal_article_id(line: Column) -> Column:
     """P1 for municipal texts: id of a line that an ordinal heads, else null. Kept apart, as ordinals also head transitory articles."""
     said = F.coalesce(*[F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in ORDINAL_HEADERS])
-    return F.concat(F.lit("art-"), ordinal(said).cast("string"))
+    return F.concat(F.lit("art-"), F.get(F.transform(F.array(said), ordinal), F.lit(0)).cast("string"))  # a lambda reads the patterns once
 
 
 def structure_kind(line: Column) -> Column:

@@ -902,7 +902,7 @@ def _(s, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import law_queries, search_queries  # noqa: F401  they register their own
+    from . import law_queries, rule_queries, search_queries  # noqa: F401  they register their own
 
     return dict(QUERIES)
 
