@@ -230,3 +230,44 @@ def _(s, d):
     second = F.when((F.col("user_id") % 2 == 0) & (F.col("event_type") == "view"), "click").otherwise(u)
     items = F.when(F.col("event_id") % 7 > 0, F.to_json(F.array("event_type", second)))
     return table(s, d, "events").select("event_id", text.json_has(items, F.lit("click")).alias("has"), text.json_append(items, u).alias("v"))
+
+
+# Documents as acts: a line is an article; parts are missing by the document's key
+
+_frbr = "".join(f"<{n}><FRBRthis/><FRBRuri/><FRBRdate/></{n}>" for n in ("FRBRWork", "FRBRExpression", "FRBRManifestation"))
+_metas = (f"<meta>{_frbr}</meta>", "<meta><FRBRWork><FRBRthis/><FRBRuri/></FRBRWork></meta>", "", f"<meta>{_frbr}</meta>")
+_levels = ("", "<chapter><num>I</num></chapter>" * 3, "<title><num/></title>", "<title><num>I</num></title>")
+
+
+def acts(s: SparkSession, d: str) -> DataFrame:
+    """(k, xml): every document as an act whose articles are its lines; numbers jump in each fifth, the root of each 13th is another, each 11th breaks off."""
+    k = F.col("doc_id")
+    lines = F.split(F.regexp_replace("text", r"[\x00-\x08\x0b-\x1f]", ""), "\n")
+    number = lambda i: (i + 1 + F.when((k % 5 == 0) & (i >= 2), 7).otherwise(0)).cast("string")
+    article = lambda t, i: F.concat(F.lit("<article><num>Artículo "), number(i), F.lit("</num><content><p>"), text.escape_xml(t), F.lit("</p></content></article>"))
+    inner = F.concat(pick(k, _levels), F.array_join(F.transform(lines, article), ""))
+    body = F.when(k % 7 == 0, inner).otherwise(F.concat(F.lit("<body>"), inner, F.lit("</body>")))
+    root = F.when(k % 13 == 0, "law").otherwise("akomaNtoso")
+    xml = F.concat(F.lit("<"), root, F.lit("><act>"), pick(k, _metas), body, F.lit("</act>"), F.when(k % 11 == 0, "").otherwise(F.concat(F.lit("</"), root, F.lit(">"))))
+    return table(s, d, "documents", ["doc_id", "text"]).select(k.alias("k"), xml.alias("xml"))
+
+
+ACTS = (
+    "a AS (SELECT doc_id AS k, len(n) AS n, len(list_filter(n, lambda c: c < 20)) AS short, len(list_filter(n, lambda c: c < 5)) AS bare FROM (SELECT doc_id, list_transform(string_split(regexp_replace(text, '[\\x00-\\x08\\x0b-\\x1f]', '', 'g'), chr(10)), lambda t: length(t)) AS n FROM documents)),"
+    " w AS (SELECT * FROM a WHERE k % 11 <> 0 AND n IS NOT NULL)"
+)
+
+
+@query("P20_completeness", f"""WITH {ACTS} SELECT k, 'parse_error' AS "check", 'not well-formed' AS issue FROM a WHERE k % 11 = 0 OR n IS NULL
+UNION ALL SELECT k, 'article_sequence', 'gap 2-10' FROM w WHERE k % 5 = 0 AND n >= 3 UNION ALL SELECT k, 'frbr_metadata', 'no meta' FROM w WHERE k % 4 = 2
+UNION ALL SELECT k, 'frbr_metadata', unnest(['no FRBRdate in FRBRWork', 'no FRBRExpression', 'no FRBRManifestation']) FROM w WHERE k % 4 = 1
+UNION ALL SELECT k, 'content_length', short || ' short articles' FROM w WHERE short * 20 > n UNION ALL SELECT k, 'content_length', bare || ' empty articles' FROM w WHERE bare > 0
+UNION ALL SELECT k, 'hierarchy', 'no body' FROM w WHERE k % 7 = 0 UNION ALL SELECT k, 'hierarchy', 'fewer articles than chapters' FROM w WHERE k % 7 <> 0 AND k % 4 = 1 AND n < 3
+UNION ALL SELECT k, 'structure_elements', 'title without num' FROM w WHERE k % 4 = 2""")
+def _(s, d):
+    return parse.completeness(acts(s, d), "k", "xml")
+
+
+@query("P21_validity", f"WITH {ACTS} SELECT k, 'not_well_formed' AS issue FROM a WHERE k % 11 = 0 OR n IS NULL UNION ALL SELECT k, 'no_meta' FROM w WHERE k % 4 = 2 UNION ALL SELECT k, 'no_body' FROM w WHERE k % 7 = 0 UNION ALL SELECT k, 'wrong_root' FROM w WHERE k % 13 = 0")
+def _(s, d):
+    return parse.schema_validity(acts(s, d), "k", "xml")

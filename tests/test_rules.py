@@ -84,3 +84,25 @@ def test_signature_of_any_text(spark):
     for secret in secrets:
         got = [r.v for r in spark.createDataFrame(enumerate(texts), "i int, t string").select("i", text.signature(secret, F.col("t")).alias("v")).orderBy("i").collect()]
         assert got == [hmac.new(secret.encode(), t.encode(), hashlib.sha256).hexdigest() for t in texts]
+
+
+_frbr = "".join(f"<{n}><FRBRthis/><FRBRuri/><FRBRdate/></{n}>" for n in ("FRBRWork", "FRBRExpression", "FRBRManifestation"))
+_article = lambda n, t="x" * 30: f"<article id='a{n}'><num>Artículo {n}</num><content><p>{t}</p></content></article>"
+_wrap = lambda body, meta=f"<meta>{_frbr}</meta>": f"<akomaNtoso><act>{meta}{body}</act></akomaNtoso>"
+#: AKN documents and what is missing in each.
+AKN_CASES = (
+    (_wrap(f"<body>{_article(1)}{_article(2)}</body>"), ()),
+    (_wrap(f"<body>{_article(1)}{_article(9)}</body>"), (("article_sequence", "gap 1-9"),)),
+    (_wrap("<body></body>", "<meta><FRBRWork><FRBRthis/><FRBRuri/></FRBRWork></meta>"), (("article_sequence", "no articles"), ("frbr_metadata", "no FRBRDate"), ("frbr_metadata", "no FRBRExpression"), ("frbr_metadata", "no FRBRManifestation"))),
+    (_wrap(_article(1), ""), (("frbr_metadata", "no meta"), ("hierarchy", "no body"))),
+    (_wrap(f"<body><title><chapter><num>I</num></chapter><chapter><num>II</num>{_article(1, 'x' * 9)}</chapter></title></body>"), (("content_length", "1 short articles"), ("hierarchy", "fewer articles than chapters"), ("structure_elements", "title without num"))),
+    (_wrap(f"<body>{_article(1, 'abc')}</body>"), (("content_length", "1 empty articles"), ("content_length", "1 short articles"))),
+    ("<akomaNtoso>", (("parse_error", "not well-formed"),)),
+)
+
+
+def test_completeness_and_validity(spark):
+    docs = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(AKN_CASES)], "k int, xml string")
+    want = {(i, c, t.replace("FRBRDate", "FRBRdate in FRBRWork")) for i, (_, found) in enumerate(AKN_CASES) for c, t in found}
+    assert {tuple(r) for r in parse.completeness(docs, "k", "xml").collect()} == want
+    assert {tuple(r) for r in parse.schema_validity(docs, "k", "xml").collect()} == {(3, "no_meta"), (3, "no_body"), (6, "not_well_formed")}
