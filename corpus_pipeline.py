@@ -6,19 +6,40 @@ and read again as the next one's docs. All stages but the last return the column
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lexmill.llm import decontaminate, jaccard_join, mixing, token_files, toxicity
-from lexmill.llm._common import saved
+from lexmill.llm._common import saved, setting
 from lexmill.llm.queries import table, tokenizer_file
 
+#: Bytes of rows that a task hands to its Python worker at once: both sides hold a batch, beside the heap that earlier stages have grown.
+BATCH_BYTES = 4 << 20
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def small_batches(stage: Stage) -> Stage:
+    """A stage whose Python passes, which all run before it returns, get batches of ``BATCH_BYTES``; a longer row is a batch of its own."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier rejects go. Null and empty texts stay; rows that share a doc_id (null is one too) with a rejected
     one go with it; without labels nothing goes; an empty table stays empty."""
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
+@small_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one of the smallest doc_id, with its repeated rows. Null, empty and wordless texts
     are like no other and stay."""
@@ -36,6 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_rows(docs)
 
 
+@small_batches
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files, read back: doc_id, start, n_tokens and ids_crc32. Null and empty texts are their end id; repeated rows are each there; a null
     doc_id comes first; an empty table gives no rows."""
