@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
@@ -299,37 +300,54 @@ def content_type(text: Column) -> Column:
 AKN = "http://docs.oasis-open.org/legaldocml/ns/akn/3.0"
 
 
+#: Documents whose results a task holds at once.
+ROWS = 64
+
+
+def _tag(e: ET.Element) -> str:
+    return e.tag.rsplit("}", 1)[-1]
+
+
+def _row_by_row(read: Callable[[str | None], Iterable[tuple]], width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow`` over (id, document): the id before each of the ``width`` strings of the tuples that ``read`` makes of a document. Beside Spark's batch, a worker has one document
+    as a string and as a tree, and the results of ``ROWS``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, docs = batch.columns
+            for k in range(0, batch.num_rows, ROWS):
+                rows = [(ids[n], *r) for n in range(k, min(k + ROWS, batch.num_rows)) for r in read(docs[n].as_py())]
+                columns = [*zip(*rows, strict=True)] or [()] * (width + 1)
+                made = [pa.array([i.as_py() for i in columns[0]], ids.type), *(pa.array(c, pa.string()) for c in columns[1:])]
+                yield pa.RecordBatch.from_arrays(made, [str(n) for n in range(width + 1)])
+
+    return run
+
+
 def akn_elements(docs: DataFrame, id_: str, xml: str) -> DataFrame:
     """(id, eid, num, title, chapter, text) of the articles of an AKN document, their texts cleaned and without notes; malformed documents give no row."""
     kind = docs.schema[id_].dataType.simpleString()
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def tag(e: ET.Element) -> str:
-            return e.tag.rsplit("}", 1)[-1]
-
-        def walk(e: ET.Element, above: dict) -> Iterator[tuple]:
-            for child in e:
-                name = tag(child)
-                if name == "article":
-                    num = next((x.text for x in child if tag(x) == "num"), None)
-                    yield child.get("eId") or child.get("id"), num, above.get("title"), above.get("chapter"), article_text(child)
-                elif name in ("title", "chapter"):
-                    label = " ".join(x.text for x in child if tag(x) in ("num", "heading") and x.text)
-                    yield from walk(child, above | {name: label} | ({"chapter": None} if name == "title" else {}))
-                else:
-                    yield from walk(child, above)
-
-        for batch in batches:
-            rows = []
-            for i, x in zip(batch[id_], batch[xml], strict=True):
-                try:
-                    root = ET.fromstring(x)
-                except (ET.ParseError, TypeError):
-                    continue
-                rows += [(i, *r) for r in walk(root, {})]
-            yield pd.DataFrame(rows, columns=[id_, "eid", "num", "title", "chapter", "text"])
+    def walk(e: ET.Element, above: dict) -> Iterator[tuple]:
+        for child in e:
+            name = _tag(child)
+            if name == "article":
+                num = next((x.text for x in child if _tag(x) == "num"), None)
+                yield child.get("eId") or child.get("id"), num, above.get("title"), above.get("chapter"), article_text(child)
+            elif name in ("title", "chapter"):
+                label = " ".join(x.text for x in child if _tag(x) in ("num", "heading") and x.text)
+                yield from walk(child, above | {name: label} | ({"chapter": None} if name == "title" else {}))
+            else:
+                yield from walk(child, above)
+
+    def read(x: str | None) -> Iterator[tuple]:
+        try:
+            root = ET.fromstring(x)
+        except (ET.ParseError, TypeError):
+            return
+        yield from walk(root, {})
 
-    return docs.select(id_, xml).mapInPandas(read, f"{id_} {kind}, eid string, num string, title string, chapter string, text string")
+    return docs.select(id_, xml).mapInArrow(_row_by_row(read, 5), f"{id_} {kind}, eid string, num string, title string, chapter string, text string")
 
 
 #: Elements that hold others, the outermost first: one that opens ends those of its level and below.
@@ -376,10 +394,6 @@ def akn_article_count(texts: pd.Series) -> pd.Series:
     return texts.map(count).astype("Int64")
 
 
-def _tag(e: ET.Element) -> str:
-    return e.tag.rsplit("}", 1)[-1]
-
-
 def _issues(root: ET.Element) -> Iterator[tuple[str, str]]:
     """P20: (check, issue) of a parsed document."""
     found: dict[str, list[ET.Element]] = {}
@@ -428,33 +442,29 @@ def completeness(docs: DataFrame, id_: str, xml: str) -> DataFrame:
     row for a complete document, one of check parse_error for a malformed one."""
     kind = docs.schema[id_].dataType.simpleString()
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for i, x in zip(batch[id_], batch[xml], strict=True):
-                try:
-                    rows += [(i, *r) for r in _issues(ET.fromstring(x))]
-                except (ET.ParseError, TypeError):
-                    rows.append((i, "parse_error", "not well-formed"))
-            yield pd.DataFrame(rows, columns=[id_, "check", "issue"])
+    def check(x: str | None) -> Iterator[tuple]:
+        try:
+            root = ET.fromstring(x)
+        except (ET.ParseError, TypeError):
+            yield "parse_error", "not well-formed"
+            return
+        yield from _issues(root)
 
-    return docs.select(id_, xml).mapInPandas(check, f"{id_} {kind}, check string, issue string")
+    return docs.select(id_, xml).mapInArrow(_row_by_row(check, 2), f"{id_} {kind}, check string, issue string")
 
 
 def schema_validity(docs: DataFrame, id_: str, xml: str) -> DataFrame:
     """(id, issue) of what an AKN document lacks; none for a valid one."""
     kind = docs.schema[id_].dataType.simpleString()
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for i, x in zip(batch[id_], batch[xml], strict=True):
-                try:
-                    names = [e.tag.rsplit("}", 1)[-1] for e in ET.fromstring(x).iter()]
-                except (ET.ParseError, TypeError):
-                    rows.append((i, "not_well_formed"))
-                    continue
-                rows += [(i, f"no_{n}") for n in ("meta", "body") if n not in names] + ([(i, "wrong_root")] if names[0] != "akomaNtoso" else [])
-            yield pd.DataFrame(rows, columns=[id_, "issue"])
-
-    return docs.select(id_, xml).mapInPandas(check, f"{id_} {kind}, issue string")
+    def check(x: str | None) -> Iterator[tuple]:
+        try:
+            names = [_tag(e) for e in ET.fromstring(x).iter()]
+        except (ET.ParseError, TypeError):
+            yield ("not_well_formed",)
+            return
+        yield from ((f"no_{n}",) for n in ("meta", "body") if n not in names)
+        if names[0] != "akomaNtoso":
+            yield ("wrong_root",)
+
+    return docs.select(id_, xml).mapInArrow(_row_by_row(check, 1), f"{id_} {kind}, issue string")

@@ -1,5 +1,6 @@
 """Law texts on literal fixtures."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,19 @@ def test_article_texts_as_the_indexer_makes_them(spark):
     xml = f'<a xmlns="{parse.AKN}"><article id="x"><num>Artículo 1</num><content><p>Artículo 1. Uno\ndos</p><note><p>reformado</p></note><p> </p><p>tres</p></content></article><article id="y"><num>Art 2</num>Art 2 suelto</article></a>'
     got = parse.akn_elements(spark.createDataFrame([(1, xml)], "k int, xml string"), "k", "xml").collect()
     assert [r["text"] for r in got] == ["Uno dos\n\ntres", "Art 2 suelto"]
+
+
+def test_documents_of_a_batch_are_read_one_after_another():
+    read = []
+
+    def check(x):
+        read.append(x)
+        return [("a", x)] if x else []
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(150), pa.int32()), pa.array([None if i % 3 else str(i) for i in range(150)])], ["k", "xml"])
+    made = parse._row_by_row(check, 2)(iter([batch]))
+    first = next(made)
+    assert len(read) == parse.ROWS == 64 and first.schema.types == [pa.int32(), pa.string(), pa.string()]
+    rows = [tuple(r.values()) for b in (first, *made) for r in b.to_pylist()]
+    assert rows == [(i, "a", str(i)) for i in range(0, 150, 3)] and len(read) == 150
+    assert [b.num_rows for b in parse._row_by_row(check, 2)(iter([batch.slice(1, 1)]))] == [0]
