@@ -167,3 +167,41 @@ def test_completions(spark, tmp_path):
         begun = [n for n in each if n.lower().startswith(a.lower())]
         want = (begun or [n for n in each if a.lower() in n.lower()])[:8] if len(a) >= 2 else []
         assert got.get(a, []) == want, a
+
+def test_near_few(spark):
+    """A query's terms by a scan of a vocabulary whose terms repeat."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abé", k=rng.randint(0, 9))) for _ in range(400)]
+    asked = rng.sample(vocabulary, 20) + ["zz", "abcde"]
+    got = [tuple(r) for r in text_index.near_few(spark.createDataFrame([(t,) for t in vocabulary], "term string"), spark.createDataFrame([(a,) for a in asked], "asked string")).collect()]
+    edits = lambda a: 0 if len(a) <= 2 else 1 if len(a) <= 5 else 2
+    assert sorted(got) == sorted({(a, v, distance(a, v)) for a in asked for v in vocabulary if distance(a, v) <= edits(a)})
+
+
+def test_postings_are_stored_once(spark, tmp_path, monkeypatch):
+    """Postings, lengths and places of texts cut into many batches; no second table of their size."""
+    import os
+
+    monkeypatch.setattr(text_index, "PARTITION", 50)
+    rows = [(i, t) for i, t, _ in texts(3, 60)] + [(60, None), (61, "")]
+    index = TextIndex.build(spark.createDataFrame(rows, "id int, text string"), "id", {"text": (F.col("text"), single(search.tokens)), "none": (F.lit(None).cast("string"), single(search.tokens))}, str(tmp_path / "ix"))
+    want = {(w, i, len(t.split()), tuple(k for k, x in enumerate(t.split()) if x == w)) for i, t in rows if t for w in set(t.split())}
+    assert {(r["term"], r["doc"], r["dl"], tuple(p["at"] for p in r["places"])) for r in index.postings.collect()} == want
+    assert sorted(os.listdir(index.path)) == ["analysed", "bands", "postings", "stats"]
+    total = sum(len(t.split()) for _, t in rows if t)
+    assert {tuple(r) for r in index.stats.collect()} == {("text", 62, total / 62), ("none", 62, 0.0)}
+    assert index.table("bands").agg(F.sum("n")).first()[0] == len(want)
+
+
+def test_tokens_are_grouped_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(text_index, "TOKENS", 4)
+    token = lambda t, at, span=1: {"term": t, "at": at, "span": span}
+    docs = [[token("b", 0), token("a", 0, 2), token("b", 2), token("a", 1)], [], None, [token("a", 0)] * 2 + [token("c", 3)], [token("d", k) for k in range(9)]]
+    kind = pa.list_(pa.struct([("term", pa.string()), ("at", pa.int32()), ("span", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(["f"] * 5), pa.array(docs, kind)], ["doc", "field", "tokens"])
+    made = [b.to_pylist() for b in text_index.group_tokens(iter([batch]))]
+    got = [(r["term"], r["doc"], r["dl"], r["tf"], [(p["at"], p["span"]) for p in r["places"]], r["own"]) for b in made for r in b]
+    assert got[:2] == [("a", 0, 3, 2, [(0, 2), (1, 1)], 3), ("b", 0, 3, 2, [(0, 1), (2, 1)], 0)]
+    assert got[2:] == [("a", 3, 2, 2, [(0, 1), (0, 1)], 2), ("c", 3, 2, 1, [(3, 1)], 0), ("d", 4, 9, 9, [(k, 1) for k in range(9)], 9)] and len(made) > 2
