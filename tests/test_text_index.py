@@ -202,6 +202,6 @@ def test_tokens_are_grouped_in_pieces(monkeypatch):
     kind = pa.list_(pa.struct([("term", pa.string()), ("at", pa.int32()), ("span", pa.int32())]))
     batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(["f"] * 5), pa.array(docs, kind)], ["doc", "field", "tokens"])
     made = [b.to_pylist() for b in text_index.group_tokens(iter([batch]))]
-    got = [(r["term"], r["doc"], r["dl"], r["tf"], [(p["at"], p["span"]) for p in r["places"]], r["own"]) for b in made for r in b]
+    got = [(r["term"], r["doc"], r["dl"], r["tf"], [*zip(r["at"], r["span"] or [1] * r["tf"], strict=True)], r["own"]) for b in made for r in b]
     assert got[:2] == [("a", 0, 3, 2, [(0, 2), (1, 1)], 3), ("b", 0, 3, 2, [(0, 1), (2, 1)], 0)]
     assert got[2:] == [("a", 3, 2, 2, [(0, 1), (0, 1)], 2), ("c", 3, 2, 1, [(3, 1)], 0), ("d", 4, 9, 9, [(k, 1) for k in range(9)], 9)] and len(made) > 2
