@@ -214,3 +214,25 @@ def test_one_query_stores_no_index(spark, monkeypatch):
 
     monkeypatch.setattr(search, "store_index", None)
     assert QUERIES["R2_multi_field"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_long_terms_meet_by_their_ends_too(spark):
+    """Of terms with one beginning of ten letters only near ones meet, so candidates don't grow with the square of a family of words."""
+    rng = random.Random(10)
+    vocabulary = sorted({"gemeinsame" + "".join(rng.choices("abcdefgh", k=6)) for _ in range(300)})
+    table = text_index.spellings(spark.createDataFrame([(t,) for t in vocabulary], "term string"))
+    met = table.join(table.withColumnRenamed("term", "other"), "form").select("term", "other").distinct().count()
+    assert met < len(vocabulary) ** 2 / 2
+    asked = vocabulary[:50]
+    got = {tuple(r) for r in text_index.near_spellings(table, spark.createDataFrame([(a,) for a in asked], "asked string")).collect()}
+    assert got == {(a, v, distance(a, v)) for a in asked for v in vocabulary if distance(a, v) <= 2}
+
+
+@pytest.mark.parametrize("name", ["R3_spellings"])
+def test_spellings_need_no_postings(spark, monkeypatch, name):
+    from lexmill import search_queries  # noqa: F401
+    from lexmill.queries import QUERIES
+
+    monkeypatch.setattr(TextIndex, "build", None)
+    monkeypatch.setattr(search_queries, "_made", {})
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 0
