@@ -228,7 +228,7 @@ def test_long_terms_meet_by_their_ends_too(spark):
     assert got == {(a, v, distance(a, v)) for a in asked for v in vocabulary if distance(a, v) <= 2}
 
 
-@pytest.mark.parametrize("name", ["R3_fuzzy", "R3_spellings"])
+@pytest.mark.parametrize("name", ["R3_fuzzy", "R3_spellings", "R6_in_law"])
 def test_spellings_need_no_postings(spark, monkeypatch, name):
     from lexmill import search_queries  # noqa: F401
     from lexmill.queries import QUERIES
