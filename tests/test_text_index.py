@@ -236,3 +236,11 @@ def test_spellings_need_no_postings(spark, monkeypatch, name):
     monkeypatch.setattr(TextIndex, "build", None)
     monkeypatch.setattr(search_queries, "_made", {})
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 0
+
+
+def test_words_are_not_stemmed_one_by_one(spark):
+    """No expression is evaluated for each word; places, ends of texts and repeats are those of the plain form."""
+    texts = ["ley ley fundamental", None, "", "carta", "magna carta magna", "norma oficial", "mexicana nom", "ley del impuesto sobre la renta ley del impuesto", "Leyes de la ley"]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").coalesce(1).select("id", analysis.analysed(F.col("t")).alias("x"))
+    assert {r["id"]: r["x"] and [*map(tuple, r["x"])] for r in found.collect()} == {i: t if t is None else list(analysis.plain_analysed(t)) for i, t in enumerate(texts)}
+    assert "lambdafunction" not in found._jdf.queryExecution().optimizedPlan().toString()
