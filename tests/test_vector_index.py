@@ -49,3 +49,14 @@ def test_ties_and_empty_tables(spark, tmp_path):
     assert sorted((r["query_id"], r["rank"], r["id"]) for r in got) == [(0, 1, 2), (0, 2, 4), (0, 3, 6), (1, 1, 3), (1, 2, 5), (1, 3, 7)]
     none = VectorIndex.build(frame.limit(0), "id", "v", str(tmp_path / "none"))
     assert none.search(frame, "id", "v", 3, str(tmp_path / "n")).collect() == []
+
+
+def test_the_sample_is_drawn_in_the_tasks(spark):
+    """Rows that reach the driver for the centroids follow the sample, not the number of tasks, and are the same ones."""
+    from pyspark.sql import functions as F
+
+    units = spark.range(5000).select("id", F.array(F.col("id").cast("double")).alias("u")).repartition(16)
+    some = vector_index.drawn(units, 100)
+    first = lambda df: [r["id"] for r in df.orderBy(F.xxhash64("id"), "id").limit(100).collect()]
+    assert 100 <= some.count() <= 300 and first(some) == first(units)
+    assert vector_index.drawn(units.withColumn("id", F.lit(1)), 100).count() == 5000
