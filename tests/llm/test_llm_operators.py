@@ -12,7 +12,7 @@ import pytest
 from brute import contaminated, near_duplicates, repeated_spans, suffix_tree
 from pyspark.sql import functions as F
 
-from lexmill.llm import audio, decontaminate, jaccard_join, mixing, suffix_dedup, token_files, token_spans, toxicity, warc
+from lexmill.llm import _exchange, audio, decontaminate, jaccard_join, mixing, suffix_dedup, token_files, token_spans, toxicity, warc
 from lexmill.llm import suffix_tree as tree
 from lexmill.llm._encode import Encoder
 from lexmill.llm.queries import tokenizer_file
@@ -133,6 +133,44 @@ def test_suffix_tree_scores(spark):
     assert sum(g[6] for g in got if g[1]) > 0.6 * sum(g[5] for g in got if g[1])
 
 
+@pytest.mark.parametrize("heavy", (1, 6, 12))
+def test_suffix_tree_of_frequent_contexts(spark, heavy):
+    """Contexts that are spread over buckets and those that aren't give one model."""
+    rows = [(d, " ".join(t.split()[:60])) for d, t in corpus(6, 80)]
+    got = collect(tree.score(frame(spark, rows), least=2, gain=0.5, heavy=heavy), "doc_id", "score")
+    want = suffix_tree(rows, tree.DEPTH, 2, 0.5, tree.STRENGTHS)
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[6] for w in want], rtol=1e-5)
+
+
+def test_suffix_tree_sends_an_ngram_once():
+    """An n-gram behind a context that isn't frequent is two small numbers, a count and a probability, and its context isn't sent again: 8 + 4
+    bytes for each n-gram and 8 + 16 for each context were sent before."""
+    rng = np.random.default_rng(5)
+    c = tree.Chunk(pa.table({"text": [" ".join(f"w{i}" for i in rng.zipf(1.3, 20_000) % 5000)], "held_out": [False]}))
+    model = tree.Model([], n_all=len(c.of), kinds=len(c.names), heavy=1 << 40)
+    levels = model.levels(0, c, 0)
+    levels[0].answered(levels[0].spread, {"n": levels[0].train, "id": np.arange(len(c.names), dtype=np.uint32), "bucket": np.zeros(len(c.names), np.uint64)}, 0)
+    levels.append(model.behind(c, levels, np.uint64(len(c.names).bit_length()), model.least))
+    spread, near = model.counts(c, levels, 1, 1)
+    assert not len(spread[0]) and len(near[0]) == len(levels[1].names) > 5000
+    sent, plain = len(_exchange.pack(near[1])), 12 * len(near[0]) + 24 * len(np.unique(levels[1].ctx))
+    assert sent < 0.6 * plain
+    # the followers of a context of the chunk settle its strength
+    found, _ = tree.settle_followers(2, 0.0)(near[1])
+    assert (found["n"] == levels[1].train[levels[1].near]).all() and len(found["best"]) == len(near[0])
+
+
+def test_packed_columns():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 1000):
+        whole = {"key": np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)), "n": rng.integers(0, 9, n).astype(np.uint32), "p": rng.random(n).astype(np.float32), "id": rng.integers(0, 9, n).astype(np.uint32)}
+        back = _exchange.unpack(_exchange.pack(whole))
+        assert list(back) == list(whole) and all((back[k] == whole[k]).all() and back[k].dtype == whole[k].dtype for k in whole)
+    for x in (rng.integers(0, 1 << 63, 5000).astype(np.uint64), rng.integers(0, 50, 5000).astype(np.uint64), np.array([1 << 63, (1 << 63) + 1, 1 << 63, 0], np.uint64), np.full(3, (1 << 64) - 1, np.uint64)):
+        names, of = _exchange.distinct_of(x)
+        assert (names == np.unique(x)).all() and (names[of] == x).all()
+
+
 def test_contexts_count_at_every_size(monkeypatch):
     """A context of ``least`` occurrences has counted followers, also in a corpus of 5 billion words."""
     c = tree.Chunk(pa.table({"text": ["red car red car"], "held_out": [False]}))
