@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import posixpath
 from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 from typing import NamedTuple
 
 import numpy as np
@@ -98,9 +99,9 @@ def open_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[s
 
 
 class Answers(NamedTuple):
-    """What an exchange has answered: the folder, and buckets of a kind of keys."""
+    """What an exchange has answered: the folder of each round, and buckets of a kind of keys."""
 
-    path: str
+    paths: tuple[str, ...]
     buckets: int
 
 
@@ -109,9 +110,11 @@ def answers(found: Answers, chunk: int, kind: int = 0) -> Arrays:
     import pyarrow.parquet as pq
     from pyarrow import fs
 
-    store, folder = fs.FileSystem.from_uri(found.path)
-    files = store.get_file_info(fs.FileSelector(posixpath.join(folder, f"chunk={chunk}"), allow_not_found=True))
-    got = [pq.read_table(f.path, filesystem=store, partitioning=None, columns=["bucket", "payload"]) for f in files if f.path.endswith(".parquet")]
+    got = []
+    for path in found.paths:
+        store, folder = fs.FileSystem.from_uri(path)
+        files = store.get_file_info(fs.FileSelector(posixpath.join(folder, f"chunk={chunk}"), allow_not_found=True))
+        got += [pq.read_table(f.path, filesystem=store, partitioning=None, columns=["bucket", "payload"]) for f in files if f.path.endswith(".parquet")]
     if not got:
         return {}
     table = pa.concat_tables(got).sort_by("bucket")
@@ -138,15 +141,17 @@ def exchange(
     emit: Callable[[int, dict[str, pa.Buffer]], Sequence[tuple[np.ndarray, Arrays]]],
     settle: Sequence[Callable[[Arrays], tuple[Arrays, Arrays | None]]],
     buckets: int,
+    rounds: int = 1,
 ) -> Answers:
     """``emit`` gives, for each kind of keys, a chunk's rows as columns and their ascending buckets; the kind's ``settle`` gets the columns of
-    a bucket's rows and gives answers in the same order, and figures of the bucket for chunk -1."""
+    a bucket's rows and gives answers in the same order, and figures of the bucket for chunk -1. There are ``rounds`` passes over the
+    chunks, each for the buckets of one remainder."""
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
         for chunk, blobs in open_chunks(batches):
             for kind, (bucket, values) in enumerate(emit(chunk, blobs)):
                 edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64)).tolist()
-                full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
+                full = [b for b in range(turn, buckets, rounds) if edges[b] < edges[b + 1]]
                 for some in (full[i : i + 64] for i in range(0, len(full), 64)):
                     sent = [pack({k: v[edges[b] : edges[b + 1]] for k, v in values.items()}) for b in some]
                     names = pa.array([kind * buckets + b for b in some], pa.int32())
@@ -169,14 +174,15 @@ def exchange(
         release()
         return pa.Table.from_arrays([pa.array(bucket, pa.int32()), pa.array(chunk, pa.int64()), pa.array(rows, pa.binary())], schema=schema)
 
-    path = scratch(chunks.sparkSession, label)
-    with shuffle_freed(chunks.sparkSession):
-        (
-            chunks.mapInArrow(send, "bucket int, chunk bigint, payload binary")
-            .groupBy("bucket").applyInArrow(gather, "bucket int, chunk bigint, payload binary")
-            .repartition("chunk").write.partitionBy("chunk").option("compression", "zstd").parquet(path)
-        )
-    return Answers(path, buckets)
+    paths = tuple(scratch(chunks.sparkSession, label) for _ in range(rounds))
+    for turn, path in enumerate(paths):
+        with shuffle_freed(chunks.sparkSession):
+            (
+                chunks.mapInArrow(partial(send, turn=turn), "bucket int, chunk bigint, payload binary")
+                .groupBy("bucket").applyInArrow(gather, "bucket int, chunk bigint, payload binary")
+                .repartition("chunk").write.partitionBy("chunk").option("compression", "zstd").parquet(path)
+            )
+    return Answers(paths, buckets)
 
 
 def distinct_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import text_bytes
-from ._exchange import M1, M2, M3, Answers, Arrays, answers, bucket_of, buckets_for, chunked, distinct_of, exchange, mix, open_chunks, pack, unpack
+from ._exchange import BUCKET_BYTES, M1, M2, M3, Answers, Arrays, answers, bucket_of, buckets_for, chunked, distinct_of, exchange, mix, open_chunks, pack, unpack
 from ._words import plain, word_hashes
 
 #: A context must occur LEAST times, however large the corpus.
@@ -35,6 +35,8 @@ DEPTH, LEAST, GAIN = 3, 8, 4.0
 STRENGTHS = (0.25, 2.0, 16.0, 128.0)
 #: From so many occurrences, followers of a context are too many for one bucket.
 HEAVY = 4096
+#: Pairs and triples, the most n-grams, are counted in so many rounds, each for a share of the buckets, so that less is on disk at once.
+ROUNDS = {1: 2, 2: 2}
 END = np.uint64(0x2545F4914F6CDD1D)
 OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_deep bigint"
 
@@ -104,7 +106,7 @@ class Level:
     def contexts(self, least: int) -> np.ndarray:
         """Those that are counted behind, by bucket and number."""
         many = np.flatnonzero(self.total >= least)
-        return many[np.lexsort((self.number[many], self.bucket[many]))]
+        return many[np.argsort(self.bucket[many] << np.uint64(33) | self.number[many])]
 
 
 def strongest(total: np.ndarray, bound: float) -> np.ndarray:
@@ -152,8 +154,8 @@ def settle_followers(least: int, bound: float) -> Callable[[Arrays], tuple[Array
         bits = np.uint64(len(words).bit_length())
         kinds, of = distinct_of(values["ctx"] << bits | word.astype(np.uint64))
         n = np.bincount(of, weights=values["n"], minlength=len(kinds))
-        p = np.ones(len(kinds))
-        p[of] = values["p"]
+        p, given = np.ones(len(kinds)), values["p"] > 0  # where it occurs in training
+        p[of[given]] = values["p"][given]
         new = np.diff(kinds >> bits, prepend=np.uint64((1 << 64) - 1)) != 0
         first, ctx = np.flatnonzero(new), np.cumsum(new) - 1
         whole = np.add.reduceat(n, first)[ctx] if len(first) else n
@@ -179,12 +181,12 @@ class Model:
         return out
 
     def levels(self, chunk: int, c: Chunk, upto: int, near: bool = True) -> list[Level]:
-        """Levels 0 to ``upto``, with what is answered; without ``near`` the last has only n-grams behind frequent contexts."""
+        """Levels 0 to ``upto``, with what is answered; without ``near`` only n-grams behind frequent contexts, whose suffixes are as frequent."""
         out = [Level(np.arange(len(c.of)), c.of, c.names, c.weight)]
         bits = np.uint64(len(c.names).bit_length())
         for k in range(upto + 1):
             if k:
-                out.append(self.behind(c, out, bits, self.least if near or k < upto else max(self.least, self.heavy)))
+                out.append(self.behind(c, out, bits, self.least if near else max(self.least, self.heavy)))
             level = out[k]
             if k < len(self.passes):
                 level.answered(level.spread, answers(self.passes[k], chunk), 0)
@@ -238,7 +240,7 @@ class Model:
             ctx, word, last, root = level.ctx[level.near], level.word[level.near], levels[k - 1], levels[0]
             known = root.total[word] > 0
             word = np.where(known, root.bucket[word] << np.uint64(32) | root.number[word], 0 if not len(word) else (np.uint64(1) << np.uint64(63)) | word.astype(np.uint64))
-            out.append((last.bucket[ctx], {"ctx": last.number[ctx], "word": word, "n": level.train[level.near], "p": each[level.near].astype(np.float32)}))
+            out.append((last.bucket[ctx], {"ctx": last.number[ctx], "word": word, "n": level.train[level.near], "p": np.where(level.train > 0, each, 0)[level.near].astype(np.float32)}))
         return out
 
     def gains(self, levels: list[Level], k: int, buckets: int) -> list[tuple[np.ndarray, Arrays]]:
@@ -272,7 +274,8 @@ def score(docs: DataFrame, held_out: Callable[[], object] | None = None, depth:
     whose crc32(doc_id) mod 7 is 2. Contexts of up to ``depth`` words count from ``least`` occurrences and are retained beyond ``gain``; those of ``heavy`` occurrences are spread over buckets."""
     rule = held_out() if held_out else F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), rule.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    buckets = buckets_for(text_bytes(docs))
+    size = text_bytes(docs)
+    buckets, few = buckets_for(size), buckets_for(size, 16 * BUCKET_BYTES)
     chunks = chunked(rows, "tree", Chunk.stored, Chunk.COLUMNS)
     model = Model([], least=least, heavy=heavy)
     for k in range(depth + 1):
@@ -281,16 +284,16 @@ def score(docs: DataFrame, held_out: Callable[[], object] | None = None, depth:
             c = Chunk.read(blobs)
             return model.counts(c, model.levels(chunk, c, k), k, buckets)
 
-        model.passes.append(exchange(chunks, f"tree-{k}", send, [settle_counts(least if k else 1), settle_followers(least, gain)], buckets))
+        model.passes.append(exchange(chunks, f"tree-{k}", send, [settle_counts(least if k else 1), settle_followers(least, gain)], buckets, ROUNDS.get(k, 1)))
         if not k:
-            figures = docs.sparkSession.read.schema("bucket int, payload binary, chunk bigint").parquet(model.passes[0].path).where("chunk = -1").select("payload")
+            figures = docs.sparkSession.read.schema("bucket int, payload binary, chunk bigint").parquet(*model.passes[0].paths).where("chunk = -1").select("payload")
             model.n_all, model.kinds = totals(figures)
             continue
 
         def send_gains(chunk: int, blobs: dict[str, pa.Buffer], k: int = k, model: Model = model.as_now()) -> list[tuple[np.ndarray, Arrays]]:
-            return model.gains(model.levels(chunk, Chunk.read(blobs), k, near=False), k, buckets)
+            return model.gains(model.levels(chunk, Chunk.read(blobs), k, near=False), k, few)
 
-        model.gained[k] = exchange(chunks, f"tree-gains-{k}", send_gains, [settle_gains(gain)], buckets)
+        model.gained[k] = exchange(chunks, f"tree-gains-{k}", send_gains, [settle_gains(gain)], few)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, blobs in open_chunks(batches):
