@@ -12,6 +12,7 @@ The shared folder must be one that pyarrow.fs can open (file, hdfs, s3, gs).
 
 from __future__ import annotations
 
+import ctypes
 import posixpath
 from collections.abc import Callable, Iterator, Sequence
 from functools import partial
@@ -91,7 +92,18 @@ def chunked(docs: DataFrame, label: str, form: Callable[[pa.Table], dict[str, by
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
+def keep_memory() -> None:
+    """Arrays that are freed inside a pass stay with the process for the next ones; ``release`` gives them back at a chunk's end."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-1, 512 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def open_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, pa.Buffer]]]:
+    keep_memory()
     for batch in batches:
         for i, chunk in enumerate(batch.column("chunk").to_pylist()):
             yield chunk, {c: batch.column(c)[i].as_buffer() for c in batch.schema.names if c != "chunk"}
@@ -160,6 +172,7 @@ def exchange(
     schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("payload", pa.binary())])
 
     def gather(table: pa.Table) -> pa.Table:
+        keep_memory()
         table = table.sort_by("chunk")
         chunk, bucket = table.column("chunk").to_pylist(), table.column("bucket").to_pylist()
         each = [unpack(x.as_buffer()) for x in table.column("payload")]
