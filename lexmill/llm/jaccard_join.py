@@ -15,8 +15,10 @@ Pivots are documents; a document's region is that of a pivot, and ``d`` its dist
    region before others. A pair
    that may link shares u = ceil(4/9 (|x| + |y|)) shingles, so one of the first |x| - u + 1 in it (with the region's least size
    for |y|); that is the new window, and pivots are chosen where these meet. A document whose cut with the pivot leaves
-   no room for u has no window and is out. Regions that hold one class are closed, and small ones (``LEAF``) are settled as
-   they are: their documents are compared where classes differ, and only links leave the task.
+   no room for u has no window and is out. Regions that hold one class are closed, and those where documents have few of other
+   classes (``LEAF``) are settled as they are: documents of the largest class are dealt out, all others go with each part and are
+   compared where classes differ, and only links leave the task. So a class with a few strangers at its edge, which pivots
+   can't part, is settled at any size.
 
 A sub-region is without its pivot, so the recursion ends. Every pair left out is in one class or proven farther than r: classes are exact. Equal texts are one member. Sets are compared on 64-bit shingle
 hashes, and 64-bit names of sub-regions only bring documents together that are then measured.
@@ -31,7 +33,7 @@ are; repeated rows get one class; an empty table gives no rows; other columns ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,9 +53,9 @@ R = 1 - PART / WHOLE
 FREQUENT = 1 << 18
 #: A shingle is a candidate for that table with so many documents of a slice.
 OFTEN = 4
-#: Regions of at most so many documents beside the pivot, or of ``MANY`` times as many with at most LEAF * LEAF pairs of different classes, are
-#: settled at once, in one task each, if they have at most so many shingles; larger ones are parted further.
-LEAF, MANY, SHINGLES = 64, 32, 4 << 20
+#: Regions of at most so many documents beside the pivot, or whose documents have on average at most LEAF * LEAF / 2 of other classes, are
+#: settled at once, in parts of at most so many shingles, of which documents outside of the largest class have half; others are parted further.
+LEAF, SHINGLES = 64, 4 << 20
 NO_ID = (1 << 63) - 1
 _places = mix(np.arange(1, 65, dtype=np.uint64) * M2) | np.uint64(1)
 
@@ -228,17 +230,39 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return WHOLE * i >= PART * (n + m - i)
 
 
+def linked_with_any(sets: list[np.ndarray]) -> Callable[[int], list[int]]:
+    """For the number of a set, those of all sets at distance of at most r: one pass over the shingles, numbered once."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    ends = np.cumsum(n)
+    starts = ends - n
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    mark = np.zeros(int(codes.max()) + 1, np.int32)
+
+    def find(j: int) -> list[int]:
+        own = codes[starts[j] : ends[j]]
+        mark[own] = 1
+        i = np.add.reduceat(mark[codes], starts)
+        mark[own] = 0
+        return np.flatnonzero(WHOLE * i >= PART * (n + n[j] - i)).tolist()
+
+    return find
+
+
 def settle(region: pa.Table) -> pa.Table:
-    """Links of a small region (t, class, rep, fps) that join classes, each with the first that it meets."""
-    t, rep, known = (region.column(c).to_pylist() for c in ("t", "rep", "class"))
+    """Links of a part of a region (t, class, rep, fps) that join classes, each with the first that it meets. Documents outside of its largest
+    class are compared with all."""
+    t, rep = (region.column(c).to_pylist() for c in ("t", "rep"))
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in region.column("fps")]
-    order = sorted(range(len(t)), key=lambda k: (len(sets[k]), t[k]))
-    out = []
-    for j, b in enumerate(order):
-        for a in order[:j]:
-            if known[a] != known[b] and linked(sets[a], sets[b]):
-                out.append((t[a], rep[a], t[b], rep[b]))
-                known = [known[a] if k == known[b] else k for k in known]
+    known = np.unique(region.column("class").to_numpy(), return_inverse=True)[1]
+    main, many = np.bincount(known).argmax(), linked_with_any(sets) if len(sets) > LEAF else None
+    before, out = np.flatnonzero(known == main).tolist(), []
+    for j in np.flatnonzero(known != main).tolist():
+        for a in before if many is None else many(j):
+            if known[a] != known[j] and (many is not None or linked(sets[a], sets[j])):
+                out.append((t[a], rep[a], t[j], rep[j]))
+                gone, kept = (known[a], known[j]) if known[j] == main else (known[j], known[a])
+                known[known == gone] = kept
+        before.append(j)
     columns = list(zip(*out, strict=True)) or [(), (), (), ()]
     return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["t", "rep", "p", "prep"])
 
@@ -254,14 +278,17 @@ def classes(rows: DataFrame, sets: DataFrame, leaf: int = LEAF) -> DataFrame:
         regions = held.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("outer").alias("open"), first).where("lo <> hi and open").select("key", F.col("first.t").alias("p"))
         pairs = saved(held.join(regions, "key").where("t <> p").groupBy("t", "p").agg(*[F.first(c).alias(c) for c in ("n", "own", "class")]), "jaccard-pairs")
         each = pairs.groupBy("p", "class").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.sum("n").alias("all"))
-        sizes = each.groupBy("p").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("same"), F.min("least").alias("least"), F.sum("all").alias("all"))
-        few = (F.col("k") <= leaf) | (((F.col("k") * F.col("k") - F.col("same")) / 2 <= leaf * leaf) & (F.col("k") <= MANY * leaf))
-        sizes = saved(sizes.select("p", "least", ((F.col("k") == 1) | (few & (F.col("all") <= SHINGLES))).alias("small")), "jaccard-sizes")
-        pairs = pairs.join(bounded(sizes, 24), "p")
-        small = pairs.where("small").select("p", "t")
-        members = small.unionByName(small.select("p", F.col("p").alias("t")).distinct()).join(bounded(known, 24), "t", "left").withColumn("class", F.coalesce("class", "t"))
+        sizes = each.groupBy("p").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("same"), F.min("least").alias("least"), F.sum("all").alias("all"), F.max(F.struct("c", "all", "class")).alias("main"))
+        few = (F.col("k") <= leaf) | (F.col("k") * F.col("k") - F.col("same") <= leaf * leaf / 2 * F.col("k"))
+        small = (F.col("k") == 1) | (few & (F.col("all") - F.col("main.all") <= SHINGLES // 2))
+        sizes = saved(sizes.select("p", "least", small.alias("small"), F.col("main.class").alias("main"), F.ceil(F.col("main.all") / (SHINGLES // 2)).cast("int").alias("parts")), "jaccard-sizes")
+        pairs = pairs.join(bounded(sizes, 40), "p")
+        every = F.sequence(F.lit(0), F.col("parts") - 1)
+        dealt = F.when(F.col("class") == F.col("main"), F.array(F.pmod(F.xxhash64("t"), "parts").cast("int"))).otherwise(every)
+        members = pairs.where("small").select("p", "t", F.explode(dealt).alias("part")).unionByName(sizes.where("small").select("p", F.col("p").alias("t"), F.explode(every).alias("part")))
+        members = members.join(bounded(known, 24), "t", "left").withColumn("class", F.coalesce("class", "t"))
         members = saved(members, "jaccard-members")  # narrow: sets stay where they are and only go to their regions
-        new = saved(sets.select("t", "rep", "fps").join(bounded(members, 24), "t").groupBy("p").applyInArrow(settle, "t bigint, rep bigint, p bigint, prep bigint"), "jaccard-links")
+        new = saved(sets.select("t", "rep", "fps").join(bounded(members, 32), "t").groupBy("p", "part").applyInArrow(settle, "t bigint, rep bigint, p bigint, prep bigint"), "jaccard-links")
         more = bool(sizes.where("not small").take(1))
         if more:
             union = F.col("n") + F.col("m") - F.col("i")
@@ -269,9 +296,12 @@ def classes(rows: DataFrame, sets: DataFrame, leaf: int = LEAF) -> DataFrame:
             found = measure(big.select("t", "p", "own", "least"), sets).withColumns({"outer": WHOLE * F.col("i") < PART * union, "d": 1 - F.col("i") / union})
             found = saved(found, "jaccard-measured")
             new = new.unionByName(found.where("not outer").select("t", "rep", "p", "prep"))
-        edges = new.select(node("rep", "t").alias("a"), node("prep", "p").alias("b"))
-        links = edges if links is None else links.unionByName(edges)
+        if label is not None:  # links inside a class tell nothing new
+            of = lambda c: bounded(known, 24).select(F.col("t").alias(c), F.col("class").alias(f"{c}_class"))
+            new = new.join(of("t"), "t", "left").join(of("p"), "p", "left").where(F.coalesce("t_class", "t") != F.coalesce("p_class", "p"))
         if new.take(1):
+            edges = new.select(node("rep", "t").alias("a"), node("prep", "p").alias("b"))
+            links = edges if links is None else links.unionByName(edges)
             label = saved(components(links).select(F.col("node.t").alias("t"), F.col("component.t").alias("class"), F.col("component.rep").alias("low")), "jaccard-classes")
         if not more:
             return (label if label is not None else none).select("t", "low")

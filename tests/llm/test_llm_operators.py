@@ -98,6 +98,32 @@ def test_near_duplicates_around_an_original(spark, leaf):
     assert collect(jaccard_join.near_duplicates(frame(spark, rows), leaf)) == near_duplicates(rows)
 
 
+@pytest.mark.parametrize("shingles", [1 << 12, 4 << 20])  # a region in several parts, in one
+def test_strangers_at_the_edge_of_a_class_take_few_levels(spark, monkeypatch, shingles):
+    rng = random.Random(21)
+    base = [f"{w}{k}" for k, w in enumerate(text(rng, 200).split())]
+    changed = lambda places, word: " ".join(word if k in places else w for k, w in enumerate(base))
+    rows = [(500, " ".join(base))] + [(501 + i, changed({3 + i}, "")) for i in range(120)]
+    rows += [(2000 + i, changed({130 + i, 145 + i, 160 + i, 175 + i, 198}, f"strange{i}")) for i in range(3)]  # 174 of 196 shingles are left: just outside
+    levels, parts, measure, saved = [], [], jaccard_join.measure, jaccard_join.saved
+
+    def measured(*a):
+        assert len(levels) < 2
+        levels.append(1)
+        return measure(*a)
+
+    def written(df, label):
+        out = saved(df, label)
+        if label == "jaccard-members" and "part" in df.columns:
+            parts.append(out.agg(F.max("part")).first()[0] or 0)
+        return out
+
+    for name, value in (("SHINGLES", shingles), ("measure", measured), ("saved", written)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    assert collect(jaccard_join.near_duplicates(frame(spark, rows), 8)) == near_duplicates(rows)
+    assert (max(parts) > 0) == (shingles < 1 << 20)
+
+
 def test_one_of_each(spark):
     rows = corpus(3)
     kept = {r[0] for r in collect(jaccard_join.one_of_each(frame(spark, rows)), "doc_id")}
