@@ -244,3 +244,19 @@ def test_words_are_not_stemmed_one_by_one(spark):
     found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").coalesce(1).select("id", analysis.analysed(F.col("t")).alias("x"))
     assert {r["id"]: r["x"] and [*map(tuple, r["x"])] for r in found.collect()} == {i: t if t is None else list(analysis.plain_analysed(t)) for i, t in enumerate(texts)}
     assert "lambdafunction" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_law_only_filters(spark):
+    """A query within a law is fuzzy, and weighs terms by all documents, as one without the law does."""
+    from lexmill import search_queries  # noqa: F401
+    from lexmill.queries import ORACLE
+
+    texts = ["the law", "thee law law", "the then", "a law", "their law", "the the code"]
+    docs = spark.createDataFrame([(i, f"l{i % 2}", t) for i, t in enumerate(texts)], "doc_id int, law_id string, text string")
+    index, stats = search.inverted_index(docs, "doc_id", ["text"]), search.field_stats(docs, ["text"])
+    articles = docs.select("law_id", F.col("doc_id").alias("article"))
+    got = [(r["doc"], r["score"]) for r in search.in_law(index, stats, articles, "l1", ["the"]).collect()]
+    words = spark.createDataFrame(search.spelt(index, ["the"]), "term string, weight double")
+    every = search.bm25(index.join(words, "term"), stats, ["the", "thee"], weight="weight").collect()
+    assert got == sorted(((r["doc"], round(r["score"], 9)) for r in every if r["doc"] % 2), key=lambda x: (-x[1], x[0])) and [d for d, _ in got] == [1, 5]
+    assert "levenshtein" in ORACLE["R6_in_law"]
